@@ -31,8 +31,8 @@ def labor_needed(bill_lines_df: DataFrame, labor: DataFrame, week: str | None =
             .orderBy(F.col("icrunidx").asc_nulls_last()))
 
 
-def labor_rows(reply: DataFrame, week: str, hourly_rate: float | str = 0) -> DataFrame:
-    """A labor reply for ``week`` → labor_charges rows.
+def labor_rows(reply: DataFrame, week, hourly_rate: float | str = 0) -> DataFrame:
+    """A labor reply for ``week`` (text, or a column naming each row's week) → labor rows.
 
     Non-numeric laborers/hours count as 0; ``labor_charge`` is rounded half-even
     on the exact decimal product.
@@ -44,9 +44,11 @@ def labor_rows(reply: DataFrame, week: str, hourly_rate: float | str = 0) -> Dat
 
     rate = F.lit(str(hourly_rate)).cast(RATE)
     out = reply.select(
-        *[F.col(c) for c in reply.columns if c not in ("num_laborers", "hours_per_laborer")],
+        *[F.col(c) for c in reply.columns if c not in ("num_laborers", "hours_per_laborer", "week_end")],
+        *([F.col("week_end").alias("_week")] if "week_end" in reply.columns else []),
         num("num_laborers").alias("num_laborers"), num("hours_per_laborer").alias("hours_per_laborer"))
-    out = out.withColumn("week_end", F.lit(week)).withColumn("labor_rate", rate)
+    week_col = F.lit(week) if isinstance(week, str) else week
+    out = out.withColumn("week_end", week_col).withColumn("labor_rate", rate)
     out = out.withColumn("labor_charge", F.bround(F.col("num_laborers") * F.col("hours_per_laborer")
                                                   * F.col("labor_rate"), 2).cast(MONEY))
     return align_to(out, LABOR_CHARGES)

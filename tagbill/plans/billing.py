@@ -74,3 +74,26 @@ class Billing:
 
     def labor_needed(self, week: str | None = None) -> DataFrame:
         return labor.labor_needed(self.bill_lines, self.d.labor_charges, week)
+
+    @cached_property
+    def labor_reply(self) -> DataFrame:
+        """Ops' replies: one row per run still needing labor, keyed to its billing week.
+
+        Laborers and hours are derived from the run id; every tenth run comes back
+        with non-numeric text, which the labor step counts as zero.
+        """
+        from pyspark.sql import functions as F
+        need = self.labor_needed()
+        junk = F.pmod("icrunidx", F.lit(10)) == 0
+        return need.select(
+            "icrunidx", "productdescr", "quantity",
+            F.when(junk, F.lit("n/a")).otherwise((F.pmod("icrunidx", F.lit(6)) + 1).cast("string"))
+            .alias("num_laborers"),
+            F.format_string("%.1f", (F.pmod("icrunidx", F.lit(8)) + 2) / 2).alias("hours_per_laborer"),
+            F.col("billing_week").alias("week_end"))
+
+    def labor_after_replies(self, hourly_rate: str = "18.75") -> DataFrame:
+        """C6 + K2: the labor_charges table after recording every reply."""
+        from pyspark.sql import functions as F
+        rows = labor.labor_rows(self.labor_reply, F.col("_week"), hourly_rate)
+        return self.d.labor_charges.unionByName(rows)
