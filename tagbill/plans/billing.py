@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import catalog, chain, charges, labor, rollups, shipped, status, storage
+from ..operators import catalog, chain, charges, labor, rollups, rundetail, shipped, status, storage
 from ..sources.adapter import Domain
 
 
@@ -97,3 +97,27 @@ class Billing:
         from pyspark.sql import functions as F
         rows = labor.labor_rows(self.labor_reply, F.col("_week"), hourly_rate)
         return self.d.labor_charges.unionByName(rows)
+
+    # run detail -----------------------------------------------------------
+    @cached_property
+    def runs_prepared(self) -> DataFrame:
+        return rundetail.prepare(self.d.run_submissions)
+
+    @cached_property
+    def run_parents(self) -> DataFrame:
+        return rundetail.parent_rows(self.runs_prepared)
+
+    def run_children(self, key: str) -> DataFrame:
+        return rundetail.child_rows(self.runs_prepared, key)
+
+    def run_resave(self) -> DataFrame:
+        """A second save of every third run carrying only status and note (no lines)."""
+        from pyspark.sql import functions as F
+        sub = self.d.run_submissions.filter(F.pmod("run_no", F.lit(30)) == 0)
+        keep = {"run_no", "labor", "io", "material", "materials", "defect", "status", "note"}
+        sub = sub.select(*[
+            (F.lit("submitted").alias(c) if c == "status" else F.lit("REVISED").alias(c) if c == "note"
+             else F.col(c) if c == "run_no"
+             else F.lit(None).cast(sub.schema[c].dataType).alias(c)) for c in sub.columns])
+        del keep
+        return rundetail.prepare(sub)

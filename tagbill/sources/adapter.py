@@ -307,3 +307,79 @@ class Domain:
             F.lit("CHEP").alias("material_descr"), qty.alias("material_qty"),
             cost.alias("unit_cost"), F.round(qty * cost, 2).cast(MONEY).alias("materials_charge"),
         )
+
+    # ------------------------------------------------------ run submissions
+    @cached_property
+    def run_submissions(self) -> DataFrame:
+        """Time-and-materials documents: one per tenth order, children from its line items.
+
+        Labor lines pay the line's extended price; material lines price the line
+        quantity at the part's retail price / 100 (no price on line 2, so the
+        submitted total stands). Every 20th run sends its materials under the
+        ``materials`` alias; every 70th has no run date; every 3rd customer leaves
+        the overhead rate blank.
+        """
+        o = (self.driver.table("orders")
+             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+             .filter(F.pmod("o_orderkey", F.lit(10)) == 0))
+        li = self.driver.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
+        li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        li = li.join(self.part_attrs.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"),
+                     "l_partkey", "left")
+        n = F.col("l_linenumber")
+        labor = F.struct(
+            F.when(n == 3, F.lit(None)).otherwise(n).cast("int").alias("seq"),
+            _pick(n, ["", "Input Set-on", "Grader", "Packers", "Machine Operator", "Palletizers",
+                      "Forklift Driver", "Tally"]).alias("position"),
+            n.cast(QTY).alias("num_workers"), F.lit(8).cast(QTY).alias("reg_hours"),
+            F.pmod(n, F.lit(3)).cast(QTY).alias("ot_hours"),
+            (F.pmod(n, F.lit(3)) + 8).cast(QTY).alias("total_hours"),
+            F.lit(None).cast(MONEY).alias("reg_pay"), F.lit(None).cast(MONEY).alias("ot_pay"),
+            F.col("l_extendedprice").cast(MONEY).alias("total_pay"))
+        price = F.when(n == 2, F.lit(None)).otherwise((F.col("p_retailprice") / 100).cast(RATE))
+        material = F.struct(
+            n.cast("int").alias("seq"),
+            _pick(F.pmod(n, F.lit(3)), ["pallet", "corner_board", "other"]).alias("category"),
+            _pick(F.pmod(n, F.lit(3)), ["CHEP", "Pallet Cover", "40lb Tops"]).alias("material"),
+            F.col("l_quantity").cast(QTY).alias("quantity"), price.alias("price_per_unit"),
+            F.col("l_extendedprice").cast(MONEY).alias("total"))
+        io = F.struct(n.cast("int").alias("seq"),
+                      F.when(F.pmod(n, F.lit(2)) == 0, "output").otherwise("input").alias("io"),
+                      F.col("l_quantity").cast(QTY).alias("boxes"), F.lit("LBL").alias("label"),
+                      F.lit("CTN").alias("pack_style"), F.lit("56").alias("size"))
+        defect = F.struct(n.cast("int").alias("seq"), F.lit("Scarring").alias("defect_type"),
+                          F.col("l_partkey").cast("string").alias("value"))
+        # children are collected per run; a run has at most seven line items
+        kids = li.groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list(F.struct(n.alias("k"), labor.alias("v")))).alias("_l"),
+            F.sort_array(F.collect_list(F.struct(n.alias("k"), material.alias("v")))).alias("_m"),
+            F.sort_array(F.collect_list(F.struct(n.alias("k"), io.alias("v")))).alias("_i"),
+            F.sort_array(F.collect_list(F.when(n == 1, F.struct(n.alias("k"), defect.alias("v")))))
+            .alias("_d"))
+        j = o.join(kids, o["o_orderkey"] == kids["l_orderkey"], "left")
+        vals = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda x: x["v"])
+        alias = F.pmod("o_orderkey", F.lit(20)) == 0
+        mats = vals("_m")
+        return j.select(
+            F.col("o_orderkey").alias("run_no"),
+            F.when(F.pmod("o_orderkey", F.lit(70)) == 0, F.lit(None).cast("date"))
+             .otherwise(F.to_date("o_orderdate")).alias("run_date"),
+            F.lit(None).cast("string").alias("run_type"), F.lit("CTN TO BAG").alias("note"),
+            F.lit("CREEKSIDE").alias("company"), F.lit("ORG ORANGE").alias("commodity"),
+            F.lit("VALENCIA").alias("varieties"),
+            _pick(F.pmod("o_custkey", F.lit(3)), ["REPACK-QUALITY", "PACK", "RESTYLE"]).alias("repack"),
+            F.lit(None).cast("string").alias("restyle"), F.lit("0.85").cast(QTY).alias("pack_out_pct"),
+            F.lit("06:00").alias("start_time"), F.lit("11:30").alias("start_lunch"),
+            F.lit("12:00").alias("end_lunch"), F.lit("15:30").alias("finish_time"),
+            F.lit(None).cast(QTY).alias("input_units"), F.lit(None).cast(QTY).alias("output_units"),
+            F.when(F.pmod("o_custkey", F.lit(3)) == 0, F.lit(None).cast(RATE))
+             .otherwise((F.lit(10) + F.pmod("o_custkey", F.lit(10))).cast(RATE) / 100).cast(RATE)
+             .alias("overhead_rate"),
+            F.when(F.col("o_orderstatus") == "F", "submitted").otherwise("draft").alias("status"),
+            vals("_l").alias("labor"), vals("_i").alias("io"),
+            # the alias is used when ``material`` is missing (NULL) or empty
+            F.when(alias & (F.pmod("o_orderkey", F.lit(40)) == 0), F.filter(mats, lambda x: F.lit(False)))
+             .when(alias, F.lit(None)).otherwise(mats).alias("material"),
+            F.when(alias, mats).otherwise(F.lit(None)).alias("materials"),
+            vals("_d").alias("defect"))
