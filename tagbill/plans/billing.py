@@ -11,7 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import catalog, chain, charges, labor, rollups, rundetail, shipped, status, storage
+from ..operators import (catalog, chain, charges, labor, rollups, rundetail, shipped, shipping,
+                         status, storage)
 from ..sources.adapter import Domain
 
 
@@ -121,3 +122,51 @@ class Billing:
              else F.lit(None).cast(sub.schema[c].dataType).alias(c)) for c in sub.columns])
         del keep
         return rundetail.prepare(sub)
+
+    # shipping charges -----------------------------------------------------
+    @cached_property
+    def ship_trimmed(self) -> DataFrame:
+        return shipping.trim_report(self.d.shipping_charges_report)
+
+    @cached_property
+    def ship_results(self) -> DataFrame:
+        return shipping.debit_match(self.d.certificates)
+
+    @cached_property
+    def ship_corrections(self) -> DataFrame:
+        """Reviewer corrections: flagged certificates get the order number read off the
+        certificate number; every 300th first receives a wrong one (seq 1), then the fix."""
+        from pyspark.sql import functions as F
+        need = self.ship_results.filter(shipping.needs_review(self.ship_results))
+        num = F.regexp_extract("current_certificate_number", r"^S-C-(\d+)-CA$", 1).try_cast("long")
+        fixed = need.withColumn("order_number", num).withColumn("seq", F.lit(2))
+        wrong = (need.filter(F.pmod(num, F.lit(300)) == 0)
+                 .withColumn("order_number", F.lit(-1).cast("long")).withColumn("seq", F.lit(1)))
+        return fixed.unionByName(wrong)
+
+    @cached_property
+    def ship_corrected(self) -> DataFrame:
+        return shipping.apply_corrections(self.ship_results, self.ship_corrections)
+
+    @cached_property
+    def ship_combined(self) -> DataFrame:
+        return shipping.combine(self.ship_trimmed, self.ship_corrected)
+
+    @cached_property
+    def ship_totals(self) -> DataFrame:
+        return shipping.shipping_total(self.ship_combined, self.ship_corrected)
+
+    @cached_property
+    def ship_summary(self) -> DataFrame:
+        return shipping.run_summary(self.ship_corrected, self.ship_totals)
+
+    @cached_property
+    def folder_names(self) -> DataFrame:
+        """The folder listing: every week seen, plus per year an impossible date and an archive."""
+        from pyspark.sql import functions as F
+        weeks = (self.d.certificates.select("week_folder")
+                 .union(self.d.shipping_charges_report.select("week_folder")).distinct())
+        years = weeks.select(F.substring("week_folder", -4, 4).alias("y")).distinct()
+        junk = years.select(F.explode(F.array(F.concat(F.lit("WE 02.30."), "y"),
+                                              F.concat(F.lit("Archive "), "y"))).alias("week_folder"))
+        return weeks.unionByName(junk)

@@ -383,3 +383,69 @@ class Domain:
              .when(alias, F.lit(None)).otherwise(mats).alias("material"),
             F.when(alias, mats).otherwise(F.lit(None)).alias("materials"),
             vals("_d").alias("defect"))
+
+    # --------------------------------------------------- shipping charges
+    @cached_property
+    def shipping_charges_report(self) -> DataFrame:
+        """Weekly shipping-charges report (S4 input): mixed-case headers plus extra columns.
+
+        Lines 1-2 of each order are charge rows (freight, pallet charge); every 13th
+        part leaves the amount blank. ``week_folder`` names the report's week.
+        """
+        li = self.driver.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_shipdate") \
+            .filter(F.col("l_linenumber") <= 2)
+        rate = (F.col("l_tax") * 100).cast(RATE)
+        qty = F.col("l_quantity").cast(QTY)
+        return li.select(
+            F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("ShipDateTime"),
+            F.col("l_orderkey").cast("string").alias("SONO"),
+            F.when(F.col("l_linenumber") == 1, "FREIGHT").otherwise("PALLET CHARGE").alias("ChargeDescr"),
+            qty.alias("Qnt"), rate.alias("Rate"),
+            F.when(F.pmod("l_partkey", F.lit(13)) == 0, F.lit(None).cast(MONEY))
+             .otherwise(F.round(qty * rate, 2).cast(MONEY)).alias("Amt"),
+            F.lit("RDL").alias("Whse"),
+            F.concat(F.lit("WE "), F.date_format(billing_week(F.to_date("l_shipdate")), "MM.dd.yyyy"))
+            .alias("week_folder"))
+
+    @cached_property
+    def certificates(self) -> DataFrame:
+        """Certificate extractions (S8): one per 30th order, debit rows from its line items.
+
+        Debit row numbers are, by line: an unrelated number, the certificate in
+        lower case with spaces (amount missing), the exact number, then longer
+        numbers that must not match. Order number 0 every 90th, missing every 150th.
+        """
+        o = (self.driver.table("orders").select("o_orderkey", "o_orderdate")
+             .filter(F.pmod("o_orderkey", F.lit(30)) == 0))
+        k = F.col("o_orderkey").cast("string")
+        li = self.driver.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+        li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        n = F.col("l_linenumber")
+        lk = F.col("l_orderkey").cast("string")
+        number = (F.when(n == 1, F.concat(F.lit("X-"), F.col("l_partkey").cast("string")))
+                  .when(n == 2, F.concat(F.lit(" s c "), lk, F.lit(" ca")))
+                  .when(n == 3, F.concat(F.lit("S-C-"), lk, F.lit("-CA")))
+                  .otherwise(F.concat(F.lit("S-C-"), lk, F.lit("-CA-"), n.cast("string"))))
+        row = F.struct(number.alias("certificate_number"),
+                       F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+                       F.when(n == 2, F.lit(None).cast(MONEY))
+                        .otherwise(F.col("l_extendedprice").cast(MONEY)).alias("debit_amount"))
+        # array order = (line, part, ship date, price): line numbers repeat within an order
+        rows = li.groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list(F.struct(n.alias("k"), F.col("l_partkey").alias("k2"),
+                                                 F.col("l_shipdate").alias("k3"),
+                                                 F.col("l_extendedprice").alias("k4"), row.alias("v"))))
+            .alias("_r"))
+        j = o.join(rows, o["o_orderkey"] == rows["l_orderkey"], "left")
+        return j.select(
+            F.concat(F.lit("WE "), F.date_format(billing_week(F.to_date("o_orderdate")), "MM.dd.yyyy"))
+            .alias("week_folder"),
+            F.concat(F.lit("phyto_"), k, F.lit(".pdf")).alias("file"),
+            F.concat(F.lit("S-C-"), k, F.lit("-CA")).alias("current_certificate_number"),
+            F.lit(None).cast("string").alias("replaced_certificate_number"),
+            F.when(F.pmod("o_orderkey", F.lit(150)) == 0, F.lit(None).cast("long"))
+             .when(F.pmod("o_orderkey", F.lit(90)) == 0, F.lit(0).cast("long"))
+             .otherwise(F.col("o_orderkey")).alias("order_number"),
+            F.transform(F.coalesce("_r", F.array()), lambda x: x["v"]).alias("debit_rows"))
