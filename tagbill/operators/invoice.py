@@ -159,3 +159,15 @@ def meta_counts(tables: dict[str, DataFrame], billing_lines: DataFrame) -> DataF
     return u.agg(*[F.count_if(F.col("k") == name).alias(name) for name in tables],
                  F.count_distinct(F.when(F.col("k") == "billed", F.col("tagid"))).alias("billed_tags"),
                  F.lit(True).alias("db_ok"))
+
+
+def normalize_items(items: DataFrame) -> DataFrame:
+    """Invoice items as the renderer takes them — missing quantity/price count as 0,
+    a missing amount is quantity × price; each item gets its page number."""
+    q = F.coalesce(F.col("quantity"), F.lit(0))
+    p = F.coalesce(F.col("price"), F.lit(0))
+    out = items.withColumn("amount", F.coalesce(F.col("amount"), q * p))
+    if "line_no" in items.columns:
+        out = out.withColumn("page_no",
+                             (F.floor((F.col("line_no") - 1) / ROWS_PER_PAGE) + 1).cast("int"))
+    return out
