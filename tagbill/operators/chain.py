@@ -60,12 +60,12 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
     depth = 0
     try:
         while not cand.isEmpty():
-            level = cut_lineage(first_per_key(cand, KEY, CHAIN_TIEBREAK))
-            levels.append(level)
-            frontier = cand.select("shipped_tag", F.col("icrunidx").alias("parent_run")).distinct()
+            levels.append(cand)
+            # keys reached so far: every candidate key of every earlier depth
             reached = levels[0].select(*KEY)
             for lv in levels[1:]:
                 reached = reached.union(lv.select(*KEY))
+            frontier = cand.select("shipped_tag", F.col("icrunidx").alias("parent_run")).distinct()
             depth += 1
             step = (frontier.join(edges, "parent_run")
                     .join(reached, KEY, "left_anti")
@@ -78,6 +78,9 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
     result = levels[0]
     for lv in levels[1:]:
         result = result.unionByName(lv)
+    # the depths of one key never mix (anti-join), so one row per key over the union
+    # picks the shallowest candidate with the tie-break
+    result = first_per_key(result, KEY, CHAIN_TIEBREAK)
     return result.select(*CHAIN_COLUMNS,
                          (F.col("fcreasonidx").isin(39, 41) & billable_product(F.col("productname")))
                          .alias("billable"))
