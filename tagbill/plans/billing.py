@@ -17,29 +17,55 @@ from ..sources.adapter import Domain
 
 
 class Billing:
-    def __init__(self, spark: SparkSession, sf_dir: str, domain: Domain | None = None):
+    """The billing views over one set of domain tables.
+
+    With ``share=True`` the intermediates that several views read (``shipped``, the
+    classification cache, the two rate tables, ``charges``, ``storage_charges``)
+    are persisted (memory, spilling to disk) so a job producing many views computes
+    each once; a lost executor recomputes missing blocks from lineage, and
+    ``release()`` drops them. Off by default: for one query at a time, measured
+    at sf0.1, recomputing is cheaper than building the cache (65 s vs 101 s bench).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, domain: Domain | None = None,
+                 share: bool = False):
         self.spark = spark
         self.d = domain or Domain(spark, sf_dir)
+        self.share = share
+        self._held: list[DataFrame] = []
+
+    def _shared(self, df: DataFrame) -> DataFrame:
+        if not self.share:
+            return df
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._held.append(df)
+        return df
+
+    def release(self) -> None:
+        for df in self._held:
+            df.unpersist()
+        self._held.clear()
 
     # inputs -------------------------------------------------------------
     @cached_property
     def classification(self) -> DataFrame:
         d = self.d
-        return catalog.classification(
-            catalog.product_names(d.repack_outputs, d.repack_inputs, d.repack_lines))
+        return self._shared(catalog.classification(
+            catalog.product_names(d.repack_outputs, d.repack_inputs, d.repack_lines)))
 
     @cached_property
     def packing_rates(self) -> DataFrame:
-        return catalog.packing_rates(self.d.packing_rates_raw)
+        return self._shared(catalog.packing_rates(self.d.packing_rates_raw))
 
     @cached_property
     def storage_rates(self) -> DataFrame:
-        return catalog.storage_rates(self.d.storage_sheet)
+        return self._shared(catalog.storage_rates(self.d.storage_sheet))
 
     # views --------------------------------------------------------------
     @cached_property
     def shipped(self) -> DataFrame:
-        return shipped.shipped(self.d.shipping_raw)
+        return self._shared(shipped.shipped(self.d.shipping_raw))
 
     @cached_property
     def status_ship(self) -> DataFrame:
@@ -53,7 +79,7 @@ class Billing:
 
     @cached_property
     def charges(self) -> DataFrame:
-        return charges.charges(self.status_ship, self.classification, self.packing_rates)
+        return self._shared(charges.charges(self.status_ship, self.classification, self.packing_rates))
 
     @cached_property
     def bill_lines(self) -> DataFrame:
@@ -61,8 +87,8 @@ class Billing:
 
     @cached_property
     def storage_charges(self) -> DataFrame:
-        return storage.storage_charges(self.shipped, self.classification, self.storage_rates,
-                                       self.d.billing_lines)
+        return self._shared(storage.storage_charges(self.shipped, self.classification,
+                                                    self.storage_rates, self.d.billing_lines))
 
     @cached_property
     def bill_summary(self) -> DataFrame:
