@@ -39,9 +39,6 @@ def bill_summary(bill_lines_df: DataFrame, storage: DataFrame, labor: DataFrame,
     weeks = (svc.select("billing_week").union(lab.select("billing_week"))
              .union(mat.select("billing_week")).union(sto.select("billing_week")).distinct())
 
-    def on(a: DataFrame, b: DataFrame):
-        return a["billing_week"] == b["billing_week"]
-
     j = weeks
     for part in (svc, lab, mat, sto):
         p = part.withColumnRenamed("billing_week", "_w")
@@ -113,3 +110,19 @@ def period_lines(charges_df: DataFrame, start: str, end: str, status: str = "all
                     "commodity", "style", "bagtype", "rate", "shipped_qty", "amount",
                     "rate_missing", "billed")
             .orderBy("transaction_type", F.col("productname").asc_nulls_last(), "tagid"))
+
+
+def candidate_totals(candidates: DataFrame) -> DataFrame:
+    """Totals under the bill-candidates table (tags, cartons, amount, missing rates)."""
+    return candidates.agg(F.coalesce(F.sum("tags"), F.lit(0)).cast("long").alias("tags"),
+                          F.sum("shipped_qty").cast("decimal(38,4)").alias("shipped_qty"),
+                          F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY_SUM).alias("amount"),
+                          F.coalesce(F.sum("tags_missing_rate"), F.lit(0)).cast("long")
+                          .alias("tags_missing_rate"))
+
+
+def storage_totals(storage_rows: DataFrame) -> DataFrame:
+    """Pallets, amount and pallets missing a rate under a storage listing."""
+    return storage_rows.agg(F.count(F.lit(1)).alias("pallets"),
+                            F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY_SUM).alias("amount"),
+                            F.count_if("rate_missing").alias("pallets_missing_rate"))

@@ -165,3 +165,9 @@ def folder_tree(folders: DataFrame, runs: DataFrame) -> DataFrame:
     return (months.select("year", F.struct("month", label.alias("label"), "weeks").alias("m"))
             .groupBy("year").agg(F.sort_array(F.collect_list("m"), asc=False).alias("months"))
             .orderBy(F.col("year").desc()))
+
+
+def latest_week_folder(folders: DataFrame) -> DataFrame:
+    """The newest folder by its date — a max_by aggregate, no global sort."""
+    return folders.agg(F.max_by("week_folder", "date").alias("week_folder"),
+                       F.max("date").alias("date"))
