@@ -37,15 +37,20 @@ def consumed_tags(inputs: DataFrame) -> DataFrame:
     return inputs.filter(F.col("tagid").isNotNull()).select(F.col("tagid").cast("long")).distinct()
 
 
-def status_tags(outputs: DataFrame, inputs: DataFrame, shipped: DataFrame) -> DataFrame:
-    """Every produced tag, plus input-only tags that shipped (J3 semi + anti)."""
+def status_tags(outputs: DataFrame, inputs: DataFrame, shipped: DataFrame | None = None) -> DataFrame:
+    """Every produced tag, plus tags only ever consumed (J3 anti join).
+
+    With ``shipped`` the input-only tags are restricted to shipped ones here (J3
+    semi join); ``status_with_ship`` passes None and applies that restriction
+    after its single join with ``shipped`` instead, so v_shipped is joined once.
+    """
     cols = ["tagid", "icrunidx", "productname", "fcreasonidx", "qnt", "uom", "rundate"]
     out = outputs.filter(F.col("tagid").isNotNull()).withColumn("tagid", F.col("tagid").cast("long"))
     out = first_per_key(out.select(*cols), ["tagid"], TAG_TIEBREAK).withColumn("role", F.lit("output"))
     inp = inputs.filter(F.col("tagid").isNotNull()).withColumn("tagid", F.col("tagid").cast("long"))
-    inp = (inp.select(*cols)
-           .join(shipped.select("tagid"), "tagid", "left_semi")
-           .join(out.select("tagid"), "tagid", "left_anti"))
+    inp = inp.select(*cols).join(out.select("tagid"), "tagid", "left_anti")
+    if shipped is not None:
+        inp = inp.join(shipped.select("tagid"), "tagid", "left_semi")
     inp = first_per_key(inp, ["tagid"], TAG_TIEBREAK).withColumn("role", F.lit("input_only"))
     return out.unionByName(inp)
 
@@ -65,11 +70,13 @@ def billing_status(billed_flag: Column, reason: Column, product: Column) -> Colu
 def status_with_ship(outputs: DataFrame, inputs: DataFrame, shipped: DataFrame,
                      billing_lines: DataFrame) -> DataFrame:
     """Status rows plus the shipped tag's ship_date (J2; J4 reuses it, no second join)."""
-    tags = status_tags(outputs, inputs, shipped)
+    tags = status_tags(outputs, inputs)
     b = packing_billed_tags(billing_lines).withColumn("_b", F.lit(True))
     c = consumed_tags(inputs).withColumn("_c", F.lit(True))
     sh = shipped.select("tagid", "shipped_qty", "ship_date", F.lit(True).alias("_s"))
-    j = (tags.join(b, "tagid", "left").join(c, "tagid", "left").join(sh, "tagid", "left"))
+    j = (tags.join(sh, "tagid", "left")
+         .filter((F.col("role") == "output") | F.col("_s").isNotNull())   # input-only: shipped ones
+         .join(b, "tagid", "left").join(c, "tagid", "left"))
     return j.select(
         *[c_ for c_ in STATUS_COLUMNS if c_ not in ("wh_status", "shipped_qty", "billing_status")],
         wh_status(F.col("_s").isNotNull(), F.col("_c").isNotNull()).alias("wh_status"),
