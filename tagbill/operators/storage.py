@@ -70,15 +70,22 @@ def storage_candidates(storage: DataFrame) -> DataFrame:
 
 
 def storage_summary(storage: DataFrame, start=None, end=None, status="all") -> DataFrame:
-    """A10 (API rollup): per pack form → pallets, total, missing, billed; NULL groups kept."""
-    return (scope(storage, start, end, status)
-            .groupBy("commodity", "style", "bagtype")
-            .agg(F.count(F.lit(1)).alias("pallets"),
-                 F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY_SUM).alias("total"),
-                 F.count_if("rate_missing").alias("missing"),
-                 F.count_if("billed").alias("billed"))
-            .orderBy(F.col("commodity").asc_nulls_last(), F.col("style").asc_nulls_last(),
-                     F.col("bagtype").asc_nulls_last()))
+    """A10 (API rollup): rated pallets per (commodity, style, bagtype, rate); NULL groups kept."""
+    return (storage_invoice_groups(storage, start, end, status)
+            .orderBy(*[F.col(c).asc_nulls_last() for c in ("commodity", "style", "bagtype", "rate")]))
+
+
+def storage_summary_header(storage: DataFrame, start: str, end: str, status="all") -> DataFrame:
+    """A10 (API header): rated total, all pallets, pallets missing a rate, pallets billed."""
+    s = scope(storage, start, end, status)
+    return s.agg(
+        F.coalesce(F.sum(F.when(~F.col("rate_missing"), F.col("amount"))), F.lit(0))
+        .cast(MONEY_SUM).alias("total"),
+        F.count(F.lit(1)).alias("pallets"),
+        F.count_if("rate_missing").alias("pallets_missing_rate"),
+        F.count_if("billed").alias("pallets_billed"),
+    ).select(F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(status).alias("status"),
+             "total", "pallets", "pallets_missing_rate", "pallets_billed")
 
 
 def storage_invoice_groups(storage: DataFrame, start, end, status="all") -> DataFrame:
