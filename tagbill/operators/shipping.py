@@ -171,3 +171,16 @@ def latest_week_folder(folders: DataFrame) -> DataFrame:
     """The newest folder by its date — a max_by aggregate, no global sort."""
     return folders.agg(F.max_by("week_folder", "date").alias("week_folder"),
                        F.max("date").alias("date"))
+
+
+def mark_posted(runs: DataFrame, replies: DataFrame) -> DataFrame:
+    """Store each week's ERP reply; only an ok reply sets status 'posted' and posted_at."""
+    r = replies.select(F.col("week_folder").alias("_w"), F.col("ok").alias("_ok"),
+                       F.col("erp_result").alias("_reply"))
+    j = runs.join(r, runs["week_folder"] == r["_w"], "left")
+    hit, ok = F.col("_w").isNotNull(), F.coalesce(F.col("_ok"), F.lit(False))
+    return j.select(*[
+        (F.when(hit & ok, F.lit("posted")).otherwise(F.col(c)) if c == "status"
+         else F.when(hit, F.col("_reply")).otherwise(F.col(c)) if c == "erp_result"
+         else F.when(hit & ok, F.current_timestamp()).otherwise(F.col(c)) if c == "posted_at"
+         else F.col(c)).alias(c) for c in runs.columns])

@@ -68,3 +68,33 @@ def append_aligned(spark: SparkSession, root: str, rows: DataFrame, schema: T.St
     n = (batches[-1] + 1) if batches else 0
     align_to(rows, schema).write.mode("errorifexists").parquet(f"{root}/_batches/v={n}")
     return spark.read.schema(schema).parquet(f"{root}/_batches/v=*")
+
+
+def upsert_supplied(current: DataFrame, fresh: DataFrame, key: str, supplied: list[str],
+                    schema: T.StructType, touched: str | None = "updated_at") -> DataFrame:
+    """Upsert on ``key`` writing only the ``supplied`` columns (K8/K12 shape).
+
+    Existing rows keep every column the payload did not carry; new rows get NULL
+    there. ``touched`` (if given) is set to now on every written row, and a
+    ``created_at`` column, when present, is set only for new rows.
+    """
+    cols = [f.name for f in schema.fields]
+    new = fresh.select(*[F.col(c).alias(f"_n_{c}") for c in [key] + [s for s in supplied if s != key]])
+    old = current.select(*[F.col(c).alias(f"_o_{c}") for c in cols]).withColumn("_exists", F.lit(True))
+    j = new.join(old, new[f"_n_{key}"] == old[f"_o_{key}"], "left")
+    out = []
+    for f in schema.fields:
+        c = f.name
+        if c == key:
+            v = F.col(f"_n_{key}")
+        elif c in supplied:
+            v = F.col(f"_n_{c}")
+        elif c == touched:
+            v = F.current_timestamp()
+        elif c == "created_at":
+            v = F.when(F.col("_exists"), F.col("_o_created_at")).otherwise(F.current_timestamp())
+        else:
+            v = F.when(F.col("_exists"), F.col(f"_o_{c}"))
+        out.append(v.cast(f.dataType).alias(c))
+    kept = current.join(fresh.select(key), key, "left_anti").select(*cols)
+    return kept.unionByName(j.select(*out))

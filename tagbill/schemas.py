@@ -148,3 +148,13 @@ NOTIFICATION = T.StructType([
     T.StructField("subject", T.StringType()), T.StructField("received_at", T.TimestampType()),
     T.StructField("week_folder", T.StringType()),
 ])
+
+SHIPPING_RUNS = T.StructType([
+    T.StructField("week_folder", T.StringType()), T.StructField("status", T.StringType()),
+    T.StructField("report_path", T.StringType()), T.StructField("trimmed_path", T.StringType()),
+    T.StructField("combined_path", T.StringType()), T.StructField("xlsx_path", T.StringType()),
+    T.StructField("result", T.StringType()), T.StructField("needs_review", T.StringType()),
+    T.StructField("total", MONEY_SUM), T.StructField("erp_result", T.StringType()),
+    T.StructField("error", T.StringType()), T.StructField("created_at", T.TimestampType()),
+    T.StructField("updated_at", T.TimestampType()), T.StructField("posted_at", T.TimestampType()),
+])
