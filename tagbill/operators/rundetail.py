@@ -47,6 +47,14 @@ CHILDREN = {
 DEFAULTS = {"company": "CREEKSIDE", "status": "draft"}  # fixed values: column defaults
 
 
+def ref_positions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REF_POSITIONS, "name string, seq int")
+
+
+def ref_defects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REF_DEFECTS, "name string, seq int")
+
+
 def ref_materials(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(n, c, p, u, s) for n, c, p, u, s in REF_MATERIALS],

@@ -108,3 +108,28 @@ def bill_lines_export(lines: DataFrame) -> DataFrame:
     """The 11 exported bill-line columns as text (NULL → '')."""
     return lines.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
                           for c in BILL_EXPORT_COLUMNS])
+
+
+def read_labor_reply(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A labor reply sheet (icrunidx, productdescr, quantity, num_laborers,
+    hours_per_laborer) as text; ``operators.labor.labor_rows`` types and prices it."""
+    if fmt == "csv":
+        return read_report_csv(spark, path)
+    return spark.read.json(path)
+
+
+def read_certificates(spark: SparkSession, path: str) -> DataFrame:
+    """Certificate extraction records (nested debit rows) with a declared schema."""
+    from ..schemas import CERT_EXTRACTION
+    return spark.read.schema(CERT_EXTRACTION).json(path)
+
+
+def read_run_submissions(spark: SparkSession, path: str) -> DataFrame:
+    """Run-detail documents (parent fields + child arrays, ``materials`` alias kept)."""
+    from ..schemas import RUN_SUBMISSION
+    return spark.read.schema(RUN_SUBMISSION).json(path)
+
+
+def seed_missing(current: DataFrame, seeds: DataFrame, key: str = "name") -> DataFrame:
+    """Insert-if-absent — seed rows whose key is not stored yet are added."""
+    return current.unionByName(seeds.join(current.select(key), key, "left_anti"))
