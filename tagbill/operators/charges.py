@@ -22,8 +22,10 @@ def rate_lookup(keys: DataFrame, rates: DataFrame, key_cols: list[str], rate_col
     instead of one OR-join, which would degrade to a nested loop.
     """
     ct, cm, st = key_cols
-    r = rates.select(F.col("commtype").alias("_ct"), F.col("commodity").alias("_cm"),
-                     F.col("style").alias("_st"), F.col("bagtype").alias("_bt"),
+    # packing keys are compared trimmed on the rate side (J6/J7); storage keys as stored
+    side = (lambda c: F.trim(F.col(c))) if null_safe_bag else F.col
+    r = rates.select(side("commtype").alias("_ct"), side("commodity").alias("_cm"),
+                     side("style").alias("_st"), side("bagtype").alias("_bt"),
                      F.col(rate_col).alias("_rate"))
     exact = r.select("_ct", "_cm", "_st",
                      (F.coalesce("_bt", F.lit("")) if null_safe_bag else F.col("_bt")).alias("_bt"),

@@ -94,9 +94,11 @@ def orders_to_post(bill_lines_df: DataFrame, storage: DataFrame, week: str | Non
     if week:
         lines = lines.filter(F.col("billing_week") == F.lit(week).cast("date"))
         sto = sto.filter(F.col("billing_week") == F.lit(week).cast("date"))
+    # an order's amount is the sum of its priced lines; no priced line → 0
     pk = lines.groupBy("billing_week", "transaction_type").agg(
-        F.sum("amount").cast(MONEY_SUM).alias("amount"), F.count(F.lit(1)).alias("lines"))
-    st = sto.groupBy("billing_week").agg(F.sum("amount").cast(MONEY_SUM).alias("amount"),
+        F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY_SUM).alias("amount"),
+        F.count(F.lit(1)).alias("lines"))
+    st = sto.groupBy("billing_week").agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY_SUM).alias("amount"),
                                          F.count(F.lit(1)).alias("lines")) \
         .withColumn("transaction_type", F.lit("STORAGE"))
     orders = pk.unionByName(st)

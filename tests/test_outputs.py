@@ -98,3 +98,21 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     assert [(r.icrunidx, r.week_end, r.labor_charge) for r in rows] == [(10, "2024-01-07", D("60.00"))]
     ids = spark.read.parquet(f"{dirs['messages']}/epoch=*").select("message_id").collect()
     assert sorted(r.message_id for r in ids) == ["1", "4"]
+
+
+def test_week_scoped_equals_filtered(spark):
+    """A week argument is a filter on the all-weeks result (post, record, labor needed)."""
+    from tagbill.operators import labor as lab
+    from tagbill.plans.billing import Billing
+    b = Billing(spark, "/root/testdata/sf0.001")
+    week = (b.bill_lines.filter(F.col("billing_week").isNotNull())
+            .agg(F.min("billing_week")).first()[0].isoformat())
+    def key(df):
+        return sorted(tuple(str(v) for v in r) for r in df.collect())
+    allw = invoice.orders_to_post(b.bill_lines, b.storage_charges)
+    one = invoice.orders_to_post(b.bill_lines, b.storage_charges, week)
+    assert key(one) == key(allw.filter(F.col("billing_week") == week))
+    rows = invoice.billed_rows_packing(b.bill_lines, week)
+    assert key(rows) == key(invoice.billed_rows_packing(b.bill_lines).filter(F.col("week_end") == week))
+    need = lab.labor_needed(b.bill_lines, b.d.labor_charges, week)
+    assert all(r.billing_week == week for r in need.collect())
