@@ -10,7 +10,8 @@ instead of once per path.
 Each hop is three distributed operators — frontier ⋈ edges on the run id,
 anti-join against the tags already reached, one row per key — and its result
 is written to the reliable checkpoint folder, so the plan never grows with
-the depth and a lost executor only recomputes the current hop.
+the depth and a lost executor only recomputes the current hop. (Writing each hop
+as parquet instead was measured slower at sf0.1: 50 s vs 37 s.)
 """
 
 from __future__ import annotations
@@ -55,6 +56,7 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
     cand = cut_lineage(seed.join(out, seed["shipped_tag"] == out["tagid"])
                        .select(*CHAIN_COLUMNS[:-1]).withColumn("depth", F.lit(0)))
 
+    parallelism = max(1, shipped.sparkSession.sparkContext.defaultParallelism)
     edges = lineage_edges(inputs, outputs).persist(StorageLevel.MEMORY_AND_DISK)
     levels: list[DataFrame] = []
     depth = 0
@@ -65,6 +67,9 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
             reached = levels[0].select(*KEY)
             for lv in levels[1:]:
                 reached = reached.union(lv.select(*KEY))
+            # the union has one partition per level per split; merge them (narrow, no
+            # shuffle) so the task count tracks the cluster, not the depth
+            reached = reached.coalesce(parallelism)
             frontier = cand.select("shipped_tag", F.col("icrunidx").alias("parent_run")).distinct()
             depth += 1
             step = (frontier.join(edges, "parent_run")
@@ -78,6 +83,7 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
     result = levels[0]
     for lv in levels[1:]:
         result = result.unionByName(lv)
+    result = result.coalesce(parallelism)
     # the depths of one key never mix (anti-join), so one row per key over the union
     # picks the shallowest candidate with the tie-break
     result = first_per_key(result, KEY, CHAIN_TIEBREAK)
