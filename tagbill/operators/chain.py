@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.products import billable_product
-from ..session import cut_lineage
+from ..session import cut_lineage, default_parallelism
 from .status import first_per_key
 
 CHAIN_COLUMNS = ["shipped_tag", "tagid", "icrunidx", "fcreasonidx", "productname", "uom", "qty",
@@ -56,7 +56,7 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
     cand = cut_lineage(seed.join(out, seed["shipped_tag"] == out["tagid"])
                        .select(*CHAIN_COLUMNS[:-1]).withColumn("depth", F.lit(0)))
 
-    parallelism = max(1, shipped.sparkSession.sparkContext.defaultParallelism)
+    parallelism = default_parallelism(shipped.sparkSession)
     edges = lineage_edges(inputs, outputs).persist(StorageLevel.MEMORY_AND_DISK)
     levels: list[DataFrame] = []
     depth = 0

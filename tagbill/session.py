@@ -56,7 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     without the setting is an error, because a machine-local folder would not
     survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a local SparkContext (e.g. Spark Connect)
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -70,6 +76,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Cluster parallelism (falls back to the shuffle partition setting)."""
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder and truncate its plan."""
     ensure_checkpoint_dir(df.sparkSession)
