@@ -149,12 +149,19 @@ def record_billed(billing_lines: DataFrame, new_rows: DataFrame) -> DataFrame:
     return align_to(billing_lines, BILLING_LINES).unionByName(align_to(new_rows, BILLING_LINES))
 
 
-def meta_counts(tables: dict[str, DataFrame], billing_lines: DataFrame) -> DataFrame:
-    """Row count per table and distinct billed tags (all charge types) in one job."""
+def meta_counts(tables: dict[str, DataFrame | None], billing_lines: DataFrame | None) -> DataFrame:
+    """Row count per table and distinct billed tags (all charge types) in one job.
+
+    A table that does not exist (``None``) counts 0.
+    """
+    present = {n: df for n, df in tables.items() if df is not None}
     parts = [df.select(F.lit(name).alias("k"), F.lit(None).cast("long").alias("tagid"))
-             for name, df in tables.items()]
-    parts.append(billing_lines.filter(F.col("tagid").isNotNull())
-                 .select(F.lit("billed").alias("k"), F.col("tagid").cast("long")))
+             for name, df in present.items()]
+    if billing_lines is not None:
+        parts.append(billing_lines.filter(F.col("tagid").isNotNull())
+                     .select(F.lit("billed").alias("k"), F.col("tagid").cast("long")))
+    if not parts:
+        raise ValueError("meta_counts needs at least one existing table")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

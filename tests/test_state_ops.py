@@ -42,3 +42,11 @@ def test_material_price_upsert(spark):
     assert len(out) == 10
     assert out["CHEP"].default_price == D("16.5") and out["CHEP"].category == "pallet"   # kept
     assert out["CHEP"].unit_label == "pallet" and out["New"].seq is None
+
+
+def test_meta_counts_missing_table(spark):
+    from tagbill.operators import invoice
+    t = spark.createDataFrame([(1,), (2,)], "x int")
+    bl = spark.createDataFrame([(1, "A"), (1, "B"), (None, "C")], "tagid long, charge_type string")
+    r = invoice.meta_counts({"a": t, "gone": None}, bl).first()
+    assert (r.a, r.gone, r.billed_tags, r.db_ok) == (2, 0, 1, True)
