@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import billing_week
 from ..schemas import MONEY, MONEY_SUM, QTY_SUM
+from ..session import checked_broadcast
 
 CHARGE_COLUMNS = ["tagid", "icrunidx", "productname", "fcreasonidx", "transaction_type",
                   "ship_date", "billing_week", "type", "commodity", "style", "bagtype", "rate",
@@ -18,8 +19,9 @@ def rate_lookup(keys: DataFrame, rates: DataFrame, key_cols: list[str], rate_col
     """Exact rate, GIRO fallback rate, both as columns.
 
     ``rates`` is unique on its key (see ``catalog.packing_rates``) and bounded
-    by the price list, so both lookups are broadcast hash joins: two equi-joins
-    instead of one OR-join, which would degrade to a nested loop.
+    by the price list; after a row-count check both lookups are broadcast hash
+    joins (two equi-joins instead of one OR-join, which would degrade to a
+    nested loop). A rate table beyond the bound is joined without the hint.
     """
     ct, cm, st = key_cols
     # packing keys are compared trimmed on the rate side (J6/J7); storage keys as stored
@@ -34,10 +36,11 @@ def rate_lookup(keys: DataFrame, rates: DataFrame, key_cols: list[str], rate_col
                                                     F.col("_rate").alias("_rate_giro"))
     bag = F.coalesce(F.col(bag_col), F.lit("")) if null_safe_bag else F.col(bag_col)
     k = keys.withColumn("_kbt", bag)
-    k = k.join(F.broadcast(exact),
+    exact, giro = checked_broadcast(exact), checked_broadcast(giro)
+    k = k.join(exact,
                (k[ct] == exact["_ct"]) & (k[cm] == exact["_cm"]) & (k[st] == exact["_st"])
                & (k["_kbt"] == exact["_bt"]), "left").drop("_ct", "_cm", "_st", "_bt", "_kbt")
-    k = k.join(F.broadcast(giro),
+    k = k.join(giro,
                (k[ct] == giro["_ct"]) & (k[cm] == giro["_cm"]) & (k[st] == giro["_st"]),
                "left").drop("_ct", "_cm", "_st")
     return k

@@ -88,3 +88,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder and truncate its plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Largest side we hint for broadcast ourselves; anything bigger is left to the
+# planner (sort-merge / shuffled-hash join, or AQE's measured broadcast).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows of ``df`` (a small job over a
+    small table); beyond the bound the join is planned normally.
+    """
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
