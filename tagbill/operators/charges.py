@@ -36,7 +36,16 @@ def rate_lookup(keys: DataFrame, rates: DataFrame, key_cols: list[str], rate_col
                                                     F.col("_rate").alias("_rate_giro"))
     bag = F.coalesce(F.col(bag_col), F.lit("")) if null_safe_bag else F.col(bag_col)
     k = keys.withColumn("_kbt", bag)
-    exact, giro = checked_broadcast(exact), checked_broadcast(giro)
+    # one size check on the rate table; both lookups are subsets of it
+    checked = checked_broadcast(r)
+    if checked is not r:
+        r = checked
+        exact = r.select("_ct", "_cm", "_st",
+                         (F.coalesce("_bt", F.lit("")) if null_safe_bag else F.col("_bt")).alias("_bt"),
+                         F.col("_rate").alias("_rate_exact"))
+        giro = r.filter(F.col("_bt") == "GIRO").select("_ct", "_cm", "_st",
+                                                        F.col("_rate").alias("_rate_giro"))
+        exact, giro = F.broadcast(exact), F.broadcast(giro)
     k = k.join(exact,
                (k[ct] == exact["_ct"]) & (k[cm] == exact["_cm"]) & (k[st] == exact["_st"])
                & (k["_kbt"] == exact["_bt"]), "left").drop("_ct", "_cm", "_st", "_bt", "_kbt")

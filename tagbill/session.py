@@ -98,9 +98,15 @@ BROADCAST_MAX_ROWS = 2_000_000
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows of ``df`` (a small job over a
-    small table); beyond the bound the join is planned normally.
+    The checked side is persisted while it is counted, so the broadcast reads the
+    rows the check already computed (its size is bounded by the check). Beyond
+    the bound the cache is dropped and the join is planned normally.
     """
+    from pyspark import StorageLevel
     from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
