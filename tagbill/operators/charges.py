@@ -128,3 +128,16 @@ def period_service(charges_df: DataFrame, start: str, end: str, status="all") ->
                  F.count_if("rate_missing").alias("tags_missing_rate"),
                  F.count_if("billed").alias("tags_billed"))
             .orderBy("transaction_type"))
+
+
+def week_lines(bill_lines_df: DataFrame, week=None) -> DataFrame:
+    """P11 per week: one billing week's open lines, ``ORDER BY transaction_type, tagid``.
+
+    ``week`` is a date text, or None for the oldest open week (a scalar subquery).
+    """
+    if week is None:
+        target = bill_lines_df.select(F.min("billing_week")).scalar()
+    else:
+        target = F.lit(week).cast("date")
+    return (bill_lines_df.filter(F.col("billing_week") == target)
+            .orderBy("transaction_type", "tagid"))
