@@ -141,12 +141,9 @@ class Billing:
         """A second save of every third run carrying only status and note (no lines)."""
         from pyspark.sql import functions as F
         sub = self.d.run_submissions.filter(F.pmod("run_no", F.lit(30)) == 0)
-        keep = {"run_no", "labor", "io", "material", "materials", "defect", "status", "note"}
-        sub = sub.select(*[
-            (F.lit("submitted").alias(c) if c == "status" else F.lit("REVISED").alias(c) if c == "note"
-             else F.col(c) if c == "run_no"
-             else F.lit(None).cast(sub.schema[c].dataType).alias(c)) for c in sub.columns])
-        del keep
+        sent = {"status": F.lit("submitted"), "note": F.lit("REVISED"), "run_no": F.col("run_no")}
+        sub = sub.select(*[sent.get(c, F.lit(None)).cast(sub.schema[c].dataType).alias(c)
+                           for c in sub.columns])
         return rundetail.prepare(sub)
 
     # shipping charges -----------------------------------------------------
