@@ -67,7 +67,9 @@ def append_aligned(spark: SparkSession, root: str, rows: DataFrame, schema: T.St
     batches = _versions(spark, root.rstrip("/") + "/_batches")
     n = (batches[-1] + 1) if batches else 0
     align_to(rows, schema).write.mode("errorifexists").parquet(f"{root}/_batches/v={n}")
-    return spark.read.schema(schema).parquet(f"{root}/_batches/v=*")
+    # only completed batches (with _SUCCESS) are read; a failed writer's folder is ignored
+    done = _versions(spark, root.rstrip("/") + "/_batches")
+    return spark.read.schema(schema).parquet(*[f"{root}/_batches/v={v}" for v in done])
 
 
 def upsert_supplied(current: DataFrame, fresh: DataFrame, key: str, supplied: list[str],

@@ -116,3 +116,14 @@ def test_week_scoped_equals_filtered(spark):
     assert key(rows) == key(invoice.billed_rows_packing(b.bill_lines).filter(F.col("week_end") == week))
     need = lab.labor_needed(b.bill_lines, b.d.labor_charges, week)
     assert all(r.billing_week == week for r in need.collect())
+
+
+def test_append_ignores_unfinished_batch(spark, tmp_path):
+    root = str(tmp_path / "bl")
+    df = spark.createDataFrame([(1, "PACKING")], "tagid long, charge_type string")
+    state.append_aligned(spark, root, df, S.BILLING_LINES)
+    # a writer that died mid-way leaves a folder without _SUCCESS
+    df.write.parquet(root + "/_batches/v=7")
+    os.remove(root + "/_batches/v=7/_SUCCESS")
+    out = state.append_aligned(spark, root, df, S.BILLING_LINES)
+    assert out.count() == 2
