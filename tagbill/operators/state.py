@@ -25,7 +25,7 @@ def align_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def _versions(spark: SparkSession, root: str, completed: bool = True) -> list[int]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
@@ -35,8 +35,8 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if name.startswith("v=") and name[2:].isdigit() and (not completed or fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             out.append(int(name[2:]))
     return sorted(out)
 
@@ -53,7 +53,7 @@ def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None =
 
 def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
     """K1: write ``df`` as the next version of the snapshot at ``root``."""
-    vs = _versions(df.sparkSession, root)
+    vs = _versions(df.sparkSession, root, completed=False)   # never reuse an abandoned folder
     target = f"{root}/v={(vs[-1] + 1) if vs else 0}"
     w = df.write.mode("errorifexists")
     if partition_by:
@@ -64,7 +64,7 @@ def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = No
 
 def append_aligned(spark: SparkSession, root: str, rows: DataFrame, schema: T.StructType) -> DataFrame:
     """K2: append aligned rows as a new batch folder; earlier batches are never rewritten."""
-    batches = _versions(spark, root.rstrip("/") + "/_batches")
+    batches = _versions(spark, root.rstrip("/") + "/_batches", completed=False)
     n = (batches[-1] + 1) if batches else 0
     align_to(rows, schema).write.mode("errorifexists").parquet(f"{root}/_batches/v={n}")
     # only completed batches (with _SUCCESS) are read; a failed writer's folder is ignored
