@@ -30,3 +30,22 @@ def test_ingest_then_publish(spark, tmp_path):
     one = back.filter(F.col("billing_week") == week)
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(billing_week" in plan
+
+
+def test_incremental_snapshot_refresh(spark, tmp_path):
+    from tagbill.operators.state import read_snapshot
+    from tagbill.streaming.snapshot_refresh import refresh_repack_snapshots
+    d = Billing(spark, "/root/testdata/sf0.001").d
+    rows = reports.repack_report_rows(d.repack_outputs, d.repack_inputs, d.repack_lines)
+    inbox = tmp_path / "inbox"
+    rows.coalesce(1).write.option("header", True).csv(str(inbox / "day1"))
+    rows.filter(F.col("ICRunIdx").cast("long") < 100).coalesce(1).write.option("header", True) \
+        .csv(str(inbox / "day2"))
+    root, ck = str(tmp_path / "snap"), str(tmp_path / "ck")
+    refresh_repack_snapshots(spark, str(inbox / "*"), root, ck)
+    latest = read_snapshot(spark, f"{root}/repack_outputs")
+    assert sorted(os.listdir(f"{root}/repack_outputs")) == ["v=0", "v=1"]
+    assert latest.count() == d.repack_outputs.filter(F.col("icrunidx") < 100).count()
+    # running again finds no new files: nothing changes
+    refresh_repack_snapshots(spark, str(inbox / "*"), root, ck)
+    assert sorted(os.listdir(f"{root}/repack_outputs")) == ["v=0", "v=1"]
