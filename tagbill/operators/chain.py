@@ -7,6 +7,8 @@ shipped tag* yields the same keys, the same depths and the same candidate rows
 at that depth, while visiting each (shipped_tag, tag, producing run) once
 instead of once per path.
 
+The walk runs once per distinct set of producing runs (shipped tags of one
+run share their ancestry) and the shipped tags are attached at the end.
 Each hop is three distributed operators — frontier ⋈ edges on the run id,
 anti-join against the tags already reached, one row per key — and its result
 is written to the reliable checkpoint folder, so the plan never grows with
@@ -45,48 +47,65 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
                  shipped_tag: int | None = None) -> DataFrame:
     """All chain nodes, one per (shipped_tag, tagid) at its shallowest depth.
 
+    Shipped tags produced by the same set of runs share their whole ancestry:
+    the first hop reads the same runs, so every later hop is identical. The walk
+    therefore runs once per distinct producing-run set ``g`` and the shipped tags
+    are attached afterwards. The one difference the cycle guard makes — a shipped
+    tag never reappears below depth 0 in its own chain — is applied at that join
+    (re-reaching it adds nothing: its runs' inputs were all reached at depth 1).
+
     ``shipped_tag`` restricts the *seed* (C5): the walk then touches only that
     tag's ancestry instead of filtering the full result.
     """
+    spark = shipped.sparkSession
     seed = shipped.select(F.col("tagid").alias("shipped_tag"), F.col("shipped_qty").alias("qty"))
     if shipped_tag is not None:
         seed = seed.filter(F.col("shipped_tag") == F.lit(shipped_tag))
     out = outputs.filter(F.col("tagid").isNotNull()).select(
         F.col("tagid").cast("long").alias("tagid"), "icrunidx", "fcreasonidx", "productname", "uom")
-    cand = cut_lineage(seed.join(out, seed["shipped_tag"] == out["tagid"])
-                       .select(*CHAIN_COLUMNS[:-1]).withColumn("depth", F.lit(0)))
+    roots = cut_lineage(seed.join(out, seed["shipped_tag"] == out["tagid"])
+                        .select(*CHAIN_COLUMNS[:-1]).withColumn("depth", F.lit(0)))
+    # a shipped tag's producing-run set (a tag has a handful of output rows)
+    groups = cut_lineage(roots.groupBy("shipped_tag")
+                         .agg(F.array_sort(F.collect_set("icrunidx")).alias("g")))
 
-    parallelism = default_parallelism(shipped.sparkSession)
+    parallelism = default_parallelism(spark)
     edges = lineage_edges(inputs, outputs).persist(StorageLevel.MEMORY_AND_DISK)
     levels: list[DataFrame] = []
+    frontier = groups.select("g", F.explode("g").alias("parent_run")).distinct()
     depth = 0
     try:
-        while not cand.isEmpty():
-            levels.append(cand)
-            # keys reached so far: every candidate key of every earlier depth
-            reached = levels[0].select(*KEY)
-            for lv in levels[1:]:
-                reached = reached.union(lv.select(*KEY))
-            # the union has one partition per level per split; merge them (narrow, no
-            # shuffle) so the task count tracks the cluster, not the depth
-            reached = reached.coalesce(parallelism)
-            frontier = cand.select("shipped_tag", F.col("icrunidx").alias("parent_run")).distinct()
+        while True:
             depth += 1
             step = (frontier.join(edges, "parent_run")
-                    .join(reached, KEY, "left_anti")
-                    .select(*CHAIN_COLUMNS[:-1]).withColumn("depth", F.lit(depth)))
+                    .select("g", "tagid", "icrunidx", "fcreasonidx", "productname", "uom", "qty",
+                            F.lit(depth).alias("depth")))
+            if levels:
+                # keys reached so far, merged (narrow) so the task count tracks the cluster
+                reached = levels[0].select("g", "tagid")
+                for lv in levels[1:]:
+                    reached = reached.union(lv.select("g", "tagid"))
+                step = step.join(reached.coalesce(parallelism), ["g", "tagid"], "left_anti")
             cand = cut_lineage(step)
+            if cand.isEmpty():
+                break
+            levels.append(cand)
+            frontier = cand.select("g", F.col("icrunidx").alias("parent_run")).distinct()
     finally:
         edges.unpersist()
-    if not levels:  # nothing shipped that was produced here: an empty chain
-        levels.append(cand)
-    result = levels[0]
-    for lv in levels[1:]:
-        result = result.unionByName(lv)
-    result = result.coalesce(parallelism)
-    # the depths of one key never mix (anti-join), so one row per key over the union
-    # picks the shallowest candidate with the tie-break
-    result = first_per_key(result, KEY, CHAIN_TIEBREAK)
+
+    root_rows = first_per_key(roots, KEY, CHAIN_TIEBREAK)
+    if levels:
+        closure = levels[0]
+        for lv in levels[1:]:
+            closure = closure.unionByName(lv)
+        closure = first_per_key(closure.coalesce(parallelism), ["g", "tagid"], CHAIN_TIEBREAK)
+        attached = (groups.join(closure, "g")
+                    .filter(F.col("tagid") != F.col("shipped_tag"))
+                    .select(*CHAIN_COLUMNS))
+        result = root_rows.select(*CHAIN_COLUMNS).unionByName(attached)
+    else:
+        result = root_rows.select(*CHAIN_COLUMNS)
     return result.select(*CHAIN_COLUMNS,
                          (F.col("fcreasonidx").isin(39, 41) & billable_product(F.col("productname")))
                          .alias("billable"))
