@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +27,9 @@ def prepare(spark: SparkSession) -> None:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
+    if sc.master.startswith("local"):       # workers of one machine find the package where the driver has it
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        sc.environment["PYTHONPATH"] = root
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,16 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagbill.llm import simhash
+from tagbill.llm import bpe, simhash
 from tagbill.llm.common import load
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), keep_text=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
