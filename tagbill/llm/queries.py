@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagbill.llm import bpe, simhash
-from tagbill.llm.common import load
+from tagbill.llm import toxicity as tox
+from tagbill.llm.common import held_out, load
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +26,13 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    found = tox.toxicity(docs, labels, held_out(F.col("doc_id"), 5, 0))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,6 +40,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
+    "op2_toxicity_neighbours": op2_toxicity_neighbours,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
