@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagbill.llm import bpe, simhash
+from tagbill.llm import bpe, packing, quality_rules, secrets, simhash
 from tagbill.llm import toxicity as tox
 from tagbill.llm.common import held_out, load
 
@@ -33,6 +33,22 @@ def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(load(spark, sf_dir, "documents")).drop("failed")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents"))
+    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(3)]
+    return found.select("doc_id", number[0].alias("n_assign"), number[1].alias("n_access"), number[2].alias("n_hex"),
+                        F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        secrets.span_text(F.concat("base", "added")).alias("spans"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,7 +57,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_toxicity_neighbours": op2_toxicity_neighbours,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": quality_rules.duckdb_sql(),
+}

@@ -106,6 +106,19 @@ def select_terms(examples: DataFrame, p: Params) -> list[str]:
     return [r.term for r in picked]
 
 
+def found_terms(text: str, place: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Places of the vocabulary's terms in a text, in order, and their counts."""
+    found: dict[int, int] = {}
+    get = place.get
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        if (i := get(w)) is not None:
+            found[i] = found.get(i, 0) + n
+        if len(w) > PREFIX and (i := get(w[:PREFIX] + "*")) is not None:
+            found[i] = found.get(i, 0) + n
+    order = sorted(found)
+    return order, [found[i] for i in order]
+
+
 def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(doc_id, ids, tfs): the vocabulary's terms in each text, by their place in it."""
     place = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
@@ -113,20 +126,9 @@ def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = place.value
-        prefixes = {t[:-1]: i for t, i in at.items() if t.endswith("*")}
         for b in batches(it):
-            ids, tfs = [], []
-            for text in texts(b.column(1)):
-                found: Counter = Counter()
-                for w, n in Counter(_WORD.findall(text.lower())).items():
-                    if (i := at.get(w)) is not None:
-                        found[i] += n
-                    if len(w) > PREFIX and (i := prefixes.get(w[:PREFIX])) is not None:
-                        found[i] += n
-                order = sorted(found)
-                ids.append(order)
-                tfs.append([found[i] for i in order])
-            yield out(schema, b.column(0), ids, tfs)
+            found = [found_terms(text, at) for text in texts(b.column(1))]
+            yield out(schema, b.column(0), [x for x, _ in found], [x for _, x in found])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>"))
@@ -310,6 +312,25 @@ def training_rows(labels: DataFrame, column: str, held_out: Column) -> DataFrame
             .groupBy("doc_id").agg(F.max(column).cast("int").alias("y")))
 
 
+def keep(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Params(), most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``most``, all columns unchanged."""
+    model, _ = fit(docs, training_rows(labels, "toxic", held_out), p)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = {t: i for i, t in enumerate(model.vocabulary)}
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches(it):
+            low = []
+            for text in texts(b.column(at)):
+                ids, tfs = found_terms(text, place)
+                low.append(m.score(ids, tfs)[0] < most)
+            yield b.filter(pa.array(low, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
     """Score every row of ``docs``; learn from ``labels.toxic`` where not ``held_out``."""
     model, vecs = fit(docs, training_rows(labels, "toxic", held_out), p)
