@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagbill.llm import bpe, packing, quality_rules, secrets, simhash
+from tagbill.llm import bpe, html_extract, packing, quality_model, quality_rules, secrets, simhash, topk, urls
 from tagbill.llm import toxicity as tox
 from tagbill.llm.common import held_out, load
 
@@ -37,6 +37,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents")).drop("failed")
 
 
+def op4_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("weights"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(load(spark, sf_dir, "documents"))
     number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(3)]
@@ -45,6 +54,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.concat("base", "added")).alias("spans"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(spark, sf_dir, "pages")).drop("block_score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    found = quality_model.quality(docs, labels, held_out(F.col("doc_id"), 4, 2))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -58,11 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_toxicity_neighbours": op2_toxicity_neighbours,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html_suffix_array": op4_html_suffix_array,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_secret_scan": op6_secret_scan,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.duckdb_sql(),
+    "op5_exact_top_k": topk.DUCKDB_SQL,
 }
