@@ -48,8 +48,8 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(load(spark, sf_dir, "documents"))
-    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in range(3)]
-    return found.select("doc_id", number[0].alias("n_assign"), number[1].alias("n_access"), number[2].alias("n_hex"),
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
                         F.sha2(secrets.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         secrets.span_text(F.concat("base", "added")).alias("spans"))
 
