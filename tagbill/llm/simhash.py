@@ -34,12 +34,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagbill.llm.common import batches, cut, out, prepare
 
 BITS = 64
+#: Largest threshold of a part; more flips than two would cost more than more parts.
+MOST_FLIPS = 2
 #: Fingerprints of one (part, key) that a single task compares at once.
 BLOCK = 4096
 
@@ -157,7 +159,7 @@ def make_plan(n: int, both: np.ndarray, max_distance: int) -> Plan:
         cost = []
         for part in parts:
             near, c = _close(part, p, min(top, len(part))), {-1: 0.0}
-            for t in range(min(top, 3) + 1):
+            for t in range(min(top, MOST_FLIPS) + 1):
                 probes = 1 + sum(math.comb(len(part), k) for k in range(1, t + 1)) / 2
                 # a probe is sorted and shuffled; a candidate costs one comparison
                 c[t] = n * probes + 0.05 * n * n / 2 * near[min(t, len(near) - 1)]
@@ -182,14 +184,16 @@ def make_plan(n: int, both: np.ndarray, max_distance: int) -> Plan:
 
 # ---- probing and verification --------------------------------------------
 
-def _masks(part: tuple[int, ...], most: int) -> list[tuple[int, int]]:
-    """(bits to flip, lowest of them) for 1..most flips; as signed 64-bit integers."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    found = []
-    for k in range(1, most + 1):
-        for bits in itertools.combinations(part, k):
-            found.append((signed(sum(1 << b for b in bits)), signed(1 << bits[0])))
-    return found
+def _flips(fp: Column, part: tuple[int, ...], most: int) -> Column:
+    """Array of bit masks of 1..most (at most 2) bits of a part, the lowest of them 0 in ``fp``."""
+    bits = F.array(*[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in part])
+    single = F.filter(bits, lambda x: fp.bitwiseAND(x) == 0)
+    if most == 1:
+        return single
+    above = lambda x, i: F.transform(F.slice(bits, i + 2, F.lit(BITS)), lambda y: x.bitwiseOR(y))
+    double = F.flatten(F.transform(bits, lambda x, i: F.when(fp.bitwiseAND(x) == 0, above(x, i))
+                                   .otherwise(F.array().cast("array<bigint>"))))
+    return F.concat(single, double)
 
 
 def _keys(fp: Column, plan: Plan) -> Column:
@@ -198,21 +202,20 @@ def _keys(fp: Column, plan: Plan) -> Column:
     Of two fingerprints that differ in a set of bits, the one with 0 in the
     lowest of them probes; so each pair meets from one side.
     """
-    own, flips = [], []
+    found = []
     for i, (part, t) in enumerate(zip(plan.parts, plan.thresholds)):
         if t < 0:
             continue
         mask = sum(1 << b for b in part)
         key = fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
-        own.append(F.struct(F.lit(i).alias("part"), key.alias("key"), F.lit(False).alias("probe")))
-        masks = _masks(part, t)
-        if masks:
-            table = F.array(*[F.struct(F.lit(f).cast("long").alias("flip"), F.lit(low).cast("long").alias("low"))
-                              for f, low in masks])
-            mine = F.filter(table, lambda x: fp.bitwiseAND(x["low"]) == 0)
-            flips.append(F.transform(mine, lambda x, i=i, key=key: F.struct(
-                F.lit(i).alias("part"), key.bitwiseXOR(x["flip"]).alias("key"), F.lit(True).alias("probe"))))
-    return F.concat(F.array(*own), *flips)
+        found.append(F.array(F.struct(F.lit(i).alias("part"), key.alias("key"), F.lit(False).alias("probe"))))
+        if t:
+            found.append(F.transform(_flips(fp, part, t), _flipped(i, key)))
+    return F.concat(*found)
+
+
+def _flipped(part: int, key: Column):
+    return lambda x: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(x).alias("key"), F.lit(True).alias("probe"))
 
 
 def _spanning(fp: np.ndarray, probe: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -307,7 +310,7 @@ def links(fps: DataFrame, max_distance: int = 4, block: int = BLOCK, plan: Plan
 # ---- components -----------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root): the smallest fingerprint reachable by the links, for each linked one.
+    """(fp, root): the smallest fingerprint reachable by the links, for all that have a smaller one.
 
     Alternating large-star and small-star steps: every round hangs each node's
     larger (smaller) neighbours on the smallest one; a fixed point is a star for
@@ -364,10 +367,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4, seed: int
     found = near_duplicates(docs, shingle, max_distance, seed)
     names = (found.filter(F.col("doc_id") == F.col("component_id"))
              .select(F.col("doc_id").alias("kept_id")).distinct())
-    kept = docs.join(names, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").count()
-    if again:
-        from pyspark.sql import Window
-        w = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    kept = docs.join(names, docs["doc_id"] == names["kept_id"], "left_semi")
+    if kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        place = "rank" + "_" * max(map(len, docs.columns))          # no name of the input's
+        order = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
