@@ -249,6 +249,7 @@ class Model:
 def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> tuple[Model, DataFrame]:
     """The model, and the term vectors of all of ``docs``; ``labelled``: (doc_id, y) training rows."""
     prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = cut(bounded_sample(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "y"),
                                 "doc_id", p.max_examples, 11))
     # bounded by max_examples rows of two numbers
