@@ -14,6 +14,7 @@ copy, and all of it stays. Only the first ``run`` tokens of a suffix decide whet
 is part of so long a repeat, so suffixes are sorted and grouped by (host, hash of that
 prefix) across the cluster; a host with a third of all pages spreads over all
 partitions, and a menu that all its pages share is reduced map-side to a count.
+Pages whose html names an ``article`` or ``main`` element never wait for their host.
 Articles never enter: passages that pages legitimately share are kept.
 
 Blocks: text between block-level tags; white space inside is one space; blocks are
@@ -64,7 +65,7 @@ _CONTENT_NAME = set("article articlebody content entry main post story".split())
 _PLAIN = {"html", "body"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"""
-                  r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.IGNORECASE)
+                  r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 #: Where a block stands: dropped, anywhere, in a content container, in main, in an article.
@@ -170,15 +171,14 @@ def main_blocks(found: list[tuple[int, str]]) -> list[str] | None:
     return [t for w, t in found if w == level] if level > OPEN else None
 
 
-def _windows(found: list[tuple[int, str]], run: int) -> tuple[np.ndarray, list[int]]:
-    """Hashes of the ``run``-token prefixes of the suffixes outside articles, and each token's place.
+def _prefixes(found: list[tuple[int, str]], run: int) -> np.ndarray:
+    """Hashes of the ``run``-token prefixes of the suffixes outside articles, in page order.
 
-    The place is the block's index; tokens of dropped blocks count as evidence.
+    Tokens of dropped blocks are part of the stream: they are evidence.
     """
-    tokens = [(i, t) for i, (w, text) in enumerate(found) if w <= OPEN for t in text.split()]
-    each = [xxhash.xxh64_digest(t) for _, t in tokens]
+    each = [xxhash.xxh64_digest(t) for w, text in found if w <= OPEN for t in text.split()]
     hashes = [xxhash.xxh64_intdigest(b"".join(each[i:i + run])) for i in range(len(each) - run + 1)]
-    return np.array(hashes, np.uint64).view(np.int64), [i for i, _ in tokens]
+    return np.array(hashes, np.uint64).view(np.int64)
 
 
 def _unique_runs(found: list[tuple[int, str]], covered: set[int], run: int) -> list[str]:
@@ -208,28 +208,25 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
                          F.col("html").cast("string").alias("html"))
     keyed = pages.select("*", F.xxhash64(_host(F.col("url"))).alias("host"),
                          F.coalesce("page_id", F.xxhash64("url", "html")).alias("page"))
-    suffixes = pa.schema([("host", pa.int64()), ("page", pa.int64()), ("at", pa.int32()), ("w", pa.int64()),
-                          ("untold", pa.bool_())])
+    told = F.coalesce(F.col("html").rlike("(?i)<(article|main)\\b"), F.lit(False))
+    suffixes = pa.schema([("host", pa.int64()), ("page", pa.int64()), ("at", pa.int32()), ("w", pa.int64())])
 
     def outside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             for h, page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
-                found = blocks(t)
-                w, _ = _windows(found, p.run)
+                w = _prefixes(blocks(t), p.run)
                 if len(w):
-                    n = len(w)
-                    yield out(suffixes, [h] * n, [page] * n, list(range(n)), w, [main_blocks(found) is None] * n)
+                    yield out(suffixes, [h] * len(w), [page] * len(w), list(range(len(w))), w)
 
-    each = (keyed.select("host", "page", "html")
-            .mapInArrow(outside, "host long, page long, at int, w long, untold boolean"))
+    array = lambda rows: (rows.select("host", "page", "html")
+                          .mapInArrow(outside, "host long, page long, at int, w long"))
+    untold = array(keyed.filter(~told))
     # One row a page and prefix, then a count a prefix: neighbours in the suffix array
     # with `run` tokens in common are the rows of one group.
-    shared = (each.groupBy("host", "w", "page").agg(F.max("untold").alias("untold"))
-              .groupBy("host", "w").agg(F.count("*").alias("n"), F.max("untold").alias("untold"))
-              .filter((F.col("n") >= p.pages) & F.col("untold")).select("host", "w"))
-    covered = (each.filter("untold").join(shared, ["host", "w"])
+    shared = (array(keyed).select("host", "w", "page").distinct()
+              .groupBy("host", "w").agg(F.count("*").alias("n")).filter(F.col("n") >= p.pages).select("host", "w"))
+    covered = (untold.join(shared, ["host", "w"])
                .groupBy("host", "page").agg(F.collect_set("at").alias("starts")))   # bounded by a page's tokens
-    told = F.col("html").rlike("(?i)<(article|main)\\b")
     result = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     kinds = "page_id long, url string, text string, n_chars long"
 
@@ -243,8 +240,8 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
             yield out(result, b.column(0), b.column(1), done, [len(t) for t in done])
 
     # Pages that name an article are done where they are read; the others wait for the host.
-    plain = keyed.filter(F.coalesce(told, F.lit(False)))
-    rest = keyed.filter(~F.coalesce(told, F.lit(False))).join(covered, ["host", "page"], "left")
+    plain = keyed.filter(told)
+    rest = keyed.filter(~told).join(covered, ["host", "page"], "left")
     none = F.lit(None).cast("array<int>").alias("starts")
     return (plain.select("page_id", "url", "html", none).mapInArrow(by_structure, kinds)
             .unionByName(rest.select("page_id", "url", "html", "starts").mapInArrow(by_structure, kinds)))
