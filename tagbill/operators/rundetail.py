@@ -44,7 +44,7 @@ CHILDREN = {
     "material": ["seq", "category", "material", "quantity", "price_per_unit", "total"],
     "defect": ["seq", "defect_type", "value"],
 }
-DEFAULTS = {"company": "CREEKSIDE", "status": "draft"}  # fixed values: column defaults
+DEFAULTS = {"company": "HARBOR PACKING", "status": "draft"}  # fixed values: column defaults
 
 
 def ref_positions(spark: SparkSession) -> DataFrame:

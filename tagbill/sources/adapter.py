@@ -116,10 +116,13 @@ class Domain:
 
     @cached_property
     def repack_outputs(self) -> DataFrame:
-        """Produced tags (rectype 2, outputflag Y): one per order not divisible by 5."""
+        """Produced tags (rectype 2, outputflag Y): one per order, but for the orders of priority 2-HIGH.
+
+        Those orders' tags are consumed and never produced, so that input-only tags exist.
+        """
         o = self.driver.table("orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-        o = o.filter(F.pmod("o_orderkey", F.lit(5)) != 0)
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+        o = o.filter(F.col("o_orderpriority") != "2-HIGH")
         reason = (F.when(F.col("o_orderstatus") == "F", 39)
                   .when(F.col("o_orderstatus") == "O", 41)
                   .when(F.col("o_orderstatus") == "P",
@@ -273,14 +276,15 @@ class Domain:
         return header.unionByName(body)
 
     # ------------------------------------------------------ ops-entered costs
-    def _orders_every(self, n: int) -> DataFrame:
+    def _orders_of(self, priority: str) -> DataFrame:
+        """The orders of one priority: each table of entered costs takes one of them whole."""
         return (self.driver.table("orders")
-                .select("o_orderkey", "o_custkey", "o_orderdate")
-                .filter(F.pmod("o_orderkey", F.lit(n)) == 0))
+                .filter(F.col("o_orderpriority") == priority)
+                .select("o_orderkey", "o_custkey", "o_orderdate"))
 
     @cached_property
     def labor_charges(self) -> DataFrame:
-        o = self._orders_every(50)
+        o = self._orders_of("4-NOT SPECIFIED")
         nl = (F.pmod("o_custkey", F.lit(7)) + 1).cast(QTY)
         hr = ((F.pmod("o_custkey", F.lit(9)) + 1).cast(QTY) / 2).cast(QTY)
         rate = F.lit("18.75").cast(RATE)
@@ -297,7 +301,7 @@ class Domain:
 
     @cached_property
     def repack_materials(self) -> DataFrame:
-        o = self._orders_every(70)
+        o = self._orders_of("5-LOW")
         qty = (F.pmod("o_custkey", F.lit(5)) + 1).cast(QTY)
         cost = ((F.pmod("o_custkey", F.lit(13)) + 2).cast(RATE) / 4).cast(RATE)
         return o.select(
@@ -314,7 +318,7 @@ class Domain:
     # ------------------------------------------------------ run submissions
     @cached_property
     def run_submissions(self) -> DataFrame:
-        """Time-and-materials documents: one per tenth order, children from its line items.
+        """Time-and-materials documents: one per order, children from its line items.
 
         Labor lines pay the line's extended price; material lines price the line
         quantity at the part's retail price / 100 (no price on line 2, so the
@@ -323,11 +327,9 @@ class Domain:
         the overhead rate blank.
         """
         o = (self.driver.table("orders")
-             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-             .filter(F.pmod("o_orderkey", F.lit(10)) == 0))
+             .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"))
         li = self.driver.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
-        li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
         li = li.join(self.part_attrs.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"),
                      "l_partkey", "left")
         n = F.col("l_linenumber")
@@ -353,7 +355,7 @@ class Domain:
                       F.lit("CTN").alias("pack_style"), F.lit("56").alias("size"))
         defect = F.struct(n.cast("int").alias("seq"), F.lit("Scarring").alias("defect_type"),
                           F.col("l_partkey").cast("string").alias("value"))
-        # children are collected per run; a run has at most seven line items
+        # a document holds its own lines, as submitted: the arrays are bounded by one document
         kids = li.groupBy("l_orderkey").agg(
             F.sort_array(F.collect_list(F.struct(n.alias("k"), labor.alias("v")))).alias("_l"),
             F.sort_array(F.collect_list(F.struct(n.alias("k"), material.alias("v")))).alias("_m"),
@@ -369,7 +371,7 @@ class Domain:
             F.when(F.pmod("o_orderkey", F.lit(70)) == 0, F.lit(None).cast("date"))
              .otherwise(F.to_date("o_orderdate")).alias("run_date"),
             F.lit(None).cast("string").alias("run_type"), F.lit("CTN TO BAG").alias("note"),
-            F.lit("CREEKSIDE").alias("company"), F.lit("ORG ORANGE").alias("commodity"),
+            F.lit("HARBOR PACKING").alias("company"), F.lit("ORG ORANGE").alias("commodity"),
             F.lit("VALENCIA").alias("varieties"),
             _pick(F.pmod("o_custkey", F.lit(3)), ["REPACK-QUALITY", "PACK", "RESTYLE"]).alias("repack"),
             F.lit(None).cast("string").alias("restyle"), F.lit("0.85").cast(QTY).alias("pack_out_pct"),
@@ -392,12 +394,11 @@ class Domain:
     def shipping_charges_report(self) -> DataFrame:
         """Weekly shipping-charges report (S4 input): mixed-case headers plus extra columns.
 
-        Lines 1-2 of each order are charge rows (freight, pallet charge); every 13th
+        Every line of an order is a charge row (the first freight, the others pallet charges); every 13th
         part leaves the amount blank. ``week_folder`` names the report's week.
         """
         li = self.driver.table("lineitem").select(
-            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_shipdate") \
-            .filter(F.col("l_linenumber") <= 2)
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_shipdate")
         rate = (F.col("l_tax") * 100).cast(RATE)
         qty = F.col("l_quantity").cast(QTY)
         return li.select(
@@ -413,18 +414,16 @@ class Domain:
 
     @cached_property
     def certificates(self) -> DataFrame:
-        """Certificate extractions (S8): one per 30th order, debit rows from its line items.
+        """Certificate extractions (S8): one per order, debit rows from its line items.
 
         Debit row numbers are, by line: an unrelated number, the certificate in
         lower case with spaces (amount missing), the exact number, then longer
         numbers that must not match. Order number 0 every 90th, missing every 150th.
         """
-        o = (self.driver.table("orders").select("o_orderkey", "o_orderdate")
-             .filter(F.pmod("o_orderkey", F.lit(30)) == 0))
+        o = self.driver.table("orders").select("o_orderkey", "o_orderdate")
         k = F.col("o_orderkey").cast("string")
         li = self.driver.table("lineitem").select(
             "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
-        li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
         n = F.col("l_linenumber")
         lk = F.col("l_orderkey").cast("string")
         number = (F.when(n == 1, F.concat(F.lit("X-"), F.col("l_partkey").cast("string")))
