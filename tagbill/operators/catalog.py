@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.products import classify_columns
 from ..schemas import RATE
+from .state import one_per_key
 from .status import first_per_key
 
 RATE_KEY = ["commtype", "commodity", "style", "bagtype"]
@@ -35,6 +36,7 @@ def classification(names: DataFrame) -> DataFrame:
 def upsert_classification(current: DataFrame, fresh: DataFrame) -> DataFrame:
     """K5: rows of ``fresh`` replace same-name rows of ``current``; others kept."""
     cols = ["productname", "type", "commodity", "style", "needs_llm", "bagtype"]
+    fresh = one_per_key(fresh.select(*cols), "productname")
     kept = current.join(fresh.select("productname"), "productname", "left_anti")
     return kept.select(*cols).unionByName(fresh.select(*cols))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import billing_week
 from ..schemas import MONEY, MONEY_SUM, QTY_SUM
-from ..session import checked_broadcast
 
 CHARGE_COLUMNS = ["tagid", "icrunidx", "productname", "fcreasonidx", "transaction_type",
                   "ship_date", "billing_week", "type", "commodity", "style", "bagtype", "rate",
@@ -18,10 +17,9 @@ def rate_lookup(keys: DataFrame, rates: DataFrame, key_cols: list[str], rate_col
                 bag_col: str, null_safe_bag: bool) -> DataFrame:
     """Exact rate, GIRO fallback rate, both as columns.
 
-    ``rates`` is unique on its key (see ``catalog.packing_rates``) and bounded
-    by the price list; after a row-count check both lookups are broadcast hash
-    joins (two equi-joins instead of one OR-join, which would degrade to a
-    nested loop). A rate table beyond the bound is joined without the hint.
+    ``rates`` is unique on its key (see ``catalog.packing_rates``). Both lookups are
+    equi-joins (one OR-join would degrade to a nested loop) without a hint: adaptive
+    execution broadcasts a price list once it has measured its bytes.
     """
     ct, cm, st = key_cols
     # packing keys are compared trimmed on the rate side (J6/J7); storage keys as stored
@@ -36,16 +34,6 @@ def rate_lookup(keys: DataFrame, rates: DataFrame, key_cols: list[str], rate_col
                                                     F.col("_rate").alias("_rate_giro"))
     bag = F.coalesce(F.col(bag_col), F.lit("")) if null_safe_bag else F.col(bag_col)
     k = keys.withColumn("_kbt", bag)
-    # one size check on the rate table; both lookups are subsets of it
-    checked = checked_broadcast(r)
-    if checked is not r:
-        r = checked
-        exact = r.select("_ct", "_cm", "_st",
-                         (F.coalesce("_bt", F.lit("")) if null_safe_bag else F.col("_bt")).alias("_bt"),
-                         F.col("_rate").alias("_rate_exact"))
-        giro = r.filter(F.col("_bt") == "GIRO").select("_ct", "_cm", "_st",
-                                                        F.col("_rate").alias("_rate_giro"))
-        exact, giro = F.broadcast(exact), F.broadcast(giro)
     k = k.join(exact,
                (k[ct] == exact["_ct"]) & (k[cm] == exact["_cm"]) & (k[st] == exact["_st"])
                & (k["_kbt"] == exact["_bt"]), "left").drop("_ct", "_cm", "_st", "_bt", "_kbt")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LABOR_CHARGES, MONEY, QTY, QTY_SUM, RATE
-from .state import align_to
+from .state import align_to, one_per_key
 
 REPACK_SUBJECT = "Repacks Needing Labor Charges"  # fixed value: mail subject phrase
 
@@ -60,6 +60,7 @@ def upsert_labor_requests(current: DataFrame, weeks: DataFrame) -> DataFrame:
         "week", "to_address", F.col("run_count").cast("int").alias("run_count"),
         F.lit("pending").alias("status"), F.current_timestamp().alias("sent_at"),
         F.lit(None).cast("timestamp").alias("received_at"))
+    fresh = one_per_key(fresh, "week")
     kept = current.join(fresh.select("week"), "week", "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh)
 

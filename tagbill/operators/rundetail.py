@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import billing_week
 from ..schemas import MONEY, RATE, RUN_PARENT_FIELDS
+from .state import one_per_key
 
 OVERHEAD_DEFAULT = "0.20"  # fixed value: overhead rate when none is given
 ACC = T.DecimalType(38, 4)
@@ -123,6 +124,7 @@ def upsert_parents(current: DataFrame, prepared: DataFrame, present: list[str])
     always written. New runs get the column defaults for absent columns.
     """
     written = set(present) | set(COMPUTED) | {"overhead_rate", "run_no"}
+    prepared = one_per_key(prepared.select(*PARENT_COLUMNS), "run_no")
     new = prepared.select(*[F.col(c).alias(f"_n_{c}") for c in PARENT_COLUMNS])
     old = current.select(*[F.col(c).alias(f"_o_{c}") for c in PARENT_COLUMNS]) \
         .withColumn("_exists", F.lit(True))

@@ -9,7 +9,7 @@ written here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,18 @@ def align_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def _versions(spark: SparkSession, root: str, completed: bool = True) -> list[int]:
+def one_per_key(fresh: DataFrame, *keys: str) -> DataFrame:
+    """One row per key of an upsert's payload: the greatest by all other columns in order.
+
+    Payload rows carry no time of their own, so the choice is by value, the same on every run.
+    """
+    others = [F.col(c).desc_nulls_last() for c in fresh.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(*(others or [F.lit(1)]))
+    return fresh.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+
+
+def numbered_folders(spark: SparkSession, root: str, prefix: str = "v=", completed: bool = True) -> list[int]:
+    """Numbers n of the folders ``<root>/<prefix><n>``, in order; with _SUCCESS only if ``completed``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
@@ -35,12 +46,17 @@ def _versions(spark: SparkSession, root: str, completed: bool = True) -> list[in
     out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and name[2:].isdigit() and (not completed or fs.exists(
+        n = name[len(prefix):]
+        if name.startswith(prefix) and n.isdigit() and (not completed or fs.exists(
                 jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
-            out.append(int(name[2:]))
+            out.append(int(n))
     return sorted(out)
 
 
+def _versions(spark: SparkSession, root: str, completed: bool = True) -> list[int]:
+    return numbered_folders(spark, root, completed=completed)
+
+
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:
     vs = _versions(spark, root)
     if not vs:
@@ -81,6 +97,7 @@ def upsert_supplied(current: DataFrame, fresh: DataFrame, key: str, supplied: li
     ``created_at`` column, when present, is set only for new rows.
     """
     cols = [f.name for f in schema.fields]
+    fresh = one_per_key(fresh, key)
     new = fresh.select(*[F.col(c).alias(f"_n_{c}") for c in [key] + [s for s in supplied if s != key]])
     old = current.select(*[F.col(c).alias(f"_o_{c}") for c in cols]).withColumn("_exists", F.lit(True))
     j = new.join(old, new[f"_n_{key}"] == old[f"_o_{key}"], "left")

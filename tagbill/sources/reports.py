@@ -22,15 +22,20 @@ SHIPPING_ENCODING = "windows-1252"  # fixed value: the shipping report's code pa
 def read_report_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Header CSV, all columns text, names ``strip().lower()``.
 
-    ``windows-1252`` needs ``spark.sql.legacy.javaCharsets`` in Spark 4; it is
-    switched on for the read only when that code page is asked for.
+    Quoted values may hold doubled quotes, commas and line feeds. ``windows-1252``
+    is read as ISO-8859-1, from which it differs in 0x80-0x9F only; those are mapped.
     """
-    r = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+    r = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+         .option("escape", '"').option("multiLine", True))
+    western = (encoding or "").lower() in ("windows-1252", "cp1252")
     if encoding:
-        if encoding.lower() in ("windows-1252", "cp1252"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        r = r.option("encoding", encoding)
+        r = r.option("encoding", "ISO-8859-1" if western else encoding)
     df = r.csv(path)
+    if western:
+        raw = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]   # five are undefined
+        here, there = "".join(map(chr, raw)), bytes(raw).decode("cp1252")
+        df = df.select(*[F.translate(F.col(f"`{c}`"), here, there).alias(c.translate(str.maketrans(here, there)))
+                         for c in df.columns])
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 

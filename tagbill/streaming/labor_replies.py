@@ -4,7 +4,7 @@
 subject phrase, week in the subject) → ``foreachBatch``:
 
 * redelivered notifications are dropped by an anti-join with the message ids
-  already committed (ST2; the reference appends a second copy),
+  of earlier epochs (ST2; the reference appends a second copy),
 * the week's labor rows are written as one keyed unit per week, so a repeated
   reply for a week replaces rather than doubles it,
 * each epoch writes into its own ``epoch=<n>`` folder with overwrite, so a
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labor import REPACK_SUBJECT, labor_rows
+from ..operators.state import numbered_folders
 from ..schemas import LABOR_CHARGES, NOTIFICATION
 from ..session import ensure_checkpoint_dir
 
@@ -68,15 +69,16 @@ def run_labor_reply_stream(spark: SparkSession, inbox: str, replies: DataFrame,
     """
     messages_dir, labor_dir = f"{base}/state/messages", f"{base}/state/labor_charges"
 
-    def committed_ids() -> DataFrame:
-        try:
-            return spark.read.parquet(f"{messages_dir}/epoch=*").select("message_id")
-        except Exception:  # nothing committed yet
+    def committed_ids(before: int) -> DataFrame:
+        """Message ids of earlier epochs; a replayed epoch must not see its own."""
+        done = [n for n in numbered_folders(spark, messages_dir, "epoch=") if n < before]
+        if not done:
             return spark.createDataFrame([], "message_id string")
+        return spark.read.parquet(*[f"{messages_dir}/epoch={n}" for n in done]).select("message_id")
 
     def process(batch: DataFrame, epoch: int) -> None:
         fresh = (batch.dropDuplicates(["message_id"])
-                 .join(committed_ids(), "message_id", "left_anti"))
+                 .join(committed_ids(epoch), "message_id", "left_anti"))
         weeks = fresh.select("week").distinct()
         rows = labor_rows(replies.join(weeks, replies["week_end"] == weeks["week"], "left_semi"),
                           F.col("_week"), hourly_rate)
@@ -95,11 +97,11 @@ def run_labor_reply_stream(spark: SparkSession, inbox: str, replies: DataFrame,
 
 def labor_from_stream(spark: SparkSession, labor_dir: str) -> DataFrame:
     """The labor rows the stream recorded, one unit per week (latest epoch wins for a week)."""
-    try:
-        df = (spark.read.option("basePath", labor_dir).parquet(f"{labor_dir}/epoch=*")
-              .withColumn("_e", F.col("epoch")))
-    except Exception:
+    done = numbered_folders(spark, labor_dir, "epoch=")
+    if not done:
         return spark.createDataFrame([], LABOR_CHARGES)
+    df = (spark.read.option("basePath", labor_dir).parquet(*[f"{labor_dir}/epoch={n}" for n in done])
+          .withColumn("_e", F.col("epoch")))
     # last epoch per week by a (partially aggregated) group-by, joined back on the week
     last = df.groupBy("week_end").agg(F.max("_e").alias("_last"))
     return (df.join(last, "week_end").filter(F.col("_e") == F.col("_last"))

@@ -1,31 +1,60 @@
-"""ST4: incremental snapshot refresh — each repack report file that lands in an
-inbox becomes a new version of the three repack snapshot tables.
-
-A file stream with ``Trigger.availableNow`` takes one report per micro-batch
-(``maxFilesPerTrigger=1``); ``foreachBatch`` splits it (P1) and writes each part
-as the next snapshot version (K1). The version number is derived from the batch
-id, so a replayed batch rewrites the same version folder (idempotent).
+"""ST4: incremental snapshot refresh of the three repack tables from an inbox of reports.
+
+A report is a file of the inbox, or a folder in it with the report's part files. A file
+stream with ``Trigger.availableNow`` notices what has landed since the last run; of the
+reports noticed, the one modified last is read whole and by header name (a missing
+column is an error), split (P1), and each part becomes the next snapshot version (K1),
+numbered by the same allocator as every other writer. What a batch has written is noted
+under the stream's checkpoint, so a replayed batch that had finished writes nothing, and
+one that had not writes newer versions; no version is ever overwritten.
 """
 
 from __future__ import annotations
 
+import os
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
+from ..operators.state import numbered_folders, write_snapshot
 from ..sources import reports
 from ..sources.reports import REPACK_HEADER
 
 
+# the columns of Spark's binary file source; the content is never read
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _report_of(inbox: str) -> F.Column:
+    """The first path step below the inbox: the report's file or folder."""
+    rest = F.element_at(F.split("path", os.path.basename(inbox.rstrip("/")) + "/"), -1)
+    return F.element_at(F.split(rest, "/"), 1)
+
+
 def refresh_repack_snapshots(spark: SparkSession, inbox: str, root: str, checkpoint: str) -> None:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in REPACK_HEADER])
+    wanted = {c.strip().lower() for c in REPACK_HEADER}
+    noted = f"{checkpoint}/written"
 
     def process(batch: DataFrame, epoch: int) -> None:
-        report = batch.toDF(*[c.strip().lower() for c in batch.columns])
-        for name, part in reports.split_repacks(report).items():
-            part.write.mode("overwrite").parquet(f"{root}/repack_{name}/v={epoch}")
-
-    q = (spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1)
-         .csv(inbox)
+        if epoch in numbered_folders(spark, noted, "batch="):
+            return
+        last = (batch.groupBy(_report_of(inbox).alias("report")).agg(F.max("modificationTime").alias("at"))
+                .orderBy(F.desc("at"), F.desc("report")).first())
+        if last is None:
+            return
+        report = reports.read_report_csv(spark, f"{inbox.rstrip('/')}/{last.report}").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if missing := wanted - set(report.columns):
+                raise ValueError(f"report {last.report} lacks {sorted(missing)}")
+            written = [(name, write_snapshot(part, f"{root}/repack_{name}"))
+                       for name, part in reports.split_repacks(report).items()]
+        finally:
+            report.unpersist()
+        spark.createDataFrame(written, "name string, version string").write.mode("overwrite").parquet(f"{noted}/batch={epoch}")
+
+    q = (spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+         .load(inbox).select("path", "modificationTime")
          .writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -98,6 +98,14 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     assert [(r.icrunidx, r.week_end, r.labor_charge) for r in rows] == [(10, "2024-01-07", D("60.00"))]
     ids = spark.read.parquet(f"{dirs['messages']}/epoch=*").select("message_id").collect()
     assert sorted(r.message_id for r in ids) == ["1", "4"]
+    # a crash after the state was written, before the epoch was recorded: the epoch runs again
+    for name in os.listdir(f"{base}/checkpoint/commits"):
+        os.remove(f"{base}/checkpoint/commits/{name}")
+    lr.run_labor_reply_stream(spark, f"{base}/inbox/*", replies, base, "20")
+    again = lr.labor_from_stream(spark, dirs["labor"]).collect()
+    assert [(r.icrunidx, r.labor_charge) for r in again] == [(10, D("60.00"))]
+    ids = spark.read.parquet(f"{dirs['messages']}/epoch=*").select("message_id").collect()
+    assert sorted(r.message_id for r in ids) == ["1", "4"]
 
 
 def test_week_scoped_equals_filtered(spark):

@@ -50,11 +50,3 @@ def test_meta_counts_missing_table(spark):
     bl = spark.createDataFrame([(1, "A"), (1, "B"), (None, "C")], "tagid long, charge_type string")
     r = invoice.meta_counts({"a": t, "gone": None}, bl).first()
     assert (r.a, r.gone, r.billed_tags, r.db_ok) == (2, 0, 1, True)
-
-
-def test_checked_broadcast_bound(spark):
-    from tagbill.session import checked_broadcast
-    df = spark.range(3)
-    hinted = checked_broadcast(df, max_rows=5)._jdf.queryExecution().logical().toString()
-    plain = checked_broadcast(df, max_rows=2)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
