@@ -7,8 +7,8 @@ shipped tag* yields the same keys, the same depths and the same candidate rows
 at that depth, while visiting each (shipped_tag, tag, producing run) once
 instead of once per path.
 
-The walk runs once per distinct set of producing runs (shipped tags of one
-run share their ancestry) and the shipped tags are attached at the end.
+The walk runs once per producing run (shipped tags of one run share their
+ancestry) and the shipped tags are attached at the end.
 Each hop is three distributed operators — frontier ⋈ edges on the run id,
 anti-join against the tags already reached, one row per key — and its result
 is written to the reliable checkpoint folder, so the plan never grows with
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.products import billable_product
-from ..session import cut_lineage, default_parallelism
+from ..session import cut_lineage
 from .status import first_per_key
 
 CHAIN_COLUMNS = ["shipped_tag", "tagid", "icrunidx", "fcreasonidx", "productname", "uom", "qty",
@@ -47,17 +47,16 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
                  shipped_tag: int | None = None) -> DataFrame:
     """All chain nodes, one per (shipped_tag, tagid) at its shallowest depth.
 
-    Shipped tags produced by the same set of runs share their whole ancestry:
-    the first hop reads the same runs, so every later hop is identical. The walk
-    therefore runs once per distinct producing-run set ``g`` and the shipped tags
-    are attached afterwards. The one difference the cycle guard makes — a shipped
+    Shipped tags produced by the same single run share their whole ancestry: the
+    first hop reads the same run, so every later hop is identical. The walk
+    therefore runs once per such run ``g`` (a tag of several runs walks by itself)
+    and the shipped tags are attached afterwards. The one difference the cycle guard makes — a shipped
     tag never reappears below depth 0 in its own chain — is applied at that join
     (re-reaching it adds nothing: its runs' inputs were all reached at depth 1).
 
     ``shipped_tag`` restricts the *seed* (C5): the walk then touches only that
     tag's ancestry instead of filtering the full result.
     """
-    spark = shipped.sparkSession
     seed = shipped.select(F.col("tagid").alias("shipped_tag"), F.col("shipped_qty").alias("qty"))
     if shipped_tag is not None:
         seed = seed.filter(F.col("shipped_tag") == F.lit(shipped_tag))
@@ -65,14 +64,18 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
         F.col("tagid").cast("long").alias("tagid"), "icrunidx", "fcreasonidx", "productname", "uom")
     roots = cut_lineage(seed.join(out, seed["shipped_tag"] == out["tagid"])
                         .select(*CHAIN_COLUMNS[:-1]).withColumn("depth", F.lit(0)))
-    # a shipped tag's producing-run set (a tag has a handful of output rows)
-    groups = cut_lineage(roots.groupBy("shipped_tag")
-                         .agg(F.array_sort(F.collect_set("icrunidx")).alias("g")))
+    # walk id: twice the run for tags of one run, which share their ancestry; an odd
+    # number of its own for a tag that several runs produced
+    groups = cut_lineage(
+        roots.filter(F.col("icrunidx").isNotNull()).groupBy("shipped_tag")
+        .agg(F.min("icrunidx").alias("lo"), F.max("icrunidx").alias("hi"))
+        .select("shipped_tag", F.when(F.col("lo") == F.col("hi"), F.col("lo") * 2)
+                .otherwise(F.col("shipped_tag") * 2 + 1).alias("g")))
 
-    parallelism = default_parallelism(spark)
     edges = lineage_edges(inputs, outputs).persist(StorageLevel.MEMORY_AND_DISK)
     levels: list[DataFrame] = []
-    frontier = groups.select("g", F.explode("g").alias("parent_run")).distinct()
+    frontier = (roots.select("shipped_tag", F.col("icrunidx").alias("parent_run")).join(groups, "shipped_tag")
+                .select("g", "parent_run").filter(F.col("parent_run").isNotNull()).distinct())
     depth = 0
     try:
         while True:
@@ -81,11 +84,10 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
                     .select("g", "tagid", "icrunidx", "fcreasonidx", "productname", "uom", "qty",
                             F.lit(depth).alias("depth")))
             if levels:
-                # keys reached so far, merged (narrow) so the task count tracks the cluster
                 reached = levels[0].select("g", "tagid")
                 for lv in levels[1:]:
                     reached = reached.union(lv.select("g", "tagid"))
-                step = step.join(reached.coalesce(parallelism), ["g", "tagid"], "left_anti")
+                step = step.join(reached, ["g", "tagid"], "left_anti")
             cand = cut_lineage(step)
             if cand.isEmpty():
                 break
@@ -99,7 +101,7 @@ def repack_chain(shipped: DataFrame, outputs: DataFrame, inputs: DataFrame,
         closure = levels[0]
         for lv in levels[1:]:
             closure = closure.unionByName(lv)
-        closure = first_per_key(closure.coalesce(parallelism), ["g", "tagid"], CHAIN_TIEBREAK)
+        closure = first_per_key(closure, ["g", "tagid"], CHAIN_TIEBREAK)
         attached = (groups.join(closure, "g")
                     .filter(F.col("tagid") != F.col("shipped_tag"))
                     .select(*CHAIN_COLUMNS))

@@ -34,10 +34,9 @@ def invoice_lines(charges_df: DataFrame, storage: DataFrame, start: str, end: st
     pk = (rated.groupBy("transaction_type", "type", "commodity", "style", "bagtype", "rate")
           .agg(F.sum("shipped_qty").cast(QTY_SUM).alias("quantity"),
                F.sum("amount").cast(MONEY_SUM).alias("amount")))
-    prefix = F.when(F.col("transaction_type") == "REPACK", "REPACK SERVICES").otherwise("PACKING SERVICES")
     pk = pk.select(
         F.lit(1).alias("section"),
-        F.concat(prefix, F.lit(" - "), _words("type", "commodity", "style"),
+        F.concat(F.lit("PACKING SERVICES - "), _words("type", "commodity", "style"),
                  F.when(F.col("bagtype").isin(*NAMED_BAGS), F.concat(F.lit(" "), F.col("bagtype")))
                  .otherwise(F.lit(""))).alias("description"),
         F.coalesce("quantity", F.lit(0)).cast(QTY_SUM).alias("quantity"),
@@ -63,20 +62,29 @@ def invoice_lines(charges_df: DataFrame, storage: DataFrame, start: str, end: st
         "description", "quantity", "price", "amount")
 
 
-def invoice_totals(charges_df: DataFrame, storage: DataFrame, lines: DataFrame, start: str,
-                   end: str, status: str = "all") -> DataFrame:
-    """A11 + C11: line count, total, charges skipped for lack of a rate, and PO text."""
-    sc = scope(charges_df, start, end, status).select(F.lit("l").alias("k"), F.lit(None).cast(MONEY_SUM)
-                                                      .alias("amount"), "rate_missing")
-    ss = scope(storage, start, end, status).select(F.lit("l").alias("k"), F.lit(None).cast(MONEY_SUM)
-                                                   .alias("amount"), "rate_missing")
-    li = lines.select(F.lit("i").alias("k"), "amount", F.lit(False).alias("rate_missing"))
-    u = sc.unionByName(ss).unionByName(li)
+def invoice_totals(charges_df: DataFrame, storage: DataFrame, start: str, end: str,
+                   status: str = "all") -> DataFrame:
+    """A11 + C11: line count, total, charges skipped for lack of a rate, and PO text.
+
+    One aggregate over both sources gives the groups that become lines (see
+    ``invoice_lines``) and the unrated rows beside them, so each source is read once.
+    """
+    none = F.lit(None).cast("string")
+    pk = scope(charges_df, start, end, status).select(
+        F.lit("p").alias("k"), "transaction_type", "type", "commodity", "style", "bagtype", "rate",
+        "amount", "rate_missing")
+    sg = scope(storage, start, end, status).select(
+        F.lit("s").alias("k"), none.alias("transaction_type"), none.alias("type"), "commodity", "style",
+        "bagtype", "rate", "amount", "rate_missing")
+    groups = (pk.unionByName(sg)
+              .groupBy("k", "transaction_type", "type", "commodity", "style", "bagtype", "rate", "rate_missing")
+              .agg(F.sum("amount").cast(MONEY_SUM).alias("amount"), F.count(F.lit(1)).alias("n")))
+    line = ~F.col("rate_missing") & ((F.col("k") == "s") | (F.col("transaction_type") != "REPACK"))
     end_d = F.lit(end).cast("date")
-    return u.agg(
-        F.count_if(F.col("k") == "i").alias("lines"),
-        F.coalesce(F.sum(F.when(F.col("k") == "i", F.col("amount"))), F.lit(0)).cast(MONEY_SUM).alias("total"),
-        F.count_if((F.col("k") == "l") & F.col("rate_missing")).alias("skipped_no_rate"),
+    return groups.agg(
+        F.count_if(line).alias("lines"),
+        F.coalesce(F.sum(F.when(line, F.col("amount"))), F.lit(0)).cast(MONEY_SUM).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("rate_missing"), F.col("n"))), F.lit(0)).alias("skipped_no_rate"),
     ).select(F.lit(start).alias("start"), F.lit(end).alias("end"), "lines", "total",
              "skipped_no_rate", F.date_format(end_d, "MMM dd, yyyy").alias("ship_date_label"),
              F.concat(F.lit("PACKING WE "), F.date_format(end_d, "MMddyy")).alias("cust_po"))

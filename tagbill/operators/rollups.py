@@ -13,38 +13,30 @@ SUMMARY_COLUMNS = ["billing_week", "service_amount", "labor_amount", "materials_
                    "storage_amount", "total_amount"]
 
 
-def _weekly(df: DataFrame, week: str, amount: str, name: str) -> DataFrame:
-    return df.groupBy(week).agg(F.sum(amount).alias(name)).withColumnRenamed(week, "billing_week")
-
-
 def _by_week_end(df: DataFrame, amount: str, name: str) -> DataFrame:
     d = df.filter(F.col("week_end").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return (d.groupBy(guarded_iso("week_end").alias("billing_week"))
-            .agg(F.sum(amount).alias(name)))
+    return d.select(guarded_iso("week_end").alias("billing_week"), F.lit(name).alias("k"),
+                    F.col(amount).alias("amount"))
 
 
 def bill_summary(bill_lines_df: DataFrame, storage: DataFrame, labor: DataFrame,
                  materials: DataFrame) -> DataFrame:
     """A14 ``v_bill_summary``: service + labor + materials + storage per billing week.
 
-    Each stream is pre-aggregated to one row per week before anything is joined
-    (weeks number in the hundreds, whatever the data size). The week spine is a
-    distinct union and the streams are joined with ``=``, so a NULL week (tags
-    without a ship date) appears once with zeros, exactly as the SQL view does.
+    The streams are tagged and unioned, and one aggregate by week sums them, so each
+    is computed once and reduced map-side. A NULL week (tags without a ship date)
+    matches no stream: it appears once with zeros.
     """
-    svc = _weekly(bill_lines_df, "billing_week", "amount", "service_amount")
-    sto = _weekly(storage.filter(~F.col("billed")), "billing_week", "amount", "storage_amount")
-    lab = _by_week_end(labor, "labor_charge", "labor_amount")
-    mat = _by_week_end(materials, "materials_charge", "materials_amount")
-    weeks = (svc.select("billing_week").union(lab.select("billing_week"))
-             .union(mat.select("billing_week")).union(sto.select("billing_week")).distinct())
-
-    j = weeks
-    for part in (svc, lab, mat, sto):
-        p = part.withColumnRenamed("billing_week", "_w")
-        j = j.join(p, j["billing_week"] == p["_w"], "left").drop("_w")
-    amt = {c: F.coalesce(F.col(c), F.lit(0)) for c in
-           ("service_amount", "labor_amount", "materials_amount", "storage_amount")}
+    u = (bill_lines_df.select("billing_week", F.lit("service_amount").alias("k"), "amount")
+         .unionByName(storage.filter(~F.col("billed"))
+                      .select("billing_week", F.lit("storage_amount").alias("k"), "amount"))
+         .unionByName(_by_week_end(labor, "labor_charge", "labor_amount"))
+         .unionByName(_by_week_end(materials, "materials_charge", "materials_amount")))
+    known = F.col("billing_week").isNotNull()
+    kinds = ("service_amount", "labor_amount", "materials_amount", "storage_amount")
+    j = u.groupBy("billing_week").agg(*[
+        F.coalesce(F.sum(F.when(known & (F.col("k") == c), F.col("amount"))), F.lit(0)).alias(c) for c in kinds])
+    amt = {c: F.col(c) for c in kinds}
     return j.select(
         "billing_week",
         *[v.cast(MONEY_SUM).alias(k) for k, v in amt.items()],

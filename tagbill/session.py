@@ -76,14 +76,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    """Cluster parallelism (falls back to the shuffle partition setting)."""
-    try:
-        return max(1, spark.sparkContext.defaultParallelism)
-    except Exception:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder and truncate its plan."""
     ensure_checkpoint_dir(df.sparkSession)
