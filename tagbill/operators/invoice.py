@@ -63,11 +63,12 @@ def invoice_lines(charges_df: DataFrame, storage: DataFrame, start: str, end: st
 
 
 def invoice_totals(charges_df: DataFrame, storage: DataFrame, start: str, end: str,
-                   status: str = "all") -> DataFrame:
+                   status: str = "all", invoice_date: str | None = None) -> DataFrame:
     """A11 + C11: line count, total, charges skipped for lack of a rate, and PO text.
 
     One aggregate over both sources gives the groups that become lines (see
     ``invoice_lines``) and the unrated rows beside them, so each source is read once.
+    ``invoice_date`` is today unless given.
     """
     none = F.lit(None).cast("string")
     pk = scope(charges_df, start, end, status).select(
@@ -86,16 +87,21 @@ def invoice_totals(charges_df: DataFrame, storage: DataFrame, start: str, end: s
         F.coalesce(F.sum(F.when(line, F.col("amount"))), F.lit(0)).cast(MONEY_SUM).alias("total"),
         F.coalesce(F.sum(F.when(F.col("rate_missing"), F.col("n"))), F.lit(0)).alias("skipped_no_rate"),
     ).select(F.lit(start).alias("start"), F.lit(end).alias("end"), "lines", "total",
-             "skipped_no_rate", F.date_format(end_d, "MMM dd, yyyy").alias("ship_date_label"),
+             "skipped_no_rate",
+             F.date_format(F.current_date() if invoice_date is None else F.lit(invoice_date).cast("date"),
+                           "MMM dd, yyyy").alias("invoice_date"),
+             F.date_format(end_d, "MMM dd, yyyy").alias("ship_date_label"),
              F.concat(F.lit("PACKING WE "), F.date_format(end_d, "MMddyy")).alias("cust_po"))
 
 
 def orders_to_post(bill_lines_df: DataFrame, storage: DataFrame, week: str | None = None,
-                   storage_charge_id: str | None = None) -> DataFrame:
+                   storage_charge_id: str | None = None, customer_id: str | None = None,
+                   charge_id: str | None = None, comment: str | None = None) -> DataFrame:
     """A26 + C12: the service orders a week's posting would send, one per type.
 
     REPACK is billed on time and materials (nothing to post); STORAGE posts one
-    order only when a storage charge id is configured.
+    order only when a storage charge id is configured. All four dates of the header
+    are the week's, the quantity is 0; ``comment`` replaces the comment made here.
     """
     lines = bill_lines_df.filter(F.col("billing_week").isNotNull())
     sto = storage.filter(F.col("billing_week").isNotNull() & ~F.col("billed") & ~F.col("rate_missing"))
@@ -116,11 +122,18 @@ def orders_to_post(bill_lines_df: DataFrame, storage: DataFrame, week: str | Non
               .when((txn == "STORAGE") & F.lit(storage_charge_id is None),
                     F.lit("skip: no storage charge id"))
               .otherwise(F.lit("post")))
-    comment = F.when(txn == "STORAGE", F.concat(F.lit("STORAGE - "), label)) \
+    given = F.lit(comment)
+    made = F.when(txn == "STORAGE", F.concat(F.lit("STORAGE - "), label)) \
         .otherwise(F.concat(txn, F.lit(" SERVICES - "), label))
     return orders.select("billing_week", "transaction_type", "lines", "amount",
                          F.concat(txn, F.lit(" WE "), label).alias("po_number"),
-                         comment.alias("comment"), action.alias("action"))
+                         F.coalesce(given, made).alias("comment"), action.alias("action"),
+                         F.lit(customer_id).cast("string").alias("customer_id"),
+                         F.when(txn == "STORAGE", F.lit(storage_charge_id)).otherwise(F.lit(charge_id))
+                         .cast("string").alias("charge_id"),
+                         *[F.col("billing_week").alias(c)
+                           for c in ("ship_date", "order_date", "delivery_date", "week_end")],
+                         F.lit(0).alias("quantity"))
 
 
 def billed_rows_packing(bill_lines_df: DataFrame, week: str | None = None,

@@ -77,6 +77,11 @@ def mark_received(current: DataFrame, weeks: DataFrame) -> DataFrame:
         F.when(hit, F.current_timestamp()).otherwise(F.col("received_at")).alias("received_at"))
 
 
+def runs_needing_labor(needed: DataFrame) -> DataFrame:
+    """How many repack runs still need a labor entry."""
+    return needed.agg(F.count(F.lit(1)).alias("runs"))
+
+
 def labor_status(requests: DataFrame) -> DataFrame:
     return requests.select("week", "to_address", "run_count", "status", "sent_at",
                            "received_at").orderBy(F.col("week").desc_nulls_last())

@@ -173,6 +173,19 @@ def latest_week_folder(folders: DataFrame) -> DataFrame:
                        F.max("date").alias("date"))
 
 
+RUN_LISTING = ["week_folder", "status", "total", "created_at"]
+
+
+def run_listing(runs: DataFrame) -> DataFrame:
+    """The runs, newest first; runs created at the same time go by folder."""
+    return runs.select(*RUN_LISTING).orderBy(F.col("created_at").desc_nulls_last(), F.desc("week_folder"))
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """The run created last, as one row (none without runs)."""
+    return run_listing(runs).limit(1)
+
+
 def mark_posted(runs: DataFrame, replies: DataFrame) -> DataFrame:
     """Store each week's ERP reply; only an ok reply sets status 'posted' and posted_at."""
     r = replies.select(F.col("week_folder").alias("_w"), F.col("ok").alias("_ok"),

@@ -116,6 +116,21 @@ def unbilled_shipped_by_status(status: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("tags")))
 
 
+def already_billed(billing_lines: DataFrame) -> DataFrame:
+    """Distinct tags recorded as billed, whatever the charge type."""
+    return billing_lines.filter(F.col("tagid").isNotNull()).select("tagid").distinct()
+
+
+def total_tags(summary: DataFrame) -> DataFrame:
+    """All tags of the status summary."""
+    return summary.agg(F.coalesce(F.sum("tags"), F.lit(0)).cast("long").alias("tags"))
+
+
+def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """O3: the first ``n`` rows of a listing in its order (a top-k, no full sort)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
+
+
 PAGE_COLUMNS = ["tagid", "role", "icrunidx", "productname", "fcreasonidx", "uom", "rundate",
                 "wh_status", "shipped_qty", "billing_status"]
 
