@@ -11,7 +11,7 @@ from .state import align_to
 from .storage import storage_invoice_groups
 
 # Invoice layout and wording.
-ROWS_PER_PAGE = int((700 - (352.6 + 13.45)) / 13.45)   # rows that fit on one invoice page
+ROWS_PER_PAGE = 24                                     # rows that fit on one invoice page
 NAMED_BAGS = ["COMBO", "NET", "POUCH"]                 # bag types spelled out on packing lines
 
 

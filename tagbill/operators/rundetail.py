@@ -117,15 +117,18 @@ def child_rows(prepared: DataFrame, key: str) -> DataFrame:
         .alias(c) for c in cols])
 
 
-def upsert_parents(current: DataFrame, prepared: DataFrame, present: list[str]) -> DataFrame:
+def upsert_parents(current: DataFrame, prepared: DataFrame, present: list[str] | str) -> DataFrame:
     """K8: rows of a save overwrite only the columns the payload carried.
 
-    ``present`` lists the payload's parent columns; the computed rollups are
-    always written. New runs get the column defaults for absent columns.
+    ``present`` lists the payload's parent columns, for the whole batch or, as the
+    name of an array column of ``prepared``, for each document by itself. The
+    computed rollups are always written. New runs get the column defaults for
+    absent columns.
     """
-    written = set(present) | set(COMPUTED) | {"overhead_rate", "run_no"}
-    prepared = one_per_key(prepared.select(*PARENT_COLUMNS), "run_no")
-    new = prepared.select(*[F.col(c).alias(f"_n_{c}") for c in PARENT_COLUMNS])
+    always = set(COMPUTED) | {"overhead_rate", "run_no"}
+    names = F.col(present) if isinstance(present, str) else F.array(*[F.lit(c) for c in present]).cast("array<string>")
+    prepared = one_per_key(prepared.select(*PARENT_COLUMNS, names.alias("_present")), "run_no")
+    new = prepared.select(*[F.col(c).alias(f"_n_{c}") for c in PARENT_COLUMNS], "_present")
     old = current.select(*[F.col(c).alias(f"_o_{c}") for c in PARENT_COLUMNS]) \
         .withColumn("_exists", F.lit(True))
     j = new.join(old, new["_n_run_no"] == old["_o_run_no"], "left")
@@ -133,11 +136,12 @@ def upsert_parents(current: DataFrame, prepared: DataFrame, present: list[str])
     for c in PARENT_COLUMNS:
         if c == "run_no":
             cols.append(F.col("_n_run_no").alias("run_no"))
-        elif c in written:
+        elif c in always:
             cols.append(F.col(f"_n_{c}").alias(c))
         else:
             default = F.lit(DEFAULTS.get(c))
-            cols.append(F.when(F.col("_exists"), F.col(f"_o_{c}"))
+            cols.append(F.when(F.array_contains("_present", c), F.col(f"_n_{c}"))
+                        .when(F.col("_exists"), F.col(f"_o_{c}"))
                         .otherwise(default.cast(current.schema[c].dataType)).alias(c))
     updated = j.select(*cols)
     kept = current.join(prepared.select("run_no"), "run_no", "left_anti")

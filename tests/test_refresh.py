@@ -89,3 +89,19 @@ def test_upserts_take_one_row_per_key(spark):
     new = spark.createDataFrame([("p", "COV", "LEMON", "25LB", False, "BULK"), ("p", "ORG", "LEMON", "25LB", False, "BULK")], kind)
     got = {r.productname: r.type for r in upsert_classification(cur, new).collect()}
     assert got == {"p": "ORG", "q": None}
+
+
+def test_documents_saved_together_keep_their_own_fields(spark):
+    from tagbill.operators import rundetail
+    from tagbill.plans.billing import Billing
+    b = Billing(spark, "/root/testdata/sf0.001")
+    current = b.run_parents.filter("run_no < 40")
+    a, c = [r.run_no for r in current.select("run_no").orderBy("run_no").limit(2).collect()]
+    saved = (b.run_parents.filter(F.col("run_no").isin(a, c))
+             .withColumn("note", F.lit("NEW")).withColumn("status", F.lit("closed"))
+             .withColumn("has", F.when(F.col("run_no") == a, F.array(F.lit("note"))).otherwise(F.array(F.lit("status")))))
+    before = {r.run_no: r for r in current.collect()}
+    after = {r.run_no: r for r in rundetail.upsert_parents(current, saved, "has").collect()}
+    assert (after[a].note, after[a].status) == ("NEW", before[a].status)
+    assert (after[c].note, after[c].status) == (before[c].note, "closed")
+    assert set(after) == set(before)
