@@ -57,33 +57,53 @@ _DROP = set("""aside audio button canvas datalist dialog footer form head iframe
 option select svg template textarea video""".split())
 _DROP_ROLE = set("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search
 toolbar""".split())
-_DROP_NAME = set("""ad ads adslot advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent
+_DROP_NAME = set("""ad ads adslot advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent
 cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice
 notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search
 share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget""".split())
 _CONTENT_NAME = set("article articlebody content entry main post story".split())
+#: A name that begins with one of these tells of a page's layout, not of what the element holds.
+_LAYOUT = set("has no with without".split())
 _PLAIN = {"html", "body"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"""
                   r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NAME = re.compile(r"[a-z]+")
 #: Where a block stands: dropped, anywhere, in a content container, in main, in an article.
 CHROME, OPEN, CONTENT, MAIN, ARTICLE = -1, 0, 1, 2, 3
 
 
+def _named(names: list[list[str]], inside: bool) -> tuple[bool, bool]:
+    """(chrome, content) by the names of an element, each as its words.
+
+    The last word says what a name means (article-footer is a footer), but a name
+    that only says article, main, story or entry outweighs others beside it. An
+    article's own heading is not a page header.
+    """
+    bad = _DROP_NAME - {"header"} if inside else _DROP_NAME
+    sure = _CONTENT_NAME - {"post", "content"}
+    names = [n[:-1] if n[1:] == ["header"] and n[0] in _CONTENT_NAME - {"main"} else n for n in names if n[0] not in _LAYOUT]
+    content = any(n[-1] in _CONTENT_NAME or (n[0] in _CONTENT_NAME and not bad.intersection(n)) for n in names)
+    chrome = any(n[-1] in bad or (bad.intersection(n) and not sure.intersection(n)) for n in names)
+    return chrome and not any(sure.issuperset(n) for n in names), content
+
+
 def _standing(tag: str, attrs: str, now: int) -> int:
     """Where the text of a just opened element stands, given where it is opened."""
     if now == CHROME or tag in _DROP:
         return CHROME
-    names: set[str] = set()
+    names: list[list[str]] = []
     role = ""
     if attrs:
         for k, *values in _ATTR.findall(attrs):
-            k, v = k.lower(), next((x for x in values if x), "").lower()
+            k, v = k.lower(), next((x for x in values if x), "")
             if k in ("class", "id", "itemprop"):
-                names.update(_NAME.findall(v))
-            elif k == "role":
+                names += [words for n in v.split() if (words := _NAME.findall(_HUMP.sub("-", n).lower()))]
+                continue
+            v = v.lower()
+            if k == "role":
                 role = v.strip()
             elif k == "hidden" or (k == "aria-hidden" and v == "true") or \
                     (k == "style" and "display:none" in v.replace(" ", "")):
@@ -93,10 +113,8 @@ def _standing(tag: str, attrs: str, now: int) -> int:
     if role in _DROP_ROLE:
         return CHROME
     inside = now >= CONTENT
-    bad = names & _DROP_NAME
-    if inside:
-        bad -= {"header"}                        # an article's own heading
-    if bad and tag != "main" and not names & _CONTENT_NAME - {"post", "content"}:
+    chrome, content = _named(names, inside) if names else (False, False)
+    if chrome and tag != "main":
         return CHROME
     if tag == "header" and not inside:
         return CHROME
@@ -104,7 +122,7 @@ def _standing(tag: str, attrs: str, now: int) -> int:
         return ARTICLE
     if tag == "main" or role == "main":
         return max(now, MAIN)
-    if names & _CONTENT_NAME and tag in ("div", "section", "td"):
+    if content and tag in ("div", "section", "td"):
         return max(now, CONTENT)
     return now
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tagbill.llm import html_extract, quality_model, queries, topk, toxicity, urls
@@ -104,6 +105,20 @@ def test_structure():
     assert text_of("<article><p>a<p title=it's>b</article><p>no") == "a\nb"
 
 
+@pytest.mark.parametrize("attrs, kept", [
+    ('class="article-footer"', False), ('class="entry-share"', False), ('id="articleComments"', False),
+    ('class="main-menu"', False), ('class="comment-list"', False), ('class="site-header"', False),
+    ('class="alert"', False), ('class="article-header"', True), ('class="has-sidebar"', True),
+    ('class="story with-ads"', True), ('class="lead"', True), ('itemprop="articleBody"', True)])
+def test_names_of_elements(attrs, kept):
+    for page in (f"<main><p>Body.</p><div {attrs}><p>Inner.</p></div></main>",
+                 f"<div class='entry-content'><p>Body.</p><div {attrs}><p>Inner.</p></div></div>"):
+        # a page header's name is a heading's name inside an article
+        assert ("Inner." in text_of(page)) == (kept or "site-header" in attrs)
+    assert text_of(f"<div {attrs}>x</div><div class='entry-header'><h1>Head</h1></div>"
+                   "<div class='entry-content'><p>Body.</p></div>").endswith("Head\nBody.")
+
+
 def test_host_suffixes_remove_shared_runs(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
