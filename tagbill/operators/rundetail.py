@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import billing_week
-from ..schemas import MONEY, RATE, RUN_PARENT_FIELDS
+from ..schemas import MONEY, QTY, RATE, RUN_PARENT_FIELDS
 from .state import one_per_key
 
 OVERHEAD_DEFAULT = "0.20"  # fixed value: overhead rate when none is given
@@ -205,3 +205,28 @@ def run_nested(parents: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
             F.sort_array(F.collect_list(F.struct(*cols))).alias(key))
         out = out.join(g, "run_no", "left")
     return out
+
+
+def nested_documents(prepared: DataFrame) -> DataFrame:
+    """J16 for documents that still hold their lines: ``run_nested`` within the row, without a shuffle."""
+    def lines(key: str):
+        of = lambda x, i: F.struct(*[
+            (F.coalesce(x["seq"], i).cast("int") if c == "seq" else x[c]).alias(c) for c in CHILDREN[key]])
+        return F.when(F.size(key) > 0, F.sort_array(F.transform(key, of))).alias(key)
+    return prepared.select(*PARENT_COLUMNS, *[lines(key) for key in CHILDREN])
+
+
+#: What a line of each kind is about, and its amount.
+LINE_DIGEST = {"labor": ("position", "total_pay"), "io": ("io", "boxes"),
+               "material": ("material", "total"), "defect": ("defect_type", "value")}
+
+
+def nested_lines(nested: DataFrame) -> DataFrame:
+    """One row per line of a nested run, with its place (from 0) among the run's lines of that kind."""
+    def of(kind: str, item: str, amount: str):
+        return F.transform(F.coalesce(F.col(kind), F.array()), lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("place"), x["seq"].alias("seq"), x[item].alias("item"),
+            x[amount].cast(QTY).alias("amount")))
+    lines = F.concat(*[of(kind, *names) for kind, names in LINE_DIGEST.items()])
+    return (nested.select("run_no", F.col("total").alias("run_total"), F.explode(lines).alias("line"))
+            .select("run_no", "run_total", "line.*"))

@@ -167,6 +167,13 @@ def folder_tree(folders: DataFrame, runs: DataFrame) -> DataFrame:
             .orderBy(F.col("year").desc()))
 
 
+def tree_weeks(tree: DataFrame) -> DataFrame:
+    """One row per week of a folder tree, with its month's and its own place (from 0)."""
+    months = tree.select("year", F.posexplode("months").alias("month_place", "m"))
+    return (months.select("year", "month_place", "m.month", "m.label", F.posexplode("m.weeks").alias("week_place", "w"))
+            .select("year", "month_place", "month", "label", "week_place", "w.*"))
+
+
 def latest_week_folder(folders: DataFrame) -> DataFrame:
     """The newest folder by its date — a max_by aggregate, no global sort."""
     return folders.agg(F.max_by("week_folder", "date").alias("week_folder"),
