@@ -135,3 +135,22 @@ def test_append_ignores_unfinished_batch(spark, tmp_path):
     os.remove(root + "/_batches/v=7/_SUCCESS")
     out = state.append_aligned(spark, root, df, S.BILLING_LINES)
     assert out.count() == 2
+
+
+def test_nested_documents_equal_nested_tables(spark):
+    """Lines without seq take their place, ties sort by value, runs without lines have none."""
+    from tagbill.operators import rundetail
+    from tagbill.schemas import RUN_SUBMISSION
+    defect = lambda seq, kind: {"seq": seq, "defect_type": kind, "value": "2"}
+    docs = spark.createDataFrame([
+        {"run_no": 1, "defect": [defect(3, "scar"), defect(None, "b"), defect(1, "a"), defect(1, "a")]},
+        {"run_no": 2, "defect": []}, {"run_no": 3}], RUN_SUBMISSION)
+    ready = rundetail.prepare(docs)
+    by_row = rundetail.nested_documents(ready)
+    by_table = rundetail.run_nested(rundetail.parent_rows(ready), {k: rundetail.child_rows(ready, k) for k in rundetail.CHILDREN})
+    rows = by_row.orderBy("run_no").collect()
+    assert rows == by_table.select(*by_row.columns).orderBy("run_no").collect()
+    assert [(x.seq, x.defect_type) for x in rows[0].defect] == [(1, "a"), (1, "a"), (1, "b"), (3, "scar")]
+    assert rows[1].defect is None and rows[2].labor is None
+    lines = rundetail.nested_lines(by_row).orderBy("place").collect()
+    assert [(r.run_no, r.kind, r.place, r.amount) for r in lines] == [(1, "defect", i, 2) for i in range(4)]
