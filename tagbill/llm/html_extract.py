@@ -1,27 +1,28 @@
-"""Main text of web pages: page structure, and a host suffix array for what it leaves open.
+"""Main text of web pages: page structure, and runs that repeat across a host.
 
 Structure. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are told by element, role, class or id, and dropped. Text
 in an ``article`` is the main text; without one, that in ``main``; without either,
 that in a container named as content.
 
-Host suffix array. Where a page has none of these, its structure doesn't say which
-blocks are the article. For such pages the token streams outside articles of all pages
-of a host (a menu marked as one on a sister page is evidence too) are sorted by suffix,
-and substrings of ``run`` or more tokens that ``pages`` or more distinct pages share are
-boilerplate: covered tokens go, unique runs stay. If nothing would stay, the page is a
-copy, and all of it stays. Only the first ``run`` tokens of a suffix decide whether it
-is part of so long a repeat, so suffixes are sorted and grouped by (host, hash of that
-prefix) across the cluster; a host with a third of all pages spreads over all
-partitions, and a menu that all its pages share is reduced map-side to a count.
-Pages whose html names an ``article`` or ``main`` element never wait for their host.
-Articles never enter: passages that pages legitimately share are kept.
+Host suffixes. On every page the repeated runs of its host decide too. All tokens of a
+page, those of dropped blocks and of articles included, form one stream. The first
+``run`` tokens of each suffix are hashed with the host, the hashes are dealt over the
+cluster by value and sorted, and equal neighbours are suffixes with so long a common
+prefix; overlapping ones join to runs of any greater length. A prefix is boilerplate
+if ``pages`` or more pages share it that differ in the rest of their text: pages whose
+sketches (32 min-hashes of their words outside dropped blocks) agree in a share of
+``alike`` or more count as copies of one page. Structure is evidence that protects:
+in an article, main or content container a block goes only if repeated runs cover all
+of it (a menu or notice without a telling name), so passages that pages quote inside
+a paragraph stay; where structure tells nothing, covered tokens go. If nothing would
+stay, all of it stays. A prefix counts once a page, so no host or line is a hot key.
 
 Blocks: text between block-level tags; white space inside is one space; blocks are
 joined by one line feed.
 
 Defined results. Null or empty html: empty text, 0. Repeated rows are extracted alike
-and count as one page of the host. A null page_id or url stays null. Pages without a
+and count as one page of the host, as do all pages of a host with the same html. A null page_id or url stays null. Pages without a
 host share the empty one. Empty table: no rows. Other columns are ignored.
 """
 
@@ -31,6 +32,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ from tagbill.llm.common import batches, out, prepare, texts
 class Params:
     run: int = 8
     pages: int = 3
+    #: Share of equal min-hashes from which two pages are copies of one.
+    alike: float = 0.7
 
 
 # Element and attribute names of HTML.
@@ -71,6 +75,11 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NAME = re.compile(r"[a-z]+")
+#: Characters of html whose suffixes one bucket takes.
+BUCKET_CHARS = 32_000_000
+_ALL = (1 << 64) - 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(32)], np.uint64)
 #: Where a block stands: dropped, anywhere, in a content container, in main, in an article.
 CHROME, OPEN, CONTENT, MAIN, ARTICLE = -1, 0, 1, 2, 3
 
@@ -189,30 +198,64 @@ def main_blocks(found: list[tuple[int, str]]) -> list[str] | None:
     return [t for w, t in found if w == level] if level > OPEN else None
 
 
-def _prefixes(found: list[tuple[int, str]], run: int) -> np.ndarray:
-    """Hashes of the ``run``-token prefixes of the suffixes outside articles, in page order.
+def _tokens(found: list[tuple[int, str]]) -> np.ndarray:
+    """Hashes of all tokens of a page, in order; those of dropped blocks are evidence."""
+    return np.array([xxhash.xxh64_intdigest(t) for _, text in found for t in text.split()], np.uint64)
+
+
+def _prefixes(tokens: np.ndarray, host: int, run: int) -> np.ndarray:
+    """Hashes of the host and the ``run``-token prefix of each suffix, in page order."""
+    n = len(tokens) - run + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    h = np.full(n, host & _ALL, np.uint64)
+    for k in range(run):
+        h = (h ^ (h >> np.uint64(29))) * _MIX + tokens[k:k + n]
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _sketch(found: list[tuple[int, str]], tokens: np.ndarray) -> bytes:
+    """A byte of each of 32 min-hashes of the words outside dropped blocks (of all, if there are none)."""
+    open_ = np.repeat([w > CHROME for w, _ in found], [len(t.split()) for _, t in found])
+    x = np.unique(tokens[open_] if open_.any() else tokens)
+    return ((x[:, None] * _MULTIPLIERS).min(axis=0) >> np.uint64(16)).astype(np.uint8).tobytes()
 
-    Tokens of dropped blocks are part of the stream: they are evidence.
-    """
-    each = [xxhash.xxh64_digest(t) for w, text in found if w <= OPEN for t in text.split()]
-    hashes = [xxhash.xxh64_intdigest(b"".join(each[i:i + run])) for i in range(len(each) - run + 1)]
-    return np.array(hashes, np.uint64).view(np.int64)
 
+def _boilerplate(w: np.ndarray, page: np.ndarray, sketches: np.ndarray, p: Params) -> np.ndarray:
+    """Which of the pairs (prefix, page), sorted and distinct, are of a prefix that enough unlike pages share.
 
-def _unique_runs(found: list[tuple[int, str]], covered: set[int], run: int) -> list[str]:
-    """The open blocks without the tokens that repeated suffixes cover."""
-    hit: set[int] = {p for s in covered for p in range(s, s + run)}
+    ``sketches``: by page, which is a place in it.
+    """
+    same = np.concatenate(([True], w[1:] != w[:-1]))
+    first = np.flatnonzero(same)
+    sizes = np.diff(np.append(first, len(w)))
+    shared = np.zeros(len(first), bool)
+    for g in np.flatnonzero(sizes >= p.pages):
+        left = sketches[page[first[g]:first[g] + sizes[g]]]
+        for _ in range(p.pages - 1):                     # each leader takes the pages alike away
+            left = left[(left == left[0]).mean(axis=1) < p.alike]
+            if not len(left):
+                break
+        shared[g] = len(left) > 0
+    return np.repeat(shared, sizes)
+
+
+def _without_runs(found: list[tuple[int, str]], starts: np.ndarray, run: int) -> list[str]:
+    """The blocks of the main text without what repeated suffixes cover."""
+    level = max((w for w, _ in found), default=CHROME)
+    if level == CHROME:
+        return []
+    hit: set[int] = {q for s in starts.tolist() for q in range(s, s + run)}
     kept, place = [], 0
     for w, t in found:
-        if w > OPEN:
-            continue
         words = t.split()
-        if w == OPEN:
+        if w == level:
             left = [x for k, x in enumerate(words) if place + k not in hit]
             if left:
-                kept.append(" ".join(left))
+                kept.append(t if level > OPEN else " ".join(left))
         place += len(words)
-    return kept or [t for w, t in found if w == OPEN]
+    return kept or [t for w, t in found if w == level]
 
 
 def _host(url: Column) -> Column:
@@ -224,42 +267,70 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
     prepare(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"))
-    keyed = pages.select("*", F.xxhash64(_host(F.col("url"))).alias("host"),
-                         F.coalesce("page_id", F.xxhash64("url", "html")).alias("page"))
-    told = F.coalesce(F.col("html").rlike("(?i)<(article|main)\\b"), F.lit(False))
-    suffixes = pa.schema([("host", pa.int64()), ("page", pa.int64()), ("at", pa.int32()), ("w", pa.int64())])
-
-    def outside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keyed = (pages.withColumn("host", F.xxhash64(_host(F.col("url"))))
+             .withColumn("page", F.xxhash64("host", "html")))
+    # As many buckets as keep one in a worker's memory, whatever the input.
+    length = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    buckets = max(8, -(-length // BUCKET_CHARS))
+    dealt = pa.schema([("bucket", pa.int32()), ("page", pa.int64()), ("sketch", pa.binary()), ("w", pa.binary())])
+
+    def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
+            rows = []
             for h, page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
-                w = _prefixes(blocks(t), p.run)
-                if len(w):
-                    yield out(suffixes, [h] * len(w), [page] * len(w), list(range(len(w))), w)
-
-    array = lambda rows: (rows.select("host", "page", "html")
-                          .mapInArrow(outside, "host long, page long, at int, w long"))
-    untold = array(keyed.filter(~told))
-    # One row a page and prefix, then a count a prefix: neighbours in the suffix array
-    # with `run` tokens in common are the rows of one group.
-    shared = (array(keyed).select("host", "w", "page").distinct()
-              .groupBy("host", "w").agg(F.count("*").alias("n")).filter(F.col("n") >= p.pages).select("host", "w"))
-    covered = (untold.join(shared, ["host", "w"])
-               .groupBy("host", "page").agg(F.collect_set("at").alias("starts")))   # bounded by a page's tokens
+                found = blocks(t)
+                tokens = _tokens(found)
+                w = np.unique(_prefixes(tokens, h, p.run))
+                if not len(w):
+                    continue
+                sketch = _sketch(found, tokens)
+                of = (w % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                ends = np.cumsum(np.bincount(of, minlength=buckets))
+                rows += [(k, page, sketch, part.tobytes()) for k, part in enumerate(np.split(w[order], ends[:-1])) if len(part)]
+            if rows:
+                yield out(dealt, *zip(*rows))
+
+    repeats = pa.schema([("page", pa.int64()), ("w", pa.binary())])
+
+    def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in it for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, bucket in groupby(rows, key=lambda r: r[0]):
+            held = {r[1]: r for r in bucket}             # pages with the same html are one
+            ids = sorted(held)
+            parts = [np.frombuffer(held[i][3], np.uint64) for i in ids]
+            sketches = np.frombuffer(b"".join(held[i][2] for i in ids), np.uint8).reshape(len(ids), -1)
+            del held
+            w, page = np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(x) for x in parts])
+            order = np.argsort(w, kind="stable")
+            w, page = w[order], page[order]
+            keep = _boilerplate(w, page, sketches, p)
+            w, page = w[keep], page[keep]
+            order = np.argsort(page, kind="stable")
+            w, (some, at) = w[order], np.unique(page[order], return_index=True)
+            done = [(ids[i], x.tobytes()) for i, x in zip(some.tolist(), np.split(w, at[1:]))]
+            for k in range(0, len(done), 4096):
+                yield out(repeats, *zip(*done[k:k + 4096]))
+
+    shared = (keyed.select("host", "page", "html")
+              .mapInArrow(suffixes, "bucket int, page long, sketch binary, w binary")
+              .repartition("bucket").sortWithinPartitions("bucket")
+              .mapInArrow(neighbours, "page long, w binary")
+              .groupBy("page").agg(F.collect_list("w").alias("repeats")))      # bounded by a page's tokens
     result = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     kinds = "page_id long, url string, text string, n_chars long"
 
-    def by_structure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def main_text(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             done = []
-            for t, starts in zip(texts(b.column(2)), b.column(3).to_pylist()):
+            for t, host, found_w in zip(texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 found = blocks(t)
-                main = main_blocks(found)
-                done.append("\n".join(_unique_runs(found, set(starts or ()), p.run) if main is None else main))
+                starts = np.zeros(0, np.int64)
+                if found_w:
+                    ws = _prefixes(_tokens(found), host, p.run)
+                    starts = np.flatnonzero(np.isin(ws, np.frombuffer(b"".join(found_w), np.uint64)))
+                done.append("\n".join(_without_runs(found, starts, p.run)))
             yield out(result, b.column(0), b.column(1), done, [len(t) for t in done])
 
-    # Pages that name an article are done where they are read; the others wait for the host.
-    plain = keyed.filter(told)
-    rest = keyed.filter(~told).join(covered, ["host", "page"], "left")
-    none = F.lit(None).cast("array<int>").alias("starts")
-    return (plain.select("page_id", "url", "html", none).mapInArrow(by_structure, kinds)
-            .unionByName(rest.select("page_id", "url", "html", "starts").mapInArrow(by_structure, kinds)))
+    return (keyed.join(shared, "page", "left").select("page_id", "url", "html", "host", "repeats")
+            .mapInArrow(main_text, kinds))

@@ -135,6 +135,25 @@ def test_host_suffixes_remove_shared_runs(spark):
     assert html_extract.extract(df.filter("false")).count() == 0
 
 
+def made_words(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+def extracted(spark, htmls):
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_extract.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_repeated_blocks_in_articles_go_and_quotes_stay(spark):
+    words = made_words(6)
+    items, notice, quote = words(10).split(), words(12), words(12)
+    menu = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    bodies = [[words(30), f"{words(9)} {quote} {words(9)}"] for _ in range(5)]
+    got = extracted(spark, [f"<article>{menu}<p>{a}</p><div>{notice}</div><p>{b}</p></article>" for a, b in bodies])
+    assert got == [f"{a}\n{b}" for a, b in bodies]
+
+
 def test_url_rules(spark):
     cases = [("https://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
              ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
