@@ -154,6 +154,14 @@ def test_repeated_blocks_in_articles_go_and_quotes_stay(spark):
     assert got == [f"{a}\n{b}" for a, b in bodies]
 
 
+def test_article_only_in_the_raw_text(spark):
+    words = made_words(7)
+    menu, bodies = words(15), [words(40) for _ in range(5)]
+    hidden = ["<!-- <article> -->", "<script>var a = '<article>';</script>", "<main-menu></main-menu>",
+              "<article-card></article-card>", "<aside><article>x</article></aside>"]
+    assert extracted(spark, [f"<body>{h}<div>{menu}</div><div>{b}</div></body>" for h, b in zip(hidden, bodies)]) == bodies
+
+
 def test_url_rules(spark):
     cases = [("https://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
              ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
