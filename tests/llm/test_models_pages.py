@@ -162,6 +162,14 @@ def test_article_only_in_the_raw_text(spark):
     assert extracted(spark, [f"<body>{h}<div>{menu}</div><div>{b}</div></body>" for h, b in zip(hidden, bodies)]) == bodies
 
 
+def test_near_copies_keep_their_text_but_not_the_menu(spark):
+    words = made_words(8)
+    menu, body, others = words(10), words(60), [words(60) for _ in range(2)]
+    copies = [f"{body} {words(1)}" for _ in range(4)]
+    got = extracted(spark, [f"<div>{menu}</div><div>{b}</div>" for b in copies + others])
+    assert got == copies + others
+
+
 def test_url_rules(spark):
     cases = [("https://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
              ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
