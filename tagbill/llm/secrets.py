@@ -2,7 +2,8 @@
 
 Known shapes are assignments of passwords, tokens and keys, access keys and long hex
 runs. Beside them every run of 16 or more key characters outside these spans is
-tested if its characters look like an encoding (decimal, hex, base32, base36, base64,
+tested ('=' ends a run, so a value after ``NAME=`` is one of its own; a run that mixes
+base64 and base64url is tested in its parts between separators) if its characters look like an encoding (decimal, hex, base32, base36, base64,
 base64url: letters alone are no encoding) and if it carries at least 64 bits:
 chi-squared uniformity over the encoding's alphabet, a runs test about the middle of
 the alphabet and a lag-1 serial correlation, combined by Fisher's method. The p-value
@@ -42,7 +43,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
                      re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Key characters; an '=' ends a run, and two at most pad it.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]{15}(?==(?![A-Za-z0-9+/_=-]))"
+                  r"|[A-Za-z0-9+/_-]{14}(?===(?![A-Za-z0-9+/_=-])))")
+_PARTS = (re.compile("[^/+]+"), re.compile("[^_-]+"))
 
 # Alphabets, in the order of their digits.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,6 +86,18 @@ def encoding(run: str) -> str | None:
     return None
 
 
+def parts(run: str) -> list[tuple[int, str]]:
+    """(start, text): the run, or if it mixes base64 and base64url, its parts between separators.
+
+    A mixed run is split at the separators of one of the two, whichever leaves the longer key.
+    """
+    if not (("/" in run or "+" in run) and ("-" in run or "_" in run)):
+        return [(0, run)]
+    splits = [[(m.start(), m.group()) for m in c.finditer(run) if len(m.group()) >= 16 and encoding(m.group())]
+              for c in _PARTS]
+    return max(splits, key=lambda s: max((len(t) for _, t in s), default=0))
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -125,15 +141,15 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, st
     base.sort()
     tested = []
     for m in _RUN.finditer(text):
-        run = m.group().rstrip("=")
-        name = encoding(run)
-        a, b = m.start(), m.start() + len(run)
-        if name is None or len(run) * math.log2(len(ALPHABETS[name])) < LEAST_BITS:
-            continue
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        size = int(np.searchsorted(LENGTHS, len(run)))
-        tested.append((a, b, name, size, battery(run, name)))
+        for start, run in parts(m.group()):
+            name = encoding(run)
+            a, b = m.start() + start, m.start() + start + len(run)
+            if name is None or len(run) * math.log2(len(ALPHABETS[name])) < LEAST_BITS:
+                continue
+            if any(s < b and a < e for s, _, e in base):
+                continue
+            size = int(np.searchsorted(LENGTHS, len(run)))
+            tested.append((a, b, name, size, battery(run, name)))
     return base, tested
 
 

@@ -97,6 +97,19 @@ def test_random_spans_and_masking(spark):
     assert all(r.n_chars == len(r.text) for r in masked.values()) and len(masked) == 600
 
 
+def test_values_after_a_name_are_tested():
+    key = "9fK2xQ7LpZ0vB4nT8sWc"
+    for text, want in ((f"AUTH={key}", key), (f"http://h/?a=1&sig={key}&b=2", key), (f"{key}==", key), (f"A={key}=", key),
+                       (f"/v1/x-{key}", f"x-{key}"), (f"x-{key}/+{key}", f"{key}/+{key}"), ("A=9fK2xQ7LpZ0vB4n=", "9fK2xQ7LpZ0vB4n")):
+        assert [text[a:b] for a, b, *_ in secrets.find(text)[1]] == [want]
+
+
+def test_masking_of_values_after_a_name(spark):
+    keys = [entropy.token_urlsafe(40).replace("-", "x").replace("_", "y") for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"AUTH={k} end") for i, k in enumerate(keys)], "doc_id long, text string")
+    assert sum(r.text == "AUTH=[secret] end" for r in secrets.mask(docs).collect()) >= 250
+
+
 def test_secrets_on_odd_rows(odd, none):
     assert sorted(str(r.doc_id) for r in secrets.scan(odd).collect()) == sorted(str(r.doc_id) for r in odd.collect())
     assert secrets.mask(odd).collect().__len__() == odd.count() and secrets.mask(odd).columns == odd.columns
