@@ -1,22 +1,23 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 1. Examples: a bounded sample of the labelled training rows (``max_examples``).
-2. Terms: words and five-letter word beginnings whose presence among the examples
-   depends on the label (chi-squared, Bonferroni over all terms tested). With only
-   such terms left, the nearest examples are near for what the label is about.
-3. One pass over all texts counts these terms; document frequencies are taken over
-   all documents, weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1).
-4. Index: an inverted index over the examples in blocks, with the largest weight of
-   each term and block. A query visits blocks by falling upper bound and stops when
-   no bound reaches its k-th best cosine, so the k best are exact. Examples tied
-   with the k-th all count, so no tie is broken by an id.
-5. Votes are weighted by 1 / (distance + 0.05); an isotonic fit of leave-one-out votes
+2. Terms: all words and five-letter word beginnings of the examples. One pass over all
+   texts takes document frequencies over all documents; weights are
+   (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1). Terms whose presence among the examples
+   depends on the label (chi-squared, Bonferroni over all terms tested) weigh ``told``
+   times as much, so that the nearest examples are near for what the label is about;
+   a text without any of them is still searched by all its terms.
+3. Index: postings of the examples; those of the most frequent terms as a dense matrix.
+   Single-precision cosines with all examples pick the candidates, within a margin far
+   over their error, and double precision ranks them, so the k best are exact. Examples
+   tied with the k-th all count, so no tie is broken by an id.
+4. Votes are weighted by 1 / (distance + 0.05); an isotonic fit of leave-one-out votes
    on the examples makes them probabilities. Evidence: the ids of nearest examples.
 
-The index is bounded by ``max_examples`` and ``max_terms`` and is broadcast; all rows
-are scored where they are read, nothing about them is gathered.
+The vocabulary and the index are bounded by the texts of ``max_examples`` examples and
+are broadcast; all rows are scored where they are read, nothing about them is gathered.
 
-Defined results. Null or empty text, or one without any term: the share of toxic
+Defined results. Null or empty text, or one without any term of an example: the share of toxic
 examples among those without any term (of all, if there are none). No labels: 0.0
 for every row. Repeated rows score alike; repeated or contradicting labels of a
 doc_id count as its largest. A row without doc_id is scored and never an example.
@@ -27,9 +28,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -41,6 +43,8 @@ from tagbill.llm.common import batches, bounded_sample, cut, out, prepare, texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
+#: Texts scored at a time.
+GROUP = 128
 
 
 @dataclass(frozen=True)
@@ -51,7 +55,10 @@ class Params:
     #: Chance that any term is taken though it doesn't depend on the label.
     alpha: float = 0.05
     neighbours: int = 25
-    block: int = 64
+    #: Weight of a label-dependent term beside that of any other.
+    told: float = 4.0
+    #: Terms held as a dense matrix.
+    head: int = 1024
 
 
 def terms(text: str) -> Counter:
@@ -65,8 +72,8 @@ def terms(text: str) -> Counter:
 
 # ---- terms that depend on the label ----------------------------------------
 
-def select_terms(examples: DataFrame, p: Params) -> list[str]:
-    """Terms of the examples (text, y) that depend on y, in order; at most ``max_terms``."""
+def select_terms(examples: DataFrame, p: Params) -> tuple[list[str], list[str]]:
+    """All terms of the examples (text, y), and at most ``max_terms`` that depend on y, in order."""
     schema = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,16 +93,15 @@ def select_terms(examples: DataFrame, p: Params) -> list[str]:
                     yield flush()
         yield flush()
 
+    every = cut(examples.select("text", "y").mapInArrow(count, "term string, pos long, neg long")
+                .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    vocabulary = sorted(every.select("term").toArrow().column(0).to_pylist())     # bounded by the examples' texts
     sizes = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    counts = cut(examples.select("text", "y").mapInArrow(count, "term string, pos long, neg long")
-                 .groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-                 .filter("pos + neg > 2"))
+    counts = every.filter("pos + neg > 2")
     tested = counts.count()
-    if not tested:
-        return []
+    if not n1 or not n0 or not tested:
+        return vocabulary, []
     least = NormalDist().inv_cdf(1 - p.alpha / (2 * tested)) ** 2
     a, b, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(n1 + n0)
     d = n0 - b
@@ -103,7 +109,7 @@ def select_terms(examples: DataFrame, p: Params) -> list[str]:
     chi = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * float(n1) * float(n0))
     picked = (counts.filter(F.col("pos") + F.col("neg") < n).withColumn("chi", chi).filter(F.col("chi") >= least)
               .orderBy(F.desc("chi"), "term").limit(p.max_terms).select("term").collect())
-    return [r.term for r in picked]
+    return vocabulary, [r.term for r in picked]
 
 
 def found_terms(text: str, place: dict[str, int]) -> tuple[list[int], list[int]]:
@@ -119,99 +125,153 @@ def found_terms(text: str, place: dict[str, int]) -> tuple[list[int], list[int]]
     return order, [found[i] for i in order]
 
 
-def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, ids, tfs): the vocabulary's terms in each text, by their place in it."""
+def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
+    """The number of documents, and how many of them have each term."""
     place = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
+    schema = pa.schema([("t", pa.int32()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = place.value
+        at, n, df = place.value, 0, np.zeros(len(vocabulary), np.int64)
         for b in batches(it):
-            found = [found_terms(text, at) for text in texts(b.column(1))]
-            yield out(schema, b.column(0), [x for x, _ in found], [x for _, x in found])
+            n += b.num_rows
+            for text in texts(b.column(0)):
+                df[found_terms(text, at)[0]] += 1
+        some = np.flatnonzero(df)
+        yield out(schema, np.append(some, -1), np.append(df[some], n))
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, ids array<int>, tfs array<int>"))
+    # one row a term of the bounded vocabulary
+    rows = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(vocabulary) + 1)
+    counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()           # the last one counts documents
+    n, df = int(counts[-1]), counts[:-1]
+    return n, df
+
+
+def vectors(examples: DataFrame, vocabulary: list[str]) -> list[tuple[int, int, list[int], list[int]]]:
+    """(doc_id, y, term places, counts) of each of the bounded examples, once if repeated."""
+    place = examples.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.binary()), ("tfs", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            found = [found_terms(text, place.value) for text in texts(b.column(2))]
+            yield out(schema, b.column(0), b.column(1), *([np.array(x, np.int32).tobytes() for x in c] for c in zip(*found)))
+
+    rows = (examples.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary, tfs binary")
+            .distinct().toArrow())
+    return [(d, y, np.frombuffer(i, np.int32), np.frombuffer(n, np.int32))
+            for d, y, i, n in zip(*(c.to_pylist() for c in rows.columns))]
 
 
 # ---- index -----------------------------------------------------------------
 
+#: Single-precision cosines are nearer to the exact ones than this.
+MARGIN = 1e-5
+
+
 @dataclass
 class Index:
-    """Inverted index over unit vectors of examples, in blocks, with block maxima."""
-    weights: np.ndarray                     # idf of each term
+    """Postings of unit vectors of examples, by example and by term."""
+    weights: np.ndarray                     # weight of each term
     labels: np.ndarray
     ids: np.ndarray
-    block: int
-    post: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)   # term: examples, weights
-    starts: dict[int, np.ndarray] = field(default_factory=dict)                    # term: first posting of each block
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))             # term x block: largest weight
+    rows: np.ndarray                        # first entry of each example, and the end
+    row_terms: np.ndarray
+    row_counts: np.ndarray
+    row_weights: np.ndarray
+    dense: np.ndarray                       # head term x example
+    column: np.ndarray                      # place of a term among the head terms, or -1
+    starts: np.ndarray                      # first posting of each term, and the end
+    post: np.ndarray
+    post_weights: np.ndarray
 
     @staticmethod
-    def build(rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, block: int) -> Index:
-        """``rows``: (doc_id, label, term ids, counts), none without terms."""
-        # examples with the same leading terms share blocks, which keeps block maxima tight
-        heavy = lambda r: sorted(r[2], key=lambda i: (-idf[i], i))
-        rows = sorted(rows, key=lambda r: (heavy(r), r[3]))
-        ix = Index(idf, np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64), block)
-        blocks = -(-len(rows) // block)
-        ix.top = np.zeros((len(idf), max(blocks, 1)))
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for e, r in enumerate(rows):
-            for t, w in zip(r[2], ix.unit(r[2], r[3])):
-                by_term.setdefault(t, []).append((e, float(w)))
-        for t, ps in by_term.items():
-            e = np.array([x for x, _ in ps], np.int64)
-            w = np.array([x for _, x in ps])
-            ix.post[t] = (e, w)
-            ix.starts[t] = np.searchsorted(e, np.arange(blocks + 1) * block)
-            np.maximum.at(ix.top[t], e // block, w)
-        return ix
-
-    def unit(self, ids: list[int], tfs: list[int]) -> np.ndarray:
-        w = (1 + np.log(np.asarray(tfs, float))) * self.weights[np.asarray(ids, np.int64)]
-        return w / math.sqrt(float(w @ w))
+    def build(rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, head: int) -> Index:
+        """``rows``: (doc_id, label, term ids, counts), none without terms; they keep their places."""
+        terms_ = np.concatenate([np.asarray(r[2], np.int32) for r in rows])
+        weights = np.concatenate([_unit(r[2], r[3], idf) for r in rows])
+        sizes = [len(r[2]) for r in rows]
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        df = np.bincount(terms_, minlength=len(idf))
+        most = np.argsort(-df, kind="stable")[:head]
+        column = np.full(len(idf), -1, np.int64)
+        column[most] = np.arange(len(most))
+        dense = np.zeros((len(most), len(rows)), np.float32)
+        at_head = column[terms_] >= 0
+        dense[column[terms_[at_head]], example[at_head]] = weights[at_head]
+        tail = np.flatnonzero(~at_head)
+        tail = tail[np.argsort(terms_[tail], kind="stable")]
+        return Index(idf, np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64),
+                     np.concatenate(([0], np.cumsum(sizes))), terms_,
+                     np.concatenate([np.asarray(r[3], np.int32) for r in rows]), weights, dense, column,
+                     np.searchsorted(terms_[tail], np.arange(len(idf) + 1)), example[tail], weights[tail].astype(np.float32))
+
+    def __getstate__(self) -> tuple:
+        """What the index is built from, packed: a worker builds the rest again."""
+        return (self.weights, self.labels, self.ids, self.rows, len(self.dense),
+                zlib.compress(self.row_terms.tobytes(), 1), zlib.compress(self.row_counts.tobytes(), 1))
+
+    def __setstate__(self, state: tuple) -> None:
+        weights, labels, ids, rows, head, terms_, counts = state
+        terms_, counts = (np.frombuffer(zlib.decompress(x), np.int32) for x in (terms_, counts))
+        cut_ = list(zip(rows[:-1], rows[1:]))
+        made = Index.build([(i, y, terms_[a:b], counts[a:b]) for i, y, (a, b) in zip(ids, labels, cut_)], weights, head)
+        self.__dict__.update(made.__dict__)
 
     def nearest(self, ids: list[int], tfs: list[int], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with the k largest cosines above 0, all ties of the k-th, and their cosines.
 
         ``but``: the place of an example to leave out.
         """
-        q = self.unit(ids, tfs)
-        bound = q @ self.top[ids]
-        found_e, found_s = [], []
-        kth, best = 0.0, np.zeros(0)
-        for blk in np.argsort(-bound, kind="stable"):
-            if bound[blk] <= 0 or bound[blk] < kth - 1e-9:
-                break
-            score = np.zeros(self.block)
-            base = blk * self.block
-            for t, w in zip(ids, q):
-                if t in self.post:
-                    a, b = self.starts[t][blk], self.starts[t][blk + 1]
-                    e, pw = self.post[t]
-                    score[e[a:b] - base] += w * pw[a:b]
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + base != but]
-            if len(hit):
-                s = np.round(score[hit], 9)
-                found_e.append(hit + base)
-                found_s.append(s)
-                best = np.sort(np.concatenate([best, s]))[-k:]
-                kth = best[0] if len(best) >= k else 0.0
-        if not found_e:
-            return np.zeros(0, np.int64), np.zeros(0)
-        e, s = np.concatenate(found_e), np.concatenate(found_s)
-        keep = s >= kth
-        e, s = e[keep], s[keep]
-        order = np.lexsort((self.ids[e], -s))
-        return e[order], s[order]
+        return self.nearest_many([(ids, tfs)], k, [but])[0]
+
+    def nearest_many(self, queries: list[tuple[list[int], list[int]]], k: int,
+                     but: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query; none without terms."""
+        units = [(np.asarray(ids, np.int64), _unit(ids, tfs, self.weights)) for ids, tfs in queries]
+        heads = np.zeros((len(units), len(self.dense)), np.float32)
+        for j, (ids, q) in enumerate(units):
+            c = self.column[ids]
+            heads[j, c[c >= 0]] = q[c >= 0]
+        n = len(self.ids)
+        rough, whole, found = heads @ self.dense, np.zeros(len(self.weights)), []
+        for j, (ids, q) in enumerate(units):
+            s = rough[j]
+            tail = self.column[ids] < 0
+            a, b = self.starts[ids[tail]], self.starts[ids[tail] + 1]
+            size = b - a
+            if size.sum():
+                at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+                s = s + np.bincount(self.post[at], self.post_weights[at] * np.repeat(q[tail], size), n)
+            if but[j] >= 0:
+                s[but[j]] = -1
+            least = np.partition(s, n - k)[n - k] - MARGIN if n > k else -0.5
+            e = np.flatnonzero(s >= least) if least > 0 else np.flatnonzero(s > -0.5)
+            whole[ids] = q
+            size = self.rows[e + 1] - self.rows[e]
+            ends = np.cumsum(size)
+            at = np.repeat(self.rows[e] - ends + size, size) + np.arange(size.sum())
+            product = whole[self.row_terms[at]] * self.row_weights[at]
+            exact = np.round(np.add.reduceat(product, ends - size), 9) if len(e) else np.zeros(0)
+            whole[ids] = 0
+            e, exact = e[exact > 0], exact[exact > 0]
+            if len(e) > k:
+                keep = exact >= np.partition(exact, len(e) - k)[len(e) - k]
+                e, exact = e[keep], exact[keep]
+            order = np.lexsort((self.ids[e], -exact))
+            found.append((e[order], exact[order]))
+        return found
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> float:
         w = 1.0 / (1.05 - np.minimum(s, 1.0))
         return float((w * self.labels[e]).sum() / w.sum())
 
 
+def _unit(ids: list[int], tfs: list[int], weights: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(np.asarray(tfs, float))) * weights[np.asarray(ids, np.int64)]
+    return w / math.sqrt(float(w @ w))
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps (x, value) of the non-decreasing least-squares fit, by pooling."""
     order = np.argsort(x, kind="stable")
@@ -230,81 +290,78 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     vocabulary: list[str]
+    told: set[int]                                       # places of the label-dependent terms
     index: Index | None
     steps: tuple[np.ndarray, np.ndarray]
     without: float                                       # score of a text without any term
     neighbours: int
 
-    def score(self, ids: list[int], tfs: list[int]) -> tuple[float, list[int]]:
-        if not ids or self.index is None:
-            return self.without, []
-        e, s = self.index.nearest(ids, tfs, self.neighbours)
-        if not len(e):
-            return self.without, []
+    def score(self, found: list[tuple[list[int], list[int]]]) -> list[tuple[float, list[int]]]:
+        """(score, nearest examples) of each text's terms and counts."""
+        done = [(self.without, [])] * len(found)
+        asked = [j for j, (ids, _) in enumerate(found) if ids] if self.index else []
         x, v = self.steps
-        at = max(int(np.searchsorted(x, self.index.vote(e, s), side="right")) - 1, 0)
-        return float(v[at]), self.index.ids[e[:5]].tolist()
-
-
-def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> tuple[Model, DataFrame]:
-    """The model, and the term vectors of all of ``docs``; ``labelled``: (doc_id, y) training rows."""
+        for i in range(0, len(asked), GROUP):
+            group = asked[i:i + GROUP]
+            near = self.index.nearest_many([found[j] for j in group], self.neighbours, [-1] * len(group))
+            for j, (e, s) in zip(group, near):
+                if len(e):
+                    at = max(int(np.searchsorted(x, self.index.vote(e, s), side="right")) - 1, 0)
+                    done[j] = float(v[at]), self.index.ids[e[:5]].tolist()
+        return done
+
+
+def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> Model:
+    """The model; ``labelled``: (doc_id, y) training rows."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = cut(bounded_sample(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "y"),
                                 "doc_id", p.max_examples, 11))
     # bounded by max_examples rows of two numbers
-    near = F.broadcast(sample.withColumnRenamed("doc_id", "example"))
-    examples = cut(docs.join(near, F.col("doc_id") == F.col("example")).select("doc_id", "text", "y"))
-    vocabulary = select_terms(examples, p)
-    vecs = cut(vectors(docs, vocabulary))
-    n = max(vecs.count(), 1)
-    df = np.zeros(len(vocabulary))
-    for r in vecs.select(F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
-        df[r.t] = r.n                                    # one row a term of the bounded vocabulary
+    wanted = F.broadcast(sample.withColumnRenamed("doc_id", "example"))
+    examples = cut(docs.join(wanted, F.col("doc_id") == F.col("example")).select("doc_id", "text", "y"))
+    vocabulary, told = select_terms(examples, p)
+    n, df = frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = [(r.doc_id, r.y, r.ids, r.tfs) for r in vecs.join(near, F.col("doc_id") == F.col("example"))
-            .select("doc_id", "y", "ids", "tfs").distinct().collect()]
-    some, none = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    place = {t: i for i, t in enumerate(vocabulary)}
+    more = [place[t] for t in told]
+    idf[more] *= p.told
+    rows = sorted(vectors(examples, vocabulary), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    some, none = [r for r in rows if len(r[2])], [r for r in rows if not len(r[2])]
     base = sum(r[1] for r in rows) / len(rows) if rows else 0.0
     without = sum(r[1] for r in none) / len(none) if none else base
     if not some:
-        return Model(vocabulary, None, (np.zeros(1), np.zeros(1)), without, p.neighbours), vecs
-    ix = Index.build(some, idf, p.block)
-    at = {int(i): e for e, i in enumerate(ix.ids)}
+        return Model(vocabulary, set(more), None, (np.zeros(1), np.zeros(1)), without, p.neighbours)
+    ix = Index.build(some, idf, p.head)
     votes, ys = [], []
-    for doc_id, y, ids, tfs in some:
-        e, s = ix.nearest(ids, tfs, p.neighbours, but=at[doc_id])
-        if len(e):
-            votes.append(ix.vote(e, s))
-            ys.append(y)
+    for i in range(0, len(some), GROUP):
+        group = some[i:i + GROUP]
+        near = ix.nearest_many([r[2:] for r in group], p.neighbours, list(range(i, i + len(group))))
+        for r, (e, s) in zip(group, near):
+            if len(e):
+                votes.append(ix.vote(e, s))
+                ys.append(r[1])
     steps = isotonic(np.array(votes), np.array(ys, float)) if votes else (np.zeros(1), np.array([base]))
-    return Model(vocabulary, ix, steps, without, p.neighbours), vecs
+    return Model(vocabulary, set(more), ix, steps, without, p.neighbours)
 
 
-def score(vecs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, evidence, terms) for every row of term vectors."""
-    held = vecs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, evidence, terms) for every row; ``terms``: its label-dependent ones."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())),
                         ("terms", pa.list_(pa.string()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        seen: dict[tuple, tuple[float, list[int]]] = {}
+        place = {t: i for i, t in enumerate(m.vocabulary)}
         for b in batches(it):
-            scores, evidence, words = [], [], []
-            for ids, tfs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = (*ids, -1, *tfs)
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = m.score(ids, tfs)
-                s, near = seen[key]
-                scores.append(s)
-                evidence.append(near)
-                words.append([m.vocabulary[i] for i in ids])
-            yield out(schema, b.column(0), scores, evidence, words)
-
-    return vecs.mapInArrow(run, "doc_id long, score double, evidence array<long>, terms array<string>")
+            found = [found_terms(text, place) for text in texts(b.column(1))]
+            done = m.score(found)
+            yield out(schema, b.column(0), [x for x, _ in done], [near for _, near in done],
+                      [[m.vocabulary[i] for i in ids if i in m.told] for ids, _ in found])
+
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+            .mapInArrow(run, "doc_id long, score double, evidence array<long>, terms array<string>"))
 
 
 def training_rows(labels: DataFrame, column: str, held_out: Column) -> DataFrame:
@@ -315,18 +372,15 @@ def training_rows(labels: DataFrame, column: str, held_out: Column) -> DataFrame
 
 def keep(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Params(), most: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``most``, all columns unchanged."""
-    model, _ = fit(docs, training_rows(labels, "toxic", held_out), p)
+    model = fit(docs, training_rows(labels, "toxic", held_out), p)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    place = {t: i for i, t in enumerate(model.vocabulary)}
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        place = {t: i for i, t in enumerate(m.vocabulary)}
         for b in batches(it):
-            low = []
-            for text in texts(b.column(at)):
-                ids, tfs = found_terms(text, place)
-                low.append(m.score(ids, tfs)[0] < most)
+            low = [x < most for x, _ in m.score([found_terms(text, place) for text in texts(b.column(at))])]
             yield b.filter(pa.array(low, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -334,5 +388,4 @@ def keep(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Param
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
     """Score every row of ``docs``; learn from ``labels.toxic`` where not ``held_out``."""
-    model, vecs = fit(docs, training_rows(labels, "toxic", held_out), p)
-    return score(vecs, model)
+    return score(docs, fit(docs, training_rows(labels, "toxic", held_out), p))

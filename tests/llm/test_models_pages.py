@@ -50,6 +50,16 @@ def test_held_out_toxicity_and_quality(spark):
         assert all(0 <= r.score <= 1 for r in rows) and auc(rows, column) > least
 
 
+def test_texts_without_label_terms_are_searched_by_all_their_terms(spark):
+    words = made_words(9)
+    rows = [(i, words(30)) for i in range(40)] + [(100 + i, None) for i in range(2)]
+    rows += [(200 + i, rows[i][1]) for i in range(40)]           # copies of the labelled texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, NEVER(False)).collect()}
+    assert all(got[200 + i].evidence[0] == i for i in range(40)) and got[100].evidence == []
+
+
 def test_models_on_odd_rows(odd, none, labels):
     for docs, n in ((odd, odd.count()), (none, 0)):
         for lab in (labels, labels.filter("false")):
