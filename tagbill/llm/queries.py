@@ -6,12 +6,13 @@ holds DuckDB SQL for those that SQL can express.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagbill.llm import bpe, html_extract, packing, quality_model, quality_rules, secrets, simhash, topk, urls
+from tagbill.llm import bpe, html_extract, manifest, packing, quality_model, quality_rules, secrets, simhash, topk, urls
 from tagbill.llm import toxicity as tox
 from tagbill.llm.common import held_out, load
 
@@ -74,6 +75,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {c: F.col(c) for c in manifest.COLUMNS}
+    lowered = values | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
+    leaves = load(spark, sf_dir, "documents").select(
+        F.col("source"), F.col("doc_id").alias("key"), manifest.leaf(*values.values()).alias("digest"),
+        F.when(held_out(F.col("doc_id"), 5, 0), manifest.leaf(*lowered.values())).alias("tampered"))
+    folded = manifest.fold(F.coalesce("tampered", "digest"), F.col("witness"))
+    return (manifest.manifest(leaves)
+            .select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+                    F.sha2(manifest.proof_text(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
+                    folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_toxicity_neighbours": op2_toxicity_neighbours,
@@ -85,9 +100,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.duckdb_sql(),
     "op5_exact_top_k": topk.DUCKDB_SQL,
+    "op13_merkle_manifest": manifest.DUCKDB_SQL,
 }
