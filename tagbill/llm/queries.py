@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagbill.llm import bpe, html_extract, manifest, packing, quality_model, quality_rules, secrets, simhash, topk, urls
+from tagbill.llm import bpe, divergence, html_extract, manifest, packing, quality_model, quality_rules, secrets, simhash, topk, urls
 from tagbill.llm import toxicity as tox
 from tagbill.llm.common import held_out, load
 
@@ -75,6 +75,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"), least=10, top_terms=10)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {c: F.col(c) for c in manifest.COLUMNS}
     lowered = values | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
@@ -100,11 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.duckdb_sql(),
     "op5_exact_top_k": topk.DUCKDB_SQL,
+    "op11_source_divergence": divergence.DUCKDB_SQL,
     "op13_merkle_manifest": manifest.DUCKDB_SQL,
 }
