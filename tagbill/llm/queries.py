@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagbill.llm import bpe, divergence, html_extract, manifest, packing, quality_model, quality_rules, secrets, simhash, topk, urls
+from tagbill.llm import (bpe, divergence, html_extract, manifest, ngram_join, packing, quality_model, quality_rules,
+                         secrets, simhash, topk, urls)
 from tagbill.llm import toxicity as tox
 from tagbill.llm.common import held_out, load
 
@@ -79,6 +80,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"), least=10, top_terms=10)
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(load(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {c: F.col(c) for c in manifest.COLUMNS}
     lowered = values | {"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -112,5 +118,6 @@ ORACLE: dict[str, str] = {
     "op3_quality_rules": quality_rules.duckdb_sql(),
     "op5_exact_top_k": topk.DUCKDB_SQL,
     "op11_source_divergence": divergence.DUCKDB_SQL,
+    "op12_ngram_jaccard_join": ngram_join.DUCKDB_SQL,
     "op13_merkle_manifest": manifest.DUCKDB_SQL,
 }
