@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tagbill.llm.common import cut, prepare
 
 #: Bytes of the prefixes of each level; beyond the last, each level is half as long again.
-LEVELS = (4, 8, 12, 18)
+LEVELS = (6, 11, 18)
 FILTER_BITS = 1 << 26
 #: Bytes of text that a task reads at once.
 STRETCH = 12 << 20
@@ -96,6 +96,13 @@ def stretches(it: Iterator[pa.RecordBatch], size: int = STRETCH) -> Iterator[tup
         yield texts, others
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in order, each once, and how often each occurs (by a sort; ``np.unique`` hashes, far slower here)."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.concatenate((first, [len(values)])))
+
+
 def _numbered(values: list[str]) -> tuple[np.ndarray, list[str]]:
     coded = pa.array(values, pa.string()).dictionary_encode()
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
@@ -126,10 +133,25 @@ def left_over(found: DataFrame) -> np.ndarray:
 
 
 def _passes(filled: np.ndarray, langs: list[str], lang: np.ndarray, prefixes: pa.Array, prefix: np.ndarray) -> np.ndarray:
-    """For distinct (lang, prefix) pairs, given by their places, whether the bitmap has them."""
-    names = prefixes.to_pylist()
-    spots = np.array([_spot(langs[x], names[p]) for x, p in zip(lang.tolist(), prefix.tolist())], np.int64)
-    return (filled[spots >> 6] >> (spots & 63)) & 1 == 1 if len(spots) else np.zeros(0, bool)
+    """For each (lang, prefix), given by their places, whether the bitmap has it; each distinct pair is looked up once."""
+    pair, names = lang * len(prefixes) + prefix, prefixes.to_pylist()
+    if len(langs) * len(prefixes) <= max(1 << 22, 4 * len(pair)):
+        seen = np.zeros(len(langs) * len(prefixes), bool)
+        seen[pair] = True
+        distinct = np.flatnonzero(seen)
+        place = None
+    else:
+        distinct, _ = _distinct(pair)
+        place = np.searchsorted(distinct, pair)
+    heads = [x.encode() + b"\0" for x in langs]
+    digest = xxhash.xxh64_intdigest
+    spots = np.array([digest(heads[x] + names[p]) % FILTER_BITS
+                      for x, p in zip((distinct // len(names)).tolist(), (distinct % len(names)).tolist())], np.int64)
+    found = (filled[spots >> 6] >> (spots & 63)) & 1 == 1
+    if place is not None:
+        return found[place]
+    seen[distinct] = found
+    return seen[pair]
 
 
 def _prefixes(terms: pa.Array, size: int) -> tuple[np.ndarray, pa.Array]:
@@ -137,17 +159,6 @@ def _prefixes(terms: pa.Array, size: int) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
 
-def _alive(s: Stretch, doc: np.ndarray, term: np.ndarray, langs: list[str], lang: np.ndarray, last: int,
-           filled: np.ndarray | None) -> np.ndarray:
-    """Which (doc, term) pairs have a prefix of ``last`` bytes that is left (all, before the first level)."""
-    if filled is None or not len(term):
-        return np.ones(len(term), bool)
-    of, prefixes = _prefixes(s.terms, last)
-    pair = lang[doc] * len(prefixes) + of[term]
-    distinct, place = np.unique(pair, return_inverse=True)
-    return _passes(filled, langs, distinct // len(prefixes), prefixes, distinct % len(prefixes))[place]
-
-
 # ---- refinement -----------------------------------------------------------
 
 def _counted(rows: list[pa.Table]) -> list[pa.Table]:
@@ -169,17 +180,16 @@ def prefix_counts(docs: DataFrame, size: int, last: int, filled: np.ndarray | No
             if not len(s.terms):
                 continue
             lang, langs = _numbered(names)
-            pairs = np.unique(s.doc * len(s.terms) + s.term)
-            doc, term = pairs // len(s.terms), pairs % len(s.terms)
+            doc, term = s.doc, s.term
             if last:
                 longer = np.asarray(pc.greater(pc.binary_length(s.terms), last))[term]
                 doc, term = doc[longer], term[longer]
-                alive = _alive(s, doc, term, langs, lang, last, shared.value)
+                of, prefixes = _prefixes(s.terms, last)
+                alive = _passes(shared.value, langs, lang[doc], prefixes, of[term])
                 doc, term = doc[alive], term[alive]
             of, prefixes = _prefixes(s.terms, size)
-            pairs = np.unique(doc * len(prefixes) + of[term])
-            pair = lang[pairs // len(prefixes)] * len(prefixes) + pairs % len(prefixes)
-            pair, n = np.unique(pair, return_counts=True)
+            pairs, _ = _distinct(doc * len(prefixes) + of[term])
+            pair, n = _distinct(lang[pairs // len(prefixes)] * len(prefixes) + pairs % len(prefixes))
             held.append(pa.table([pa.array(langs, pa.string()).take(pa.array(pair // len(prefixes))),
                                   prefixes.take(pa.array(pair % len(prefixes))).cast(pa.binary()), pa.array(n, pa.int64())], schema=schema))
             if sum(t.num_rows for t in held) > HELD:
@@ -241,11 +251,10 @@ def _stretch_counts(docs: DataFrame, filled: np.ndarray) -> DataFrame:
             if not len(s.terms):
                 continue
             lang, langs = _numbered(names)
-            pair = lang[s.doc] * len(s.terms) + s.term
-            distinct, place = np.unique(pair, return_inverse=True)
-            alive = _passes(shared.value, langs, distinct // len(s.terms), s.terms, distinct % len(s.terms))[place]
+            alive = _passes(shared.value, langs, lang[s.doc], s.terms, s.term)
+            doc, term = s.doc[alive], s.term[alive]
             ids, group = np.unique(np.array(groups, np.int64), return_inverse=True)
-            key, n = np.unique(pair[alive] * len(ids) + group[s.doc[alive]], return_counts=True)
+            key, n = _distinct((lang[doc] * len(s.terms) + term) * len(ids) + group[doc])
             first, gs, ns = _listed(key // len(ids), ids[key % len(ids)], n)
             pair = (key // len(ids))[first]
             rows = pa.table([pa.array(langs, pa.string()).take(pa.array(pair // len(s.terms))),

@@ -94,8 +94,8 @@ def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
             found.append(np.unique(joined[a:b - width + 1]))
         elif b > a:
             whole = np.full(1, b - a, np.uint64)     # shorter sequences: apart from all shingles by their length
-            for w in word[a:b]:
-                whole = whole * _ODD[2] + mix(w + _ODD[1])
+            for i in range(a, b):
+                whole = whole * _ODD[2] + mix(word[i:i + 1] + _ODD[1])
             found.append(mix(whole))
         else:
             found.append(np.zeros(0, np.uint64))
