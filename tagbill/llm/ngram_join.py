@@ -15,7 +15,7 @@ t = percent / (100 + percent). So if a range of sizes up to U is cut into more t
 2U(1 - 2t) blocks of tokens (by another hash), two linked sets agree in all groups of a block
 at least: they meet under that block's key. Keys that only one class has go at once. Under
 the others there may be very many points, all alike, and no task takes them whole: first, in
-a few rounds, every member is verified against one leader of its key, and components of the
+a few rounds, members of crowded keys are verified against one leader each, and components of the
 links found tell which keys hold one component only (they are done: a further link would
 join what is joined). Keys that still hold several are searched by R-trees, in cells of
 bounded size (pairs of blocks of a key's points), skipping boxes of the point's own component.
@@ -43,12 +43,13 @@ from tagbill.llm.divergence import stretches
 from tagbill.llm.simhash import components
 
 #: Coordinates of a point.
-GROUPS = 64
+GROUPS = 256
 #: Children of a node of the tree.
 FAN = 16
 #: Points of one block of a cell; a cell has two blocks at most.
 BLOCK = 2048
-#: Rounds of verifying a key's members against a leader before trees are built.
+#: Keys of more members than this are crowded; rounds of verifying their members against a leader before trees are built.
+CROWD = 64
 ROUNDS = 3
 #: Bits of the filter that picks the documents whose sets are needed.
 FILTER_BITS = 1 << 26
@@ -68,6 +69,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 # ---- token sets -----------------------------------------------------------
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
 def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
     """The distinct hashes of each text's shingles, in order."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
@@ -91,7 +97,7 @@ def shingle_sets(texts: list[bytes], width: int = 3) -> list[np.ndarray]:
     found = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
-            found.append(np.unique(joined[a:b - width + 1]))
+            found.append(_distinct(joined[a:b - width + 1]))
         elif b > a:
             whole = np.full(1, b - a, np.uint64)     # shorter sequences: apart from all shingles by their length
             for i in range(a, b):
@@ -157,6 +163,17 @@ def point(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((mix(tokens) >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """A point in the narrowest unsigned integers that hold it; their width shows in the length."""
+    most = int(at.max()) if len(at) else 0
+    return at.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    """The point, in 64-bit integers."""
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // GROUPS]).astype(np.int64)
+
+
 # ---- the tree -------------------------------------------------------------
 
 def reach(q: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
@@ -260,8 +277,8 @@ def _shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the ``wanted`` classes (id, doc_id, print), from one document of each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("tokens", pa.binary())])
+    """(id, tokens, point) of the ``wanted`` classes (id, doc_id, print), from one document of each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("tokens", pa.binary()), ("point", pa.binary())])
     words = (wanted.select(F.shiftright(F.pmod("print", F.lit(FILTER_BITS)), 6).alias("word"),
                            F.expr(f"shiftleft(1L, cast(pmod(print, {FILTER_BITS}) % 64 as int))").alias("bit"))
              .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
@@ -279,42 +296,49 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(texts, width)
             for at in range(0, len(sets), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at:at + 256], pa.int64()), pa.array(prints[at:at + 256], pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets[at:at + 256]], pa.binary())], schema=schema)
+                                                  pa.array([s.tobytes() for s in sets[at:at + 256]], pa.binary()),
+                                                  pa.array([packed(point(s)) for s in sets[at:at + 256]], pa.binary())], schema=schema)
 
-    found = _documents(docs).mapInArrow(run, "doc_id long, print long, tokens binary")
+    found = _documents(docs).mapInArrow(run, "doc_id long, print long, tokens binary, point binary")
     want = wanted.select("id", F.col("doc_id").alias("of"), F.col("print").alias("mark"))
     return (found.join(want, found["doc_id"].eqNullSafe(want["of"]) & (found["print"] == want["mark"]))
-            .select("id", "tokens").dropDuplicates(["id"]))
+            .select("id", "tokens", "point").dropDuplicates(["id"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _tested(pairs: DataFrame, known: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) for which ``test`` holds of both ids' ``column`` (binary)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            hits = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = sorted((len(x), len(y)))
-                hits.append(100 * small >= percent * large and linked(small, large, overlap(x, y), percent))
+            hits = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(hits, pa.bool_()))
 
-    one, other = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    return (pairs.join(one, "a").join(other, "b").select("a", "b", "tokens_a", "tokens_b")
+    one, other = (known.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
+    return (pairs.join(one, "a").join(other, "b").select("a", "b", f"{column}_a", f"{column}_b")
             .mapInArrow(run, "a long, b long"))
 
 
-def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): pairs of different components under one key whose bound reaches the threshold; by R-trees."""
-    schema = pa.schema([("id", pa.int64()), ("point", pa.list_(pa.int64()))])
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose points may link."""
+    def test(x, y) -> bool:
+        x, y = unpacked(x), unpacked(y)
+        return linked(int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum()), percent)
 
-    def points(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [point(np.frombuffer(t.as_buffer(), np.uint64)).tolist() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+    return _tested(pairs, sets, "point", test)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link."""
+    def test(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        return linked(len(x), len(y), overlap(x, y), percent)
+
+    return _tested(pairs, sets, "tokens", test)
 
-    points_of = sets.select("id", "tokens").mapInArrow(points, "id long, point array<long>")
+
+def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): pairs of different components under one key whose bound reaches the threshold; by R-trees."""
     # a key of many points: its rows go to every cell (i, j) of block pairs that holds their block
     sizes = (rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
              .select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
@@ -331,8 +355,7 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
 
         def pairs(cell: pa.Table) -> pa.RecordBatch:
             id_, comp = (cell[c].to_numpy() for c in ("id", "comp"))
-            at = np.asarray(cell["point"].combine_chunks().flatten()).reshape(len(id_), GROUPS)
-            a, b = candidates(at, comp, percent)
+            a, b = candidates(np.stack([unpacked(x.as_buffer()) for x in cell["point"]]), comp, percent)
             a, b = id_[a], id_[b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
@@ -349,12 +372,13 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
         if held:
             yield pairs(pa.concat_tables(held))
 
-    return (dealt.join(points_of, "id").select("key", "cell", "id", "comp", "point")
+    return (dealt.join(sets.select("id", "point"), "id").select("key", "cell", "id", "comp", "point")
             .repartition("key", "cell").sortWithinPartitions("key", "cell", "id")
             .mapInArrow(search, "a long, b long").distinct())
 
 
-def join(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def join(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK, rounds: int = ROUNDS,
+         crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; see the module's text."""
     prepare(docs.sparkSession)
     rows = cut(described(docs, width, percent))
@@ -366,28 +390,43 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK,
     sets = cut(_sets(docs, cut(wanted), width))
 
     links = docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    comp = None
-    for i in range(rounds + 1):
-        at = keys.withColumn("comp", F.col("id")) if comp is None else \
-            keys.join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        # keys of several components, and another leader in every round
-        order = F.struct(F.xxhash64(F.lit(i), "id"), F.col("id"), F.col("comp"))
-        mixed = (at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(order).alias("lead"))
+    comp = cut(links.select(F.col("a").alias("id"), F.col("b").alias("root")))
+
+    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links so far and, of every id that they lead to a smaller one, the smallest."""
+        both = cut(links.union(more))
+        return both, cut(components(both).select(F.col("fp").alias("id"), "root"))
+
+    def rooted(rows: DataFrame, *names: str) -> DataFrame:
+        """``rows`` with ``root_<name>``, the component of each named id."""
+        for name in names:
+            of = comp.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
+            rows = rows.join(of, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+        return rows
+
+    crowded = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"), "key"))
+    for i in range(rounds):
+        # a leader for each key of several components, another one in every round
+        at = rooted(crowded, "id")
+        order = F.struct(F.xxhash64(F.lit(i), "id"), F.col("id"), F.col("root_id"))
+        mixed = (at.groupBy("key").agg(F.min("root_id").alias("low"), F.max("root_id").alias("high"), F.min(order).alias("lead"))
                  .filter(F.col("low") < F.col("high")).select("key", "lead"))
-        at = cut(at.join(mixed, "key").select("key", "id", "comp", F.col("lead.id").alias("leader"), F.col("lead.comp").alias("leads")))
+        at = cut(at.join(mixed, "key").select("key", "id", "root_id", F.col("lead.id").alias("leader"), F.col("lead.root_id").alias("leads")))
         if at.isEmpty():
             break
-        if i < rounds:
-            pairs = (at.filter(F.col("comp") != F.col("leads"))
-                     .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-        else:
-            pairs = _searched(at.select("key", "id", "comp"), sets, percent, block)
-        links = cut(links.union(_verified(pairs, sets, percent)))
-        keys = at.select("key", "id")
-        comp = cut(components(links).select(F.col("fp").alias("id"), "root"))
-    ids = classes.select("class", "least", "id")
-    named = ids.withColumn("root", F.col("id")) if comp is None else \
-        ids.join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = (at.filter(F.col("root_id") != F.col("leads"))
+                 .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+        links, comp = joined(_verified(_bounded(pairs, sets, percent), sets, percent))
+        crowded = at.select("key", "id")
+    at = rooted(keys, "id")
+    mixed = (at.groupBy("key").agg(F.min("root_id").alias("low"), F.max("root_id").alias("high"))
+             .filter(F.col("low") < F.col("high")).select("key"))
+    pairs = cut(_searched(at.join(mixed, "key").select("key", "id", F.col("root_id").alias("comp")), sets, percent, block))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links, comp = joined(_verified(first, sets, percent))
+    rest = rooted(pairs.join(first, ["a", "b"], "left_anti"), "a", "b").filter(F.col("root_a") != F.col("root_b")).select("a", "b")
+    links, comp = joined(_verified(rest, sets, percent))
+    named = rooted(classes.select("class", "least", "id"), "id").withColumnRenamed("root_id", "root")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     groups = named.join(least, "root").select("class", "component")
     return (rows.join(groups, "class", "left")

@@ -59,8 +59,8 @@ def chains(rng, words, n, size, edits):
     return found
 
 
-@pytest.mark.parametrize("rounds,block", [(0, 2048), (0, 5), (1, 7), (3, 2048)])
-def test_planted_chains_and_clusters(spark, rounds, block):
+@pytest.mark.parametrize("rounds,block,crowd", [(0, 2048, 64), (0, 5, 64), (1, 7, 0), (3, 2048, 3)])
+def test_planted_chains_and_clusters(spark, rounds, block, crowd):
     rng = random.Random(block + rounds)
     words = [f"w{i}" for i in range(80)]
     texts = []
@@ -71,7 +71,7 @@ def test_planted_chains_and_clusters(spark, rounds, block):
     rows = list(enumerate(texts)) + [(900, ""), (901, None), (902, "w1"), (903, "w1 w2"), (904, "W2\tw1"), (905, "w1  w2"), (7, "w1"), (None, "w1 w2")]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((tuple(r) for r in ngram_join.join(docs, 3, 90, block, rounds).collect()), key=str)
+    got = sorted((tuple(r) for r in ngram_join.join(docs, 3, 90, block, rounds, crowd).collect()), key=str)
     assert got == slow_join(rows)
 
 
