@@ -9,6 +9,7 @@ from ..functions.products import classify_columns
 from ..schemas import RATE
 from .state import one_per_key
 from .status import first_per_key
+from .store import Store, Update
 
 RATE_KEY = ["commtype", "commodity", "style", "bagtype"]
 
@@ -41,6 +42,24 @@ def upsert_classification(current: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.select(*cols).unionByName(fresh.select(*cols))
 
 
+#: Name of the stored classification.
+CLASSIFICATION = "product_classification"
+
+
+def refresh_classification(store: Store, names: DataFrame, again: bool = False, buckets: int = 8) -> int:
+    """K5: classify the names that the stored table does not have (all of them with ``again``) and upsert them.
+
+    Returns the store's version; without a new name nothing is written.
+    """
+    if CLASSIFICATION not in store.manifest():
+        store.create(CLASSIFICATION, classification(names.limit(0)).schema, ["productname"], buckets)
+    if not again:
+        names = names.join(store.read(CLASSIFICATION).select("productname"), "productname", "left_anti")
+    if names.isEmpty():
+        return store.version()
+    return store.update({CLASSIFICATION: Update(classification(names), upsert_classification)})
+
+
 def packing_rates(raw: DataFrame) -> DataFrame:
     """S5 + A13: blank-fill and trim the key text, one row per rate key.
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.dates import billing_week
 from ..schemas import MONEY, QTY, RATE, RUN_PARENT_FIELDS
 from .state import one_per_key
+from .store import Store, Update
 
 OVERHEAD_DEFAULT = "0.20"  # fixed value: overhead rate when none is given
 ACC = T.DecimalType(38, 4)
@@ -38,6 +39,7 @@ REF_DEFECTS = [("Scarring", 1), ("Scale", 2), ("Bruising", 3), ("Soft", 4), ("St
 PARENT_INPUT = [f.name for f in RUN_PARENT_FIELDS]
 COMPUTED = ["total_labor", "overhead", "new_materials", "total"]
 PARENT_COLUMNS = PARENT_INPUT + COMPUTED
+# The child tables and their columns.
 CHILDREN = {
     "labor": ["seq", "position", "num_workers", "reg_hours", "ot_hours", "total_hours", "reg_pay",
               "ot_pay", "total_pay"],
@@ -154,6 +156,34 @@ def replace_children(current: DataFrame, prepared: DataFrame, key: str) -> DataF
     return kept.unionByName(child_rows(prepared, key))
 
 
+def save_runs(store: Store, prepared: DataFrame, now: str, present: list[str] | str | None = None, kinds=tuple(CHILDREN),
+              buckets: int = 32) -> int:
+    """K8 + K9: save a batch of documents into the stored run and child tables, in one commit.
+
+    ``present`` as in ``upsert_parents`` (all columns by default). Saved rows get ``now`` as their
+    ``updated_at``; a saved run's child lines of every kind are replaced.
+    """
+    stamp = F.lit(now).cast("timestamp")
+    if "run" not in store.manifest():
+        store.create("run", parent_rows(prepared).withColumn("updated_at", stamp).schema, ["run_no"], buckets)
+    for kind in kinds:
+        if f"run_{kind}" not in store.manifest():
+            store.create(f"run_{kind}", child_rows(prepared, kind).schema, ["run_no"], buckets)
+    names = PARENT_INPUT if present is None else present
+
+    def saved(current: DataFrame, fresh: DataFrame) -> DataFrame:
+        written = upsert_parents(current, fresh, names)
+        when = current.select(F.col("run_no").alias("_r"), "updated_at")
+        mine = fresh.select(F.col("run_no").alias("_f")).distinct()
+        return (written.join(when, written["run_no"] == when["_r"], "left").join(mine, written["run_no"] == mine["_f"], "left")
+                .withColumn("updated_at", F.when(F.col("_f").isNotNull(), stamp).otherwise(F.col("updated_at"))).drop("_r", "_f"))
+
+    updates = {"run": Update(prepared, saved)}
+    for kind in kinds:
+        updates[f"run_{kind}"] = Update(child_rows(prepared, kind), keys=prepared.select("run_no"))
+    return store.update(updates)
+
+
 def delete_runs(table: DataFrame, run_nos: DataFrame) -> DataFrame:
     """Cascade delete — apply to the parent and to every child table."""
     return table.join(run_nos.select("run_no"), "run_no", "left_anti")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import display_ship_date, week_folder_date
-from ..schemas import MONEY, MONEY_SUM
+from ..schemas import MONEY, MONEY_SUM, SHIPPING_RUNS
+from .state import upsert_supplied
+from .store import Store, Update
 
 # Report columns kept (in this order) and match reasons.
 KEEP_COLS = ["shipdatetime", "sono", "chargedescr", "qnt", "rate", "amt"]
@@ -204,3 +206,18 @@ def mark_posted(runs: DataFrame, replies: DataFrame) -> DataFrame:
          else F.when(hit, F.col("_reply")).otherwise(F.col(c)) if c == "erp_result"
          else F.when(hit & ok, F.current_timestamp()).otherwise(F.col(c)) if c == "posted_at"
          else F.col(c)).alias(c) for c in runs.columns])
+
+
+def save_runs(store: Store, built: DataFrame, table: str = "shipping_runs") -> int:
+    """Upsert built runs; columns that ``built`` does not have keep their stored values, an earlier error goes."""
+    supplied = [*built.columns, "error"]
+    fresh = built.withColumn("error", F.lit(None).cast("string"))
+    return store.update({table: Update(fresh, lambda current, rows: upsert_supplied(
+        current, rows, "week_folder", supplied, SHIPPING_RUNS))})
+
+
+def save_errors(store: Store, failed: DataFrame, table: str = "shipping_runs") -> int:
+    """A week whose build failed gets status ``error`` and the message; all else stays as stored."""
+    fresh = failed.select("week_folder", F.lit("error").alias("status"), "error")
+    return store.update({table: Update(fresh, lambda current, rows: upsert_supplied(
+        current, rows, "week_folder", fresh.columns, SHIPPING_RUNS))})

@@ -28,8 +28,11 @@ class Billing:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, domain: Domain | None = None,
-                 share: bool = False):
+                 share: bool = False, classification: DataFrame | None = None):
+        """``classification``: the stored dimension; without it the names are classified anew."""
         self.spark = spark
+        if classification is not None:
+            self.classification = classification
         self.d = domain or Domain(spark, sf_dir)
         self.share = share
         self._held: list[DataFrame] = []
