@@ -49,8 +49,10 @@ FAN = 16
 #: Points of one block of a cell; a cell has two blocks at most.
 BLOCK = 2048
 #: Keys of more members than this are crowded; rounds of verifying their members against a leader before trees are built.
-CROWD = 64
+CROWD = BLOCK
 ROUNDS = 3
+#: Up to so many points are compared each with each; more get a tree.
+FEW = 2 * FAN
 #: Bits of the filter that picks the documents whose sets are needed.
 FILTER_BITS = 1 << 26
 
@@ -170,8 +172,8 @@ def packed(at: np.ndarray) -> bytes:
 
 
 def unpacked(data) -> np.ndarray:
-    """The point, in 64-bit integers."""
-    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // GROUPS]).astype(np.int64)
+    """The point, in 32-bit integers."""
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // GROUPS]).astype(np.int32)
 
 
 # ---- the tree -------------------------------------------------------------
@@ -183,7 +185,8 @@ def reach(q: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.
     coordinate of b does most for that where it is nearest to q's.
     """
     near = np.clip(q, low, high)
-    return ((100 + percent) * np.minimum(q, near) - percent * near).sum(axis=-1) >= percent * q.sum()
+    whole = lambda x: x.sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * whole(np.minimum(q, near)) - percent * whole(near) >= percent * whole(q)
 
 
 class Tree:
@@ -192,7 +195,7 @@ class Tree:
     def __init__(self, points: np.ndarray, component: np.ndarray, percent: int) -> None:
         self.percent = percent
         # sort-tile: slabs by size, within a slab by the two coordinates that vary most
-        size = points.sum(axis=1)
+        size = points.sum(axis=1, dtype=np.int64)
         slab = np.argsort(np.argsort(size, kind="stable"), kind="stable") // max(FAN, int(len(points) ** 0.5))
         wide = np.argsort(points.var(axis=0))[-2:]
         self.order = np.lexsort((points[:, wide[0]], points[:, wide[1]], slab))
@@ -220,6 +223,11 @@ class Tree:
 
 def candidates(points: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places whose bound reaches the threshold and whose components differ, each pair once."""
+    if len(points) <= FEW:
+        size = points.sum(axis=1, dtype=np.int64)
+        both = np.array([np.minimum(q, points).sum(axis=1, dtype=np.int64) for q in points])
+        near = (100 + percent) * both >= percent * (size[:, None] + size)
+        return np.nonzero(np.triu(near & (component[:, None] != component), 1))
     tree = Tree(points, component, percent)
     a, b = [], []
     for i, q in enumerate(points):

@@ -97,7 +97,9 @@ def test_linked_sets_meet_under_a_key(percent):
     assert met > 10 or percent == 100
 
 
-def test_tree_finds_every_pair_within_the_bound():
+@pytest.mark.parametrize("few", [0, ngram_join.FEW, 1000])
+def test_tree_finds_every_pair_within_the_bound(few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 9, (12, ngram_join.GROUPS))
     points = np.maximum(0, centres[rng.integers(0, 12, 500)] + rng.integers(-1, 2, (500, ngram_join.GROUPS)) * (rng.random((500, 1)) < 0.7))
