@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import LABOR_CHARGES, MONEY, QTY, QTY_SUM, RATE
 from .state import align_to, one_per_key
@@ -31,11 +32,11 @@ def labor_needed(bill_lines_df: DataFrame, labor: DataFrame, week: str | None =
             .orderBy(F.col("icrunidx").asc_nulls_last()))
 
 
-def labor_rows(reply: DataFrame, week, hourly_rate: float | str = 0) -> DataFrame:
+def labor_rows(reply: DataFrame, week, hourly_rate: float | str = 0, keep: list[str] | None = None) -> DataFrame:
     """A labor reply for ``week`` (text, or a column naming each row's week) → labor rows.
 
     Non-numeric laborers/hours count as 0; ``labor_charge`` is rounded half-even
-    on the exact decimal product.
+    on the exact decimal product. Columns of ``keep`` follow the labor columns.
     """
     def num(c):
         if c not in reply.columns:
@@ -51,7 +52,8 @@ def labor_rows(reply: DataFrame, week, hourly_rate: float | str = 0) -> DataFram
     out = out.withColumn("week_end", week_col).withColumn("labor_rate", rate)
     out = out.withColumn("labor_charge", F.bround(F.col("num_laborers") * F.col("hours_per_laborer")
                                                   * F.col("labor_rate"), 2).cast(MONEY))
-    return align_to(out, LABOR_CHARGES)
+    kept = [reply.schema[c] for c in keep or []]
+    return align_to(out, T.StructType([*LABOR_CHARGES.fields, *kept]))
 
 
 def upsert_labor_requests(current: DataFrame, weeks: DataFrame) -> DataFrame:

@@ -153,6 +153,42 @@ def q_labor_reply_scan(spark, sf):
     return labor.labor_rows(reports.read_labor_reply(spark, path), F.col("_week"), "18.75")
 
 
+def _reply_streams(spark, sf) -> dict[str, str]:
+    """Half of the notifications, then the reply sheets (every fourth week's twice), then the other half and a redelivery."""
+    from ..streaming import labor_replies as lr
+    b = _b(spark, sf)
+    base = _scratch(spark, "reply-join")
+    notes = lr.notifications_from_events(b.d.driver.table("events"))
+    half = F.pmod(F.xxhash64("message_id"), F.lit(2))
+    rows = b.labor_reply.withColumn("sent_at", F.lit("2024-02-01").cast("timestamp"))
+    first = (rows.filter(F.dayofmonth("week_end") < 8).withColumn("num_laborers", F.lit("99"))
+             .withColumn("sent_at", F.lit("2024-01-01").cast("timestamp")))
+    rows.limit(0).write.parquet(f"{base}/replies/none")
+    notes.filter(half == 0).write.parquet(f"{base}/notes/0")
+    dirs = lr.run_reply_join(spark, f"{base}/notes/*", f"{base}/replies/*", base)
+    first.write.parquet(f"{base}/replies/0")
+    rows.write.parquet(f"{base}/replies/1")
+    lr.run_reply_join(spark, f"{base}/notes/*", f"{base}/replies/*", base)
+    notes.filter(half == 1).write.parquet(f"{base}/notes/1")
+    notes.filter(F.pmod(F.col("message_id").cast("long"), F.lit(7)) == 0).write.parquet(f"{base}/notes/2")
+    return lr.run_reply_join(spark, f"{base}/notes/*", f"{base}/replies/*", base)
+
+
+@register("labor_reply_join", f"SELECT * FROM reply_rows WHERE week_end IN ({_REPLIED_WEEKS})")
+def q_labor_reply_join(spark, sf):
+    """ST1/ST3: notifications and reply sheets joined as two streams; either comes first, a later sheet replaces."""
+    from ..streaming import labor_replies as lr
+    return lr.joined_labor(spark, _reply_streams(spark, sf)["labor"])
+
+
+@register("labor_messages", """
+SELECT CAST(event_id AS VARCHAR) AS message_id, strftime(DATE '1995-01-08' + CAST((event_id % 360) * 7 AS INTEGER), '%Y-%m-%d') AS week
+FROM events WHERE event_type = 'purchase' AND event_id % 50 <> 0""")
+def q_labor_messages(spark, sf):
+    """ST2: the log of messages taken in, each once however often it was delivered."""
+    return spark.read.parquet(_reply_streams(spark, sf)["messages"]).select("message_id", "week")
+
+
 # -------------------------------------------------------- shipping charges
 @register("shipping_runs_stored", """
 SELECT week_folder, CASE WHEN phyto_count = 0 THEN 'error' WHEN total > 0 THEN 'posted' ELSE status END AS status, total,

@@ -149,6 +149,13 @@ NOTIFICATION = T.StructType([
     T.StructField("week_folder", T.StringType()),
 ])
 
+REPLY_ROW = T.StructType([
+    T.StructField("icrunidx", T.LongType()), T.StructField("productdescr", T.StringType()),
+    T.StructField("quantity", QTY_SUM), T.StructField("num_laborers", T.StringType()),
+    T.StructField("hours_per_laborer", T.StringType()), T.StructField("week_end", T.StringType()),
+    T.StructField("sent_at", T.TimestampType()),
+])
+
 SHIPPING_RUNS = T.StructType([
     T.StructField("week_folder", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("report_path", T.StringType()), T.StructField("trimmed_path", T.StringType()),

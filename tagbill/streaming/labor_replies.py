@@ -1,5 +1,14 @@
 """ST1-ST4: labor replies arriving as a stream of mail notifications.
 
+Two forms. ``run_reply_join`` takes both sides as streams: the notifications and the reply
+sheets. Redelivered messages are dropped by Spark's keyed state (``dropDuplicates``, whose
+store is checkpointed, so a batch costs the same after many epochs), and the weeks that were
+notified are joined with the sheets' rows, stream with stream and without a watermark: either
+side may come first, at any distance. File sinks write each epoch once. A week's later sheet
+replaces its earlier one on read.
+
+``run_labor_reply_stream`` is for replies that lie in a table:
+
 ``readStream`` over a notification folder → filter (client state, message id,
 subject phrase, week in the subject) → ``foreachBatch``:
 
@@ -20,10 +29,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.labor import REPACK_SUBJECT, labor_rows
 from ..operators.state import numbered_folders
-from ..schemas import LABOR_CHARGES, NOTIFICATION
+from ..schemas import LABOR_CHARGES, NOTIFICATION, REPLY_ROW
 from ..session import ensure_checkpoint_dir
 
 WEEK_IN_SUBJECT = r"\d{4}-\d{2}-\d{2}"   # fixed value: how a subject names its week
@@ -116,3 +126,50 @@ def stage_inbox(spark: SparkSession, notes: DataFrame, replay_fraction_mod: int
     notes.filter(F.pmod(F.col("message_id").cast("long"), F.lit(replay_fraction_mod)) == 0) \
         .write.parquet(f"{base}/inbox/1")
     return base
+
+
+# ------------------------------------------------- both sides as streams
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _run_once(spark: SparkSession, rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what has landed since the last run; state is kept on disk, not on the heap."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        (rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start()).awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def run_reply_join(spark: SparkSession, notes_inbox: str, replies_inbox: str, base: str,
+                   hourly_rate: str = "18.75") -> dict[str, str]:
+    """Take in new notifications and new reply sheets; the folders of the message log and the labor rows.
+
+    ``notes_inbox`` holds notifications, ``replies_inbox`` reply rows (``REPLY_ROW``), both as Parquet files.
+    """
+    def notes() -> DataFrame:
+        return spark.readStream.schema(NOTIFICATION).parquet(notes_inbox).transform(accepted)
+
+    messages = f"{base}/messages"
+    _run_once(spark, notes().dropDuplicates(["message_id"]).select("message_id", "week", "received_at"),
+              messages, f"{base}/checkpoint/messages")
+    weeks = notes().select("week").dropDuplicates(["week"])
+    replies = spark.readStream.schema(REPLY_ROW).parquet(replies_inbox)
+    rows = replies.join(weeks, replies["week_end"] == weeks["week"]).drop("week")
+    priced = labor_rows(rows, F.col("_week"), hourly_rate, keep=["sent_at"])
+    _run_once(spark, priced, f"{base}/labor", f"{base}/checkpoint/labor")
+    return {"messages": messages, "labor": f"{base}/labor"}
+
+
+def joined_labor(spark: SparkSession, labor_dir: str) -> DataFrame:
+    """The labor rows of each week's latest sheet."""
+    df = spark.read.schema(T.StructType([*LABOR_CHARGES.fields, T.StructField("sent_at", T.TimestampType())])).parquet(labor_dir)
+    last = df.groupBy(F.col("week_end").alias("_w")).agg(F.max("sent_at").alias("_last"))
+    return (df.join(last, (df["week_end"] == last["_w"]) & df["sent_at"].eqNullSafe(last["_last"]))
+            .select(*[c for c in df.columns if c != "sent_at"]))
