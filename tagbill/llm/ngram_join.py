@@ -48,9 +48,9 @@ GROUPS = 256
 FAN = 16
 #: Points of one block of a cell; a cell has two blocks at most.
 BLOCK = 2048
-#: Keys of more members than this are crowded; rounds of verifying their members against a leader before trees are built.
-CROWD = BLOCK
-ROUNDS = 3
+#: Keys of more members than this are crowded: so many rounds verify their members against a leader before trees are built.
+CROWD = 64
+ROUNDS = 1
 #: Up to so many points are compared each with each; more get a tree.
 FEW = 2 * FAN
 #: Bits of the filter that picks the documents whose sets are needed.
