@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.products import classify_columns
 from ..schemas import RATE
+from .ranges import carry_forward
 from .state import one_per_key
 from .status import first_per_key
 from .store import Store, Update
@@ -112,18 +113,20 @@ def _num(c: str) -> Column:
     return F.expr(f"try_cast({c} AS DOUBLE)")
 
 
-def storage_rates(sheet: DataFrame) -> DataFrame:
+def storage_rates(sheet: DataFrame, ranged: bool = False) -> DataFrame:
     """S6 + W2 + F16-F19 + A13: the STORAGE tab rows → storage_rates.
 
     A header row sets (commtype, commodity) for the rows after it; the carry
     is a running ``last(ignorenulls)`` over the sheet's row order. Column d
     overrides c when numeric; b must be numeric; rows without a style drop.
-    Duplicate keys keep the first row in sheet order.
+    Duplicate keys keep the first row in sheet order. ``ranged`` carries the headers over ranges of rows, for
+    sheets too long for one task.
     """
     w = (Window.partitionBy("sheet_id").orderBy("row_no")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     s = sheet.withColumn("_hdr", sheet_group(F.col("a")))
-    s = s.withColumn("_grp", F.last("_hdr", ignorenulls=True).over(w))
+    s = carry_forward(s, ["sheet_id", "row_no"], "_hdr", "_grp", "sheet_id") if ranged else \
+        s.withColumn("_grp", F.last("_hdr", ignorenulls=True).over(w))
     rate = F.coalesce(_num("d"), _num("c"))
     rows = s.filter(F.col("_hdr").isNull() & F.col("_grp").isNotNull() & F.col("a").isNotNull()
                     & rate.isNotNull() & _num("b").isNotNull() & sheet_style(F.col("a")).isNotNull())

@@ -67,19 +67,21 @@ def needs_review(results: DataFrame) -> Column:
     return (F.coalesce(F.col("order_number"), F.lit(0)) == 0) | ~F.coalesce(F.col("matched"), F.lit(False))
 
 
+def resolve(versions: DataFrame) -> DataFrame:
+    """The last version (greatest ``seq``) of every file's record; a file without a result (``seq`` 0) is left out."""
+    cols = [c for c in versions.columns if c not in ("file", "week_folder", "seq")]
+    last = versions.groupBy("week_folder", "file").agg(
+        F.max_by(F.struct(*cols), "seq").alias("_v"), F.min("seq").alias("_first"))
+    return last.filter(F.col("_first") == 0).select("week_folder", "file", "_v.*")
+
+
 def apply_corrections(results: DataFrame, corrections: DataFrame) -> DataFrame:
     """A correction replaces its file's record whole; the last one per file wins.
 
-    Corrections for files not in the run are ignored (left join from results).
+    Results and corrections are one set of versions, so one shuffle picks the record of each
+    file. Corrections for files not in the run are ignored.
     """
-    cols = [c for c in results.columns if c not in ("file", "week_folder")]
-    last = corrections.withColumn("_r", F.row_number().over(
-        Window.partitionBy("week_folder", "file").orderBy(F.col("seq").desc()))).filter("_r = 1")
-    c = last.select("week_folder", "file", F.lit(True).alias("_has"),
-                    *[F.col(x).alias(f"_c_{x}") for x in cols])
-    j = results.join(c, ["week_folder", "file"], "left")
-    return j.select("week_folder", "file", *[
-        F.when(F.col("_has"), F.col(f"_c_{x}")).otherwise(F.col(x)).alias(x) for x in cols])
+    return resolve(results.withColumn("seq", F.lit(0)).unionByName(corrections.select(*results.columns, "seq")))
 
 
 def combine(trimmed: DataFrame, results: DataFrame) -> DataFrame:
@@ -100,26 +102,39 @@ def combine(trimmed: DataFrame, results: DataFrame) -> DataFrame:
     return j.drop("_w", "_k", "_s")
 
 
-def shipping_total(combined: DataFrame, results: DataFrame) -> DataFrame:
-    """Σ amt over the combined (fanned-out) rows + Σ debit of every matched certificate."""
-    a = combined.select("week_folder", F.coalesce("amt", F.lit(0)).cast(MONEY_SUM).alias("v"))
-    b = results.select("week_folder", F.coalesce("debit_amount", F.lit(0)).cast(MONEY_SUM).alias("v"))
-    return (a.unionByName(b).groupBy("week_folder")
-            .agg(F.round(F.sum("v"), 2).cast(MONEY_SUM).alias("total")))
-
-
-def run_summary(results: DataFrame, totals: DataFrame) -> DataFrame:
-    """A21 + P18: per week certificate count, review count, total and status."""
-    s = results.groupBy("week_folder").agg(
-        F.count(F.lit(1)).alias("phyto_count"),
-        F.count_if(needs_review(results)).alias("needs_review_count"))
-    j = s.join(totals, "week_folder", "full")
-    return j.select(
-        "week_folder", F.coalesce("phyto_count", F.lit(0)).alias("phyto_count"),
-        F.coalesce("needs_review_count", F.lit(0)).alias("needs_review_count"),
-        F.coalesce("total", F.lit(0).cast(MONEY_SUM)).alias("total"),
-        F.when(F.coalesce("needs_review_count", F.lit(0)) > 0, "needs_review").otherwise("built")
-        .alias("status"))
+def week_rollup(trimmed: DataFrame, results: DataFrame) -> DataFrame:
+    """A20 + A21 + P18: certificate count, review count, total and status of each week, in one pass.
+
+    The combined report repeats an order's charges for each of its certificates, so its amounts
+    add up to the order's charges times its certificates (once, if it has none): charges and
+    certificates are tagged, unioned and reduced by (week, order number), without the rows in
+    between. Missing and non-numeric numbers are one key of their own, which pairs every charge
+    without a number with every certificate without one, as the reference's merge does.
+    """
+    key = lambda c: F.expr(f"nullif(try_cast({c} AS DOUBLE), double('NaN'))")
+    zero = F.lit(0).cast(MONEY_SUM)
+    charge = trimmed.select("week_folder", key("sono").alias("k"), F.coalesce("amt", F.lit(0)).cast(MONEY_SUM).alias("amt"),
+                            zero.alias("debit"), F.lit(0).alias("cert"), F.lit(False).alias("needs"))
+    cert = results.select("week_folder", key("order_number").alias("k"), zero.alias("amt"),
+                          F.coalesce("debit_amount", F.lit(0)).cast(MONEY_SUM).alias("debit"), F.lit(1).alias("cert"),
+                          needs_review(results).alias("needs"))
+    order = charge.unionByName(cert).groupBy("week_folder", "k").agg(
+        F.sum("amt").alias("amt"), F.sum("debit").alias("debit"), F.sum("cert").alias("certs"), F.count_if("needs").alias("needs"))
+    times = F.greatest(F.col("certs"), F.lit(1)).cast("decimal(20,0)")
+    week = order.groupBy("week_folder").agg(
+        F.sum("certs").alias("phyto_count"), F.sum("needs").alias("needs_review_count"),
+        F.round(F.sum((F.col("amt").cast("decimal(28,2)") * times).cast(MONEY_SUM) + F.col("debit")), 2).cast(MONEY_SUM).alias("total"))
+    return week.withColumn("status", F.when(F.col("needs_review_count") > 0, "needs_review").otherwise("built"))
+
+
+def shipping_total(rollup: DataFrame) -> DataFrame:
+    """What a week's combined charges and matched debits add up to."""
+    return rollup.select("week_folder", "total")
+
+
+def run_summary(rollup: DataFrame) -> DataFrame:
+    """The summary of each week's run."""
+    return rollup.select("week_folder", "phyto_count", "needs_review_count", "total", "status")
 
 
 def sheet_rows(combined: DataFrame, results: DataFrame) -> DataFrame:

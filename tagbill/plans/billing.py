@@ -159,32 +159,38 @@ class Billing:
         return shipping.debit_match(self.d.certificates)
 
     @cached_property
-    def ship_corrections(self) -> DataFrame:
-        """Reviewer corrections: flagged certificates get the order number read off the
-        certificate number; every 300th first receives a wrong one (seq 1), then the fix."""
+    def ship_versions(self) -> DataFrame:
+        """Every certificate's record (seq 0) and the reviewer's corrections: a flagged one gets the order number
+        read off its certificate number (seq 2); every 300th first receives a wrong one (seq 1)."""
         from pyspark.sql import functions as F
-        need = self.ship_results.filter(shipping.needs_review(self.ship_results))
+        r = self.ship_results
         num = F.regexp_extract("current_certificate_number", r"^S-C-(\d+)-CA$", 1).try_cast("long")
-        fixed = need.withColumn("order_number", num).withColumn("seq", F.lit(2))
-        wrong = (need.filter(F.pmod(num, F.lit(300)) == 0)
-                 .withColumn("order_number", F.lit(-1).cast("long")).withColumn("seq", F.lit(1)))
-        return fixed.unionByName(wrong)
+        need = shipping.needs_review(r)
+        of = lambda seq, number: F.struct(F.lit(seq).alias("seq"), number.alias("order_number"))
+        versions = F.array(of(0, F.col("order_number")), F.when(need & (F.pmod(num, F.lit(300)) == 0), of(1, F.lit(-1).cast("long"))),
+                           F.when(need, of(2, num)))
+        return (r.withColumn("_v", F.explode(F.filter(versions, lambda v: v.isNotNull())))
+                .withColumns({"order_number": F.col("_v.order_number"), "seq": F.col("_v.seq")}).drop("_v"))
 
     @cached_property
     def ship_corrected(self) -> DataFrame:
-        return shipping.apply_corrections(self.ship_results, self.ship_corrections)
+        return shipping.resolve(self.ship_versions)
 
     @cached_property
     def ship_combined(self) -> DataFrame:
         return shipping.combine(self.ship_trimmed, self.ship_corrected)
 
+    @cached_property
+    def ship_rollup(self) -> DataFrame:
+        return shipping.week_rollup(self.ship_trimmed, self.ship_corrected)
+
     @cached_property
     def ship_totals(self) -> DataFrame:
-        return shipping.shipping_total(self.ship_combined, self.ship_corrected)
+        return shipping.shipping_total(self.ship_rollup)
 
     @cached_property
     def ship_summary(self) -> DataFrame:
-        return shipping.run_summary(self.ship_corrected, self.ship_totals)
+        return shipping.run_summary(self.ship_rollup)
 
     @cached_property
     def folder_names(self) -> DataFrame:

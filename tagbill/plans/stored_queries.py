@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, incremental, invoice, labor, rundetail, shipping
+from ..operators import catalog, incremental, invoice, labor, ranges, rundetail, shipping
 from ..operators.store import Store, Update
 from ..schemas import LABOR_REQUESTS, SHIPPING_RUNS
 from ..sources import reports
@@ -299,3 +299,26 @@ def q_invoice_items_normalised(spark, sf):
     return invoice.normalize_items(items).select("line_no", "description", "quantity", "price",
                                                  F.col("amount").cast("decimal(38,4)").alias("amount"), "page_no")
 
+
+# ------------------------------------------------------- ordered by ranges
+@register("lines_carried_forward", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+       last_value(head IGNORE NULLS) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, head
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head
+FROM (SELECT *, CASE WHEN l_partkey % 50 = 0 THEN l_suppkey END AS head FROM lineitem) l""")
+def q_lines_carried_forward(spark, sf):
+    """Every line gets the supplier of the last line before it (or itself) of a part divisible by 50; one order over all lines."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "own"]
+    li = _b(spark, sf).d.driver.table("lineitem").select(*order[:-1]).withColumn(
+        "own", F.when(F.pmod("l_partkey", F.lit(50)) == 0, F.col("l_suppkey")))
+    return ranges.carry_forward(li, order, "own", "head").drop("own")
+
+
+@register("status_page_deep", """
+SELECT tagid, role, icrunidx, productname, wh_status, billing_status FROM repack_status ORDER BY tagid LIMIT 25 OFFSET 900""")
+def q_status_page_deep(spark, sf):
+    """O1: a page far down the status listing, of a view written in ranges once and read by range."""
+    path = _scratch(spark, "status-pages")
+    ranges.write_pages(_b(spark, sf).repack_status.select("tagid", "role", "icrunidx", "productname", "wh_status", "billing_status"),
+                       ["tagid"], path)
+    return ranges.page(spark, path, ["tagid"], 900, 25)
