@@ -49,8 +49,8 @@ FAN = 16
 #: Points of one block of a cell; a cell has two blocks at most.
 BLOCK = 2048
 #: Keys of more members than this are crowded: so many rounds verify their members against a leader before trees are built.
-CROWD = 64
-ROUNDS = 1
+CROWD = BLOCK
+ROUNDS = 3
 #: Up to so many points are compared each with each; more get a tree.
 FEW = 2 * FAN
 #: Bits of the filter that picks the documents whose sets are needed.
@@ -238,6 +238,17 @@ def candidates(points: np.ndarray, component: np.ndarray, percent: int) -> tuple
     return np.concatenate(a), np.concatenate(b)
 
 
+def met_before(keys: pa.ListArray, key: int) -> np.ndarray:
+    """For each row of a cell, as packed bits, which of the keys below ``key`` it has; two rows met there if they share one."""
+    row = np.repeat(np.arange(len(keys)), np.asarray(keys.value_lengths()))
+    flat = np.asarray(keys.flatten())
+    row, flat = row[flat < key], flat[flat < key]
+    distinct = _distinct(flat) if len(flat) else flat
+    has = np.zeros((len(keys), len(distinct) + 1), bool)     # one column more, for rows without any
+    has[row, np.searchsorted(distinct, flat)] = True
+    return np.packbits(has, axis=1)
+
+
 # ---- the join -------------------------------------------------------------
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -356,6 +367,9 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
     dealt = (rows.join(sizes, "key", "left")
              .select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0)))
                                       .otherwise(F.array_distinct(every))).alias("cell"), "id", "comp"))
+    # a pair that meets under several keys is told under the least of them only: each row brings its keys along
+    # (bounded by its text's blocks)
+    mine_too = rows.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +378,9 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
         def pairs(cell: pa.Table) -> pa.RecordBatch:
             id_, comp = (cell[c].to_numpy() for c in ("id", "comp"))
             a, b = candidates(np.stack([unpacked(x.as_buffer()) for x in cell["point"]]), comp, percent)
-            a, b = id_[a], id_[b]
+            met = met_before(cell["keys"].combine_chunks(), cell["key"][0].as_py())
+            first = ~np.array([bool((met[i] & met[j]).any()) for i, j in zip(a.tolist(), b.tolist())], bool)
+            a, b = id_[a[first]], id_[b[first]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
         for batch in it:
@@ -380,7 +396,7 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
         if held:
             yield pairs(pa.concat_tables(held))
 
-    return (dealt.join(sets.select("id", "point"), "id").select("key", "cell", "id", "comp", "point")
+    return (dealt.join(sets.select("id", "point"), "id").join(mine_too, "id").select("key", "cell", "id", "comp", "point", "keys")
             .repartition("key", "cell").sortWithinPartitions("key", "cell", "id")
             .mapInArrow(search, "a long, b long").distinct())
 
