@@ -13,7 +13,7 @@ from oracle_check import TABLES, duck_rows, spark_rows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["status_summary", "charges", "storage_charges", "bill_summary", "repack_chain",
-         "debit_match", "run_totals", "invoice_lines"]
+         "debit_match", "run_totals", "invoice_lines", "labor_needed", "shipping_total", "charges_stored"]
 
 
 @pytest.fixture(scope="module")
