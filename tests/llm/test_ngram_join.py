@@ -118,11 +118,3 @@ def test_count_bound_never_falls_below_the_overlap():
         a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 250)))) for _ in "ab")
         both = len(np.intersect1d(a, b))
         assert ngram_join.overlap(a, b) == both <= np.minimum(ngram_join.point(a), ngram_join.point(b)).sum()
-
-
-def test_rows_that_met_under_a_smaller_key():
-    import pyarrow as pa
-    keys = [[-5, 3, 7], [3, 7, 9], [7], [-5, 7], [1, 7, 8]]
-    met = ngram_join.met_before(pa.array(keys, pa.list_(pa.int64())), 7)
-    for a, b in itertools.combinations(range(5), 2):
-        assert bool((met[a] & met[b]).any()) == bool({k for k in keys[a] if k < 7} & set(keys[b]))
