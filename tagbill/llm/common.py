@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -51,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back, so that its size is known to later joins."""
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's text leaves ``remainder``; a null id counts as ''."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -5,34 +5,43 @@ styles and reader comments are told by element, role, class or id, and dropped.
 in an ``article`` is the main text; without one, that in ``main``; without either,
 that in a container named as content.
 
-Host suffixes. On every page the repeated runs of its host decide too. All tokens of a
-page, those of dropped blocks and of articles included, form one stream. The first
-``run`` tokens of each suffix are hashed with the host, the hashes are dealt over the
-cluster by value and sorted, and equal neighbours are suffixes with so long a common
-prefix; overlapping ones join to runs of any greater length. A prefix is boilerplate
-if ``pages`` or more pages share it that differ in the rest of their text: pages whose
+Host suffixes. On every page the repeated runs of its host decide too: suffixes whose
+first ``run`` tokens, hashed with the host, fall on one value share so long a prefix,
+and overlapping ones join to runs of any greater length. A prefix is boilerplate if
+``pages`` or more pages share it that differ in the rest of their text: pages whose
 sketches (32 min-hashes of their words outside dropped blocks) agree in a share of
-``alike`` or more count as copies of one page. Structure is evidence that protects:
-in an article, main or content container a block goes only if repeated runs cover all
-of it (a menu or notice without a telling name), so passages that pages quote inside
-a paragraph stay; where structure tells nothing, covered tokens go. If nothing would
-stay, all of it stays. A prefix counts once a page, so no host or line is a hot key.
+``alike`` or more count as copies of one page. Structure is evidence that protects.
+
+* Where structure tells nothing, suffixes start at every token of the page, dropped
+  blocks included, and covered tokens go. Text outside the article of pages that
+  structure does tell (menus, notices) is evidence here too; articles are not.
+* In an article, main or content container suffixes start at blocks, and their prefix
+  ends with the block that completes ``run`` tokens, so it holds whole blocks of the
+  article alone. Its blocks go if the prefix also stands on a share of ``common`` or
+  more of the host's pages: a menu or notice without a telling name stands on most
+  pages, a sentence that some articles repeat doesn't. Passages quoted inside a block
+  and headings (h1 to h6) always stay.
+
+If nothing would stay, all of it stays. A page counts once for a prefix. Counts of prefixes
+and their least sketches are aggregated before they are shuffled, so no line is a hot key.
 
 Blocks: text between block-level tags; white space inside is one space; blocks are
 joined by one line feed.
 
 Defined results. Null or empty html: empty text, 0. Repeated rows are extracted alike
-and count as one page of the host, as do all pages of a host with the same html. A null page_id or url stays null. Pages without a
-host share the empty one. Empty table: no rows. Other columns are ignored.
+and count as one page of the host, as do all pages of a host with the same html. A null
+page_id or url stays null. Pages without a host share the empty one. A tag that never
+ends is text. Very long or malformed html takes one scan. Empty table: no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagbill.llm.common import batches, out, prepare, texts
+from tagbill.llm.common import batches, cut, out, prepare, texts, written
 
 
 @dataclass(frozen=True)
@@ -49,6 +58,8 @@ class Params:
     pages: int = 3
     #: Share of equal min-hashes from which two pages are copies of one.
     alike: float = 0.7
+    #: Share of a host's pages that a run of blocks inside an article must stand on.
+    common: float = 0.5
 
 
 # Element and attribute names of HTML.
@@ -69,14 +80,14 @@ _CONTENT_NAME = set("article articlebody content entry main post story".split())
 #: A name that begins with one of these tells of a page's layout, not of what the element holds.
 _LAYOUT = set("has no with without".split())
 _PLAIN = {"html", "body"}
+_HEADING = set("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"""
-                  r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.DOTALL | re.IGNORECASE)
+                  r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)(>?)""", re.DOTALL | re.IGNORECASE)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NAME = re.compile(r"[a-z]+")
-#: Characters of html whose suffixes one bucket takes.
-BUCKET_CHARS = 32_000_000
 _ALL = (1 << 64) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(32)], np.uint64)
@@ -138,10 +149,20 @@ def _standing(tag: str, attrs: str, now: int) -> int:
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(where it stands, text) of each non-empty block, in page order."""
+    return parse(page)[0]
+
+
+def parse(page: str) -> tuple[list[tuple[int, str]], set[int]]:
+    """``blocks`` of a page, and the places among them of headings; one scan of the page.
+
+    A tag that never ends is text, as is all that follows it but comments and scripts.
+    """
     found: list[tuple[int, str]] = []
+    headings: set[int] = set()
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
-    now, at = OPEN, 0
+    opened: Counter = Counter()                  # how many of each name are on the stack
+    now, at, inside = OPEN, 0, 0                 # inside: open headings
 
     def text(piece: str) -> None:
         if piece:
@@ -152,12 +173,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
             joined = " ".join("".join(parts).split())
             parts.clear()
             if joined:
+                if inside:
+                    headings.add(len(found))
                 found.append((now, joined))
 
     for m in _TAG.finditer(page):
+        tag = m.group(3)
+        if tag is not None and not m.group(5):   # never ends
+            break
         text(page[at:m.start()])
         at = m.end()
-        tag = m.group(3)
         if tag is None:                          # comment, script, style, declaration
             continue
         tag = tag.lower()
@@ -172,24 +197,28 @@ def blocks(page: str) -> list[tuple[int, str]]:
             close()
         if not ending:
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()                      # these end where the next one begins
+                opened[stack.pop()[0]] -= 1          # these end where the next one begins
                 now = stack[-1][1] if stack else OPEN
             into = _standing(tag, m.group(4), now)
             if into != now:
                 close()
             stack.append((tag, into))
+            opened[tag] += 1
+            inside += tag in _HEADING
             now = into
-        else:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if place is not None:
-                after = stack[place - 1][1] if place else OPEN
-                if after != now:
-                    close()
-                del stack[place:]
-                now = after
-    text(page[at:])
+        elif opened[tag]:
+            place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+            after = stack[place - 1][1] if place else OPEN
+            if after != now:
+                close()
+            for name, _ in stack[place:]:
+                opened[name] -= 1
+                inside -= name in _HEADING
+            del stack[place:]
+            now = after
+    text(_HIDDEN.sub("", page[at:]))
     close()
-    return found
+    return found, headings
 
 
 def main_blocks(found: list[tuple[int, str]]) -> list[str] | None:
@@ -199,10 +228,33 @@ def main_blocks(found: list[tuple[int, str]]) -> list[str] | None:
 
 
 def _tokens(found: list[tuple[int, str]]) -> np.ndarray:
-    """Hashes of all tokens of a page, in order; those of dropped blocks are evidence."""
+    """Hashes of all tokens of some blocks, in order."""
     return np.array([xxhash.xxh64_intdigest(t) for _, text in found for t in text.split()], np.uint64)
 
 
+def _stream(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks whose tokens form the page's stream: all but those of an article."""
+    return [x for x in found if x[0] <= OPEN]
+
+
+def _units(found: list[tuple[int, str]], host: int, run: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Places of the article's blocks, and (hash, first, end) of the prefix of whole blocks of each suffix among them."""
+    level = max((w for w, _ in found), default=CHROME)
+    places = [i for i, (w, _) in enumerate(found) if w == level] if level > OPEN else []
+    sizes = [len(found[i][1].split()) for i in places]
+    units, end, held = [], 0, 0
+    for first, size in enumerate(sizes):
+        while held < run and end < len(sizes):
+            held += sizes[end]
+            end += 1
+        if held < run:
+            break
+        joined = "\n".join(found[i][1] for i in places[first:end])
+        units.append((xxhash.xxh64_intdigest(joined, seed=host & _ALL), first, end))
+        held -= size
+    return places, units
+
+
 def _prefixes(tokens: np.ndarray, host: int, run: int) -> np.ndarray:
     """Hashes of the host and the ``run``-token prefix of each suffix, in page order."""
     n = len(tokens) - run + 1
@@ -215,47 +267,47 @@ def _prefixes(tokens: np.ndarray, host: int, run: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sketch(found: list[tuple[int, str]], tokens: np.ndarray) -> bytes:
+def _sketch(found: list[tuple[int, str]]) -> list[int]:
     """A byte of each of 32 min-hashes of the words outside dropped blocks (of all, if there are none)."""
-    open_ = np.repeat([w > CHROME for w, _ in found], [len(t.split()) for _, t in found])
-    x = np.unique(tokens[open_] if open_.any() else tokens)
-    return ((x[:, None] * _MULTIPLIERS).min(axis=0) >> np.uint64(16)).astype(np.uint8).tobytes()
+    x = np.unique(_tokens([b for b in found if b[0] > CHROME] or found))
+    return [int((x * m).min() >> np.uint64(16)) & 255 for m in _MULTIPLIERS]
 
 
-def _boilerplate(w: np.ndarray, page: np.ndarray, sketches: np.ndarray, p: Params) -> np.ndarray:
-    """Which of the pairs (prefix, page), sorted and distinct, are of a prefix that enough unlike pages share.
-
-    ``sketches``: by page, which is a place in it.
-    """
-    same = np.concatenate(([True], w[1:] != w[:-1]))
-    first = np.flatnonzero(same)
-    sizes = np.diff(np.append(first, len(w)))
-    shared = np.zeros(len(first), bool)
-    for g in np.flatnonzero(sizes >= p.pages):
-        left = sketches[page[first[g]:first[g] + sizes[g]]]
-        for _ in range(p.pages - 1):                     # each leader takes the pages alike away
-            left = left[(left == left[0]).mean(axis=1) < p.alike]
-            if not len(left):
-                break
-        shared[g] = len(left) > 0
-    return np.repeat(shared, sizes)
+def _without_units(found: list[tuple[int, str]], headings: set[int], repeated: set[int], host: int, run: int) -> list[str]:
+    """The blocks of the article without those that repeated runs of blocks hold."""
+    places, units = _units(found, host, run)
+    gone = {k for w, first, end in units if w in repeated for k in range(first, end)}
+    kept = [found[i][1] for k, i in enumerate(places) if k not in gone or i in headings]
+    return kept or [found[i][1] for i in places]
 
 
 def _without_runs(found: list[tuple[int, str]], starts: np.ndarray, run: int) -> list[str]:
-    """The blocks of the main text without what repeated suffixes cover."""
-    level = max((w for w, _ in found), default=CHROME)
-    if level == CHROME:
-        return []
+    """The open blocks without what repeated suffixes cover."""
     hit: set[int] = {q for s in starts.tolist() for q in range(s, s + run)}
     kept, place = [], 0
     for w, t in found:
         words = t.split()
-        if w == level:
+        if w == OPEN:
             left = [x for k, x in enumerate(words) if place + k not in hit]
             if left:
-                kept.append(t if level > OPEN else " ".join(left))
+                kept.append(" ".join(left))
         place += len(words)
-    return kept or [t for w, t in found if w == level]
+    return kept or [t for w, t in found if w == OPEN]
+
+
+def _unlike(held: DataFrame, p: Params) -> DataFrame:
+    """The prefixes (w) of (w, sketch) that ``pages`` pages share which differ from each other.
+
+    Each round takes a prefix's least sketch as a leader and leaves out the pages like it.
+    """
+    left = held.distinct()
+    for _ in range(p.pages - 1):
+        left = cut(left)
+        leaders = left.groupBy(F.col("w").alias("of")).agg(F.min("sketch").alias("leader"))
+        equal = F.size(F.filter(F.zip_with("sketch", "leader", lambda a, b: a == b), lambda x: x))
+        left = (left.join(leaders, F.col("w") == F.col("of"))
+                .filter(equal < F.lit(p.alike) * F.size("sketch")).select("w", "sketch"))
+    return left.select("w").distinct()
 
 
 def _host(url: Column) -> Column:
@@ -269,68 +321,54 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
                          F.col("html").cast("string").alias("html"))
     keyed = (pages.withColumn("host", F.xxhash64(_host(F.col("url"))))
              .withColumn("page", F.xxhash64("host", "html")))
-    # As many buckets as keep one in a worker's memory, whatever the input.
-    length = pages.agg(F.sum(F.length("html"))).first()[0] or 0
-    buckets = max(8, -(-length // BUCKET_CHARS))
-    dealt = pa.schema([("bucket", pa.int32()), ("page", pa.int64()), ("sketch", pa.binary()), ("w", pa.binary())])
+    parsed = pa.schema([("page", pa.int64()), ("host", pa.int64()), ("sketch", pa.list_(pa.int32())),
+                        ("units", pa.list_(pa.int64())), ("stream", pa.list_(pa.int64()))])
 
     def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             rows = []
-            for h, page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
-                found = blocks(t)
-                tokens = _tokens(found)
-                w = np.unique(_prefixes(tokens, h, p.run))
-                if not len(w):
-                    continue
-                sketch = _sketch(found, tokens)
-                of = (w % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                ends = np.cumsum(np.bincount(of, minlength=buckets))
-                rows += [(k, page, sketch, part.tobytes()) for k, part in enumerate(np.split(w[order], ends[:-1])) if len(part)]
+            for host, page, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
+                if found := blocks(t):
+                    units = np.unique(np.array([w for w, _, _ in _units(found, host, p.run)[1]], np.uint64))
+                    stream = np.unique(_prefixes(_tokens(_stream(found)), host, p.run))
+                    rows.append((page, host, _sketch(found), units.view(np.int64), stream.view(np.int64)))
             if rows:
-                yield out(dealt, *zip(*rows))
-
-    repeats = pa.schema([("page", pa.int64()), ("w", pa.binary())])
-
-    def neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in it for r in zip(*(c.to_pylist() for c in b.columns)))
-        for _, bucket in groupby(rows, key=lambda r: r[0]):
-            held = {r[1]: r for r in bucket}             # pages with the same html are one
-            ids = sorted(held)
-            parts = [np.frombuffer(held[i][3], np.uint64) for i in ids]
-            sketches = np.frombuffer(b"".join(held[i][2] for i in ids), np.uint8).reshape(len(ids), -1)
-            del held
-            w, page = np.concatenate(parts), np.repeat(np.arange(len(ids)), [len(x) for x in parts])
-            order = np.argsort(w, kind="stable")
-            w, page = w[order], page[order]
-            keep = _boilerplate(w, page, sketches, p)
-            w, page = w[keep], page[keep]
-            order = np.argsort(page, kind="stable")
-            w, (some, at) = w[order], np.unique(page[order], return_index=True)
-            done = [(ids[i], x.tobytes()) for i, x in zip(some.tolist(), np.split(w, at[1:]))]
-            for k in range(0, len(done), 4096):
-                yield out(repeats, *zip(*done[k:k + 4096]))
-
-    shared = (keyed.select("host", "page", "html")
-              .mapInArrow(suffixes, "bucket int, page long, sketch binary, w binary")
-              .repartition("bucket").sortWithinPartitions("bucket")
-              .mapInArrow(neighbours, "page long, w binary")
-              .groupBy("page").agg(F.collect_list("w").alias("repeats")))      # bounded by a page's tokens
+                yield out(parsed, *zip(*rows))
+
+    told = written(keyed.select("host", "page", "html")
+                   .mapInArrow(suffixes, "page long, host long, sketch array<int>, units array<long>, stream array<long>")
+                   .dropDuplicates(["page"]))                # pages with the same html are one
+    hosts = told.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("host_pages"))
+    unit = F.col("pos") < F.size("units")
+    prefixes = (told.select("*", F.posexplode(F.concat("units", "stream")).alias("pos", "w"))
+                .select("w", "host", "page", "sketch", unit.alias("unit"),
+                        (unit | (F.size("units") == 0)).alias("own")))
+    enough = ~F.col("unit") | (F.col("n") >= F.lit(p.common) * F.col("host_pages"))
+    frequent = written(prefixes.groupBy("w", "host", "unit").agg(F.count("*").alias("n")).filter(F.col("n") >= p.pages)
+                       .join(hosts, F.col("host") == F.col("of")).filter(enough).select(F.col("w").alias("v"), F.col("unit").alias("u")))
+    held = written(prefixes.join(frequent, (F.col("w") == F.col("v")) & (F.col("unit") == F.col("u")))
+                   .select("w", "page", "sketch", "own"))
+    shared = _unlike(held.select("w", "sketch"), p).withColumnRenamed("w", "v")
+    repeats = written(held.filter("own").join(shared, F.col("w") == F.col("v"))
+                      .groupBy("page").agg(F.collect_list("w").alias("repeats")))      # bounded by a page's tokens
     result = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     kinds = "page_id long, url string, text string, n_chars long"
 
     def main_text(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             done = []
-            for t, host, found_w in zip(texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                found = blocks(t)
-                starts = np.zeros(0, np.int64)
-                if found_w:
-                    ws = _prefixes(_tokens(found), host, p.run)
-                    starts = np.flatnonzero(np.isin(ws, np.frombuffer(b"".join(found_w), np.uint64)))
-                done.append("\n".join(_without_runs(found, starts, p.run)))
+            for t, host, repeated in zip(texts(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                found, headings = parse(t)
+                level = max((w for w, _ in found), default=CHROME)
+                if level > OPEN and repeated:
+                    kept = _without_units(found, headings, {w & _ALL for w in repeated}, host, p.run)
+                elif level == OPEN and repeated:
+                    ws = _prefixes(_tokens(found), host, p.run).view(np.int64)
+                    kept = _without_runs(found, np.flatnonzero(np.isin(ws, np.array(repeated, np.int64))), p.run)
+                else:
+                    kept = [x for w, x in found if w == level and w > CHROME]
+                done.append("\n".join(kept))
             yield out(result, b.column(0), b.column(1), done, [len(t) for t in done])
 
-    return (keyed.join(shared, "page", "left").select("page_id", "url", "html", "host", "repeats")
+    return (keyed.join(repeats, "page", "left").select("page_id", "url", "html", "host", "repeats")
             .mapInArrow(main_text, kinds))

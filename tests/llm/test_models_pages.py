@@ -180,6 +180,98 @@ def test_near_copies_keep_their_text_but_not_the_menu(spark):
     assert got == copies + others
 
 
+def test_sentences_that_articles_share_and_headings_stay(spark):
+    words = made_words(9)
+    shared, head, notice = words(12), words(10), words(12)
+    page = "<div class='ad'>{0}</div><article><h1>{1}</h1><p>{2}</p><p>{3}</p><p>{4}</p></article>"
+    bodies = [words(30) for _ in range(9)]
+    got = extracted(spark, [page.format(shared, head, b, shared if i < 4 else words(9), notice) for i, b in enumerate(bodies)])
+    for i, (text, b) in enumerate(zip(got, bodies)):
+        assert text.startswith(f"{head}\n{b}") and (shared in text) == (i < 4) and notice not in text
+
+
+def slow_extract(rows, p):
+    """The definition of the suffix rules, by sets of token tuples."""
+    pages = [(u.split("://")[1].split("/")[0].lower(), *html_extract.parse(h)) for u, h in rows]
+    levels = [max((w for w, _ in f), default=-1) for _, f, _ in pages]
+    sketches = [html_extract._sketch(f) if f else [] for _, f, _ in pages]
+
+    def prefixes(i):
+        host, f, _ = pages[i]
+        stream = [t for w, x in f if w <= 0 for t in x.split()]
+        found = [(("stream", host, *stream[k:k + p.run]), k, k + p.run) for k in range(len(stream) - p.run + 1)]
+        article = [x for w, x in f if w == levels[i]] if levels[i] > 0 else []
+        units = []
+        for a in range(len(article)):
+            for b in range(a + 1, len(article) + 1):
+                if sum(len(x.split()) for x in article[a:b]) >= p.run:
+                    units.append((("unit", host, *article[a:b]), a, b))
+                    break
+        return found, units
+
+    every = [prefixes(i) for i in range(len(rows))]
+    distinct = {(pages[i][0], rows[i][1]): i for i in range(len(rows)) if pages[i][1]}.values()
+    on, on_host = {}, {}
+    for i in distinct:
+        on_host[pages[i][0]] = on_host.get(pages[i][0], 0) + 1
+        for key in {k for part in every[i] for k, _, _ in part}:
+            on.setdefault(key, set()).add(i)
+
+    def shared(key):
+        at = on.get(key, ())
+        if len(at) < p.pages or (key[0] == "unit" and len(at) < p.common * on_host[key[1]]):
+            return False
+        left, leaders = sorted(sketches[i] for i in at), 0
+        while left:
+            leaders += 1
+            left = [s for s in left if sum(x == y for x, y in zip(s, left[0])) < p.alike * len(s)]
+        return leaders >= p.pages
+
+    texts = []
+    for i, (_, f, headings) in enumerate(pages):
+        covered = {k for key, a, b in every[i][levels[i] > 0] if shared(key) for k in range(a, b)}
+        if levels[i] > 0:
+            places = [k for k, (w, _) in enumerate(f) if w == levels[i]]
+            kept = [f[k][1] for j, k in enumerate(places) if j not in covered or k in headings] or [f[k][1] for k in places]
+        else:
+            place, kept = 0, []
+            for w, x in f:
+                left = [t for j, t in enumerate(x.split()) if place + j not in covered]
+                kept += [" ".join(left)] if w == 0 and left else []
+                place += len(x.split())
+            kept = kept or [x for w, x in f if w == 0]
+        texts.append("\n".join(kept))
+    return texts
+
+
+def test_suffixes_match_the_slow_definition(spark):
+    rng = random.Random(12)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.randint(2, 12))) for _ in range(12)]
+    line = lambda: rng.choice(lines) if rng.random() < 0.6 else " ".join("".join(rng.choices("abcd", k=5)) for _ in range(9))
+    rows = []
+    for i in range(120):
+        inner = "".join(f"<{t}>{line()}</{t}>" for t in rng.choices(["p", "div", "h2", "li", "nav"], k=rng.randint(0, 7)))
+        rows.append((f"https://H{i % 3}.example/{i}", f"<nav>{line()}</nav><article>{inner}</article>" if rng.random() < 0.5 else inner))
+    rows += rows[:4]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in sorted(html_extract.extract(df).collect(), key=lambda r: r.page_id)]
+    want = slow_extract(rows, html_extract.Params())
+    plain = ["\n".join(x for w, x in f if w == max(v for v, _ in f) and w >= 0) for f in (html_extract.blocks(h) for _, h in rows)]
+    assert got == want
+    assert sum(g != x for g, x in zip(got, plain)) > 10
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<a " * 700_000, "<a"), ("<b>" * 300_000 + "</i>" * 300_000 + "x", "x"), ("<p>x" * 400_000, "x"),
+    ('<a ="' * 400_000 + '">"x', '"x'), ("<!--" * 500_000, None), ("x <b c <!-- d", "x <b c"), ("a < b <", "a < b <")])
+def test_malformed_pages_take_one_scan(page, text):
+    import time
+    start = time.perf_counter()
+    found = html_extract.blocks(page)
+    assert time.perf_counter() - start < 30
+    assert found[0][1].startswith(text) if text else not found
+
+
 def test_url_rules(spark):
     cases = [("https://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
              ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
