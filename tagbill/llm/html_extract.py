@@ -267,10 +267,10 @@ def _prefixes(tokens: np.ndarray, host: int, run: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sketch(found: list[tuple[int, str]]) -> list[int]:
+def _sketch(found: list[tuple[int, str]]) -> bytes:
     """A byte of each of 32 min-hashes of the words outside dropped blocks (of all, if there are none)."""
     x = np.unique(_tokens([b for b in found if b[0] > CHROME] or found))
-    return [int((x * m).min() >> np.uint64(16)) & 255 for m in _MULTIPLIERS]
+    return bytes(int((x * m).min() >> np.uint64(16)) & 255 for m in _MULTIPLIERS)
 
 
 def _without_units(found: list[tuple[int, str]], headings: set[int], repeated: set[int], host: int, run: int) -> list[str]:
@@ -304,9 +304,9 @@ def _unlike(held: DataFrame, p: Params) -> DataFrame:
     for _ in range(p.pages - 1):
         left = cut(left)
         leaders = left.groupBy(F.col("w").alias("of")).agg(F.min("sketch").alias("leader"))
-        equal = F.size(F.filter(F.zip_with("sketch", "leader", lambda a, b: a == b), lambda x: x))
+        equal = F.expr("size(filter(sequence(1, octet_length(sketch)), i -> substring(sketch, i, 1) = substring(leader, i, 1)))")
         left = (left.join(leaders, F.col("w") == F.col("of"))
-                .filter(equal < F.lit(p.alike) * F.size("sketch")).select("w", "sketch"))
+                .filter(equal < F.lit(p.alike) * F.octet_length("sketch")).select("w", "sketch"))
     return left.select("w").distinct()
 
 
@@ -321,7 +321,7 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
                          F.col("html").cast("string").alias("html"))
     keyed = (pages.withColumn("host", F.xxhash64(_host(F.col("url"))))
              .withColumn("page", F.xxhash64("host", "html")))
-    parsed = pa.schema([("page", pa.int64()), ("host", pa.int64()), ("sketch", pa.list_(pa.int32())),
+    parsed = pa.schema([("page", pa.int64()), ("host", pa.int64()), ("sketch", pa.binary()),
                         ("units", pa.list_(pa.int64())), ("stream", pa.list_(pa.int64()))])
 
     def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,18 +336,20 @@ def extract(pages: DataFrame, p: Params = Params()) -> DataFrame:
                 yield out(parsed, *zip(*rows))
 
     told = written(keyed.select("host", "page", "html")
-                   .mapInArrow(suffixes, "page long, host long, sketch array<int>, units array<long>, stream array<long>")
+                   .mapInArrow(suffixes, "page long, host long, sketch binary, units array<long>, stream array<long>")
                    .dropDuplicates(["page"]))                # pages with the same html are one
     hosts = told.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("host_pages"))
     unit = F.col("pos") < F.size("units")
     prefixes = (told.select("*", F.posexplode(F.concat("units", "stream")).alias("pos", "w"))
                 .select("w", "host", "page", "sketch", unit.alias("unit"),
                         (unit | (F.size("units") == 0)).alias("own")))
+    # prefixes that enough pages share and that decide on at least one of them
+    frequent = written(prefixes.groupBy("w", "unit").agg(F.count("*").alias("n"), F.max("own").alias("decides"))
+                       .filter((F.col("n") >= p.pages) & F.col("decides"))
+                       .select(F.col("w").alias("v"), F.col("unit").alias("u"), "n"))
     enough = ~F.col("unit") | (F.col("n") >= F.lit(p.common) * F.col("host_pages"))
-    frequent = written(prefixes.groupBy("w", "host", "unit").agg(F.count("*").alias("n")).filter(F.col("n") >= p.pages)
-                       .join(hosts, F.col("host") == F.col("of")).filter(enough).select(F.col("w").alias("v"), F.col("unit").alias("u")))
     held = written(prefixes.join(frequent, (F.col("w") == F.col("v")) & (F.col("unit") == F.col("u")))
-                   .select("w", "page", "sketch", "own"))
+                   .join(hosts, F.col("host") == F.col("of")).filter(enough).select("w", "page", "sketch", "own"))
     shared = _unlike(held.select("w", "sketch"), p).withColumnRenamed("w", "v")
     repeats = written(held.filter("own").join(shared, F.col("w") == F.col("v"))
                       .groupBy("page").agg(F.collect_list("w").alias("repeats")))      # bounded by a page's tokens

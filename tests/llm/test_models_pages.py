@@ -194,7 +194,7 @@ def slow_extract(rows, p):
     """The definition of the suffix rules, by sets of token tuples."""
     pages = [(u.split("://")[1].split("/")[0].lower(), *html_extract.parse(h)) for u, h in rows]
     levels = [max((w for w, _ in f), default=-1) for _, f, _ in pages]
-    sketches = [html_extract._sketch(f) if f else [] for _, f, _ in pages]
+    sketches = [html_extract._sketch(f) if f else b'' for _, f, _ in pages]
 
     def prefixes(i):
         host, f, _ = pages[i]
