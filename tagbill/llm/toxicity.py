@@ -7,13 +7,17 @@
    depends on the label (chi-squared, Bonferroni over all terms tested) weigh ``told``
    times as much, so that the nearest examples are near for what the label is about;
    a text without any of them is still searched by all its terms.
-3. Index: postings of the examples; those of the most frequent terms as a dense matrix.
-   Single-precision cosines with all examples pick the candidates, within a margin far
-   over their error, and double precision ranks them, so the k best are exact. Examples
-   tied with the k-th all count, so no tie is broken by an id.
+3. Index: an inverted one over all terms, of blocks of 64 examples that share their
+   heaviest frequent term. Postings of the rarer terms are added up first. The ``head``
+   most frequent terms have their largest weight in each block: with it a block has an
+   upper bound of its cosines. Blocks of the highest bounds are scored first; the k-th
+   best cosine then leaves out every block whose bound is lower, so the k best are exact.
+   Examples tied with the k-th (to nine places) all count, so no tie is broken by an id.
 4. Votes are weighted by 1 / (distance + 0.05); an isotonic fit of leave-one-out votes
    on the examples makes them probabilities. Evidence: the ids of nearest examples.
 
+Every text is read once: its terms and counts are written to the shared folder, and both
+the document frequencies and the scores come from there.
 The vocabulary and the index are bounded by the texts of ``max_examples`` examples and
 are broadcast; all rows are scored where they are read, nothing about them is gathered.
 
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagbill.llm.common import batches, bounded_sample, cut, out, prepare, texts
+from tagbill.llm.common import batches, bounded_sample, cut, out, prepare, texts, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
@@ -57,8 +61,8 @@ class Params:
     neighbours: int = 25
     #: Weight of a label-dependent term beside that of any other.
     told: float = 4.0
-    #: Terms held as a dense matrix.
-    head: int = 1024
+    #: Most frequent terms, of which blocks have bounds.
+    head: int = 512
 
 
 def terms(text: str) -> Counter:
@@ -112,49 +116,88 @@ def select_terms(examples: DataFrame, p: Params) -> tuple[list[str], list[str]]:
     return vocabulary, [r.term for r in picked]
 
 
-def found_terms(text: str, place: dict[str, int]) -> tuple[list[int], list[int]]:
+class Places(dict):
+    """Of each word seen: its place and that of its beginning in a vocabulary, each plus one (0: none), as one number."""
+    #: Words remembered beside the vocabulary.
+    MOST = 1_000_000
+
+    def __init__(self, vocabulary: list[str]) -> None:
+        super().__init__()
+        self.place = {t: i + 1 for i, t in enumerate(vocabulary)}
+
+    def __missing__(self, word: str) -> int:
+        get = self.place.get
+        both = get(word, 0) << 32 | (get(word[:PREFIX] + "*", 0) if len(word) > PREFIX else 0)
+        if len(self) < self.MOST:
+            self[word] = both
+        return both
+
+
+def found_terms(text: str, places: Places) -> tuple[np.ndarray, np.ndarray]:
     """Places of the vocabulary's terms in a text, in order, and their counts."""
-    found: dict[int, int] = {}
-    get = place.get
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        if (i := get(w)) is not None:
-            found[i] = found.get(i, 0) + n
-        if len(w) > PREFIX and (i := get(w[:PREFIX] + "*")) is not None:
-            found[i] = found.get(i, 0) + n
-    order = sorted(found)
-    return order, [found[i] for i in order]
-
-
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
-    """The number of documents, and how many of them have each term."""
-    place = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    words = Counter(_WORD.findall(text.lower()))
+    both = np.array([places[w] for w in words], np.int64)
+    n = np.fromiter(words.values(), np.int64, len(words))
+    ids, n = np.concatenate((both >> 32, both & 0xFFFFFFFF)) - 1, np.concatenate((n, n))
+    order = np.argsort(ids, kind="stable")
+    order = order[np.searchsorted(ids[order], 0):]
+    ids, n = ids[order], n[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    return ids[first].astype(np.int32), np.add.reduceat(n, first).astype(np.int32) if len(n) else n.astype(np.int32)
+
+
+def _packed(ids: np.ndarray, tfs: np.ndarray) -> bytes:
+    return np.concatenate((np.diff(ids, prepend=np.int32(0)), tfs)).tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(packed, np.int32)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
+
+
+def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, found), written: the terms of the vocabulary in every text and their counts, packed."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Places(held.value)
+        for b in batches(it):
+            yield out(schema, b.column(0), [_packed(*found_terms(t, at)) for t in texts(b.column(1))])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found binary"))
+
+
+def frequencies(found: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """The number of documents, and how many of them have each of ``size`` terms."""
     schema = pa.schema([("t", pa.int32()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, df = place.value, 0, np.zeros(len(vocabulary), np.int64)
+        n, df = 0, np.zeros(size, np.int64)
         for b in batches(it):
             n += b.num_rows
-            for text in texts(b.column(0)):
-                df[found_terms(text, at)[0]] += 1
+            for packed in b.column(0).to_pylist():
+                df[_unpacked(packed)[0]] += 1
         some = np.flatnonzero(df)
         yield out(schema, np.append(some, -1), np.append(df[some], n))
 
     # one row a term of the bounded vocabulary
-    rows = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(vocabulary) + 1)
+    rows = found.select("found").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size + 1)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()           # the last one counts documents
-    n, df = int(counts[-1]), counts[:-1]
-    return n, df
+    return int(counts[-1]), counts[:-1]
 
 
 def vectors(examples: DataFrame, vocabulary: list[str]) -> list[tuple[int, int, list[int], list[int]]]:
     """(doc_id, y, term places, counts) of each of the bounded examples, once if repeated."""
-    place = examples.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    held = examples.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.binary()), ("tfs", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Places(held.value)
         for b in batches(it):
-            found = [found_terms(text, place.value) for text in texts(b.column(2))]
+            found = [found_terms(text, at) for text in texts(b.column(2))]
             yield out(schema, b.column(0), b.column(1), *([np.array(x, np.int32).tobytes() for x in c] for c in zip(*found)))
 
     rows = (examples.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary, tfs binary")
@@ -165,8 +208,24 @@ def vectors(examples: DataFrame, vocabulary: list[str]) -> list[tuple[int, int,
 
 # ---- index -----------------------------------------------------------------
 
-#: Single-precision cosines are nearer to the exact ones than this.
-MARGIN = 1e-5
+#: Cosines are equal if they agree to nine places; bounds are held against less than the k-th best by this.
+MARGIN = 1e-8
+#: Examples of one block.
+BLOCK = 64
+
+
+def clustered(rows: list[tuple], weights: np.ndarray, head: int) -> list[tuple]:
+    """``rows`` (doc_id, label, term ids, counts) with those of the same heaviest frequent terms beside each other."""
+    df = np.bincount(np.concatenate([r[2] for r in rows]), minlength=len(weights))
+    frequent = np.zeros(len(weights), bool)
+    frequent[np.argsort(-df, kind="stable")[:head]] = True
+
+    def key(r: tuple) -> list[int]:
+        ids = np.asarray(r[2])
+        w = np.where(frequent[ids], _unit(r[2], r[3], weights), 0)
+        return ids[np.argsort(-w, kind="stable")[:4]].tolist()
+
+    return sorted(rows, key=key)
 
 
 @dataclass
@@ -178,8 +237,8 @@ class Index:
     rows: np.ndarray                        # first entry of each example, and the end
     row_terms: np.ndarray
     row_counts: np.ndarray
-    row_weights: np.ndarray
-    dense: np.ndarray                       # head term x example
+    dense: np.ndarray                       # block x head term x example
+    tops: np.ndarray                        # head term x block: the largest weight
     column: np.ndarray                      # place of a term among the head terms, or -1
     starts: np.ndarray                      # first posting of each term, and the end
     post: np.ndarray
@@ -196,19 +255,20 @@ class Index:
         most = np.argsort(-df, kind="stable")[:head]
         column = np.full(len(idf), -1, np.int64)
         column[most] = np.arange(len(most))
-        dense = np.zeros((len(most), len(rows)), np.float32)
+        dense = np.zeros((-(-len(rows) // BLOCK), len(most), BLOCK))
         at_head = column[terms_] >= 0
-        dense[column[terms_[at_head]], example[at_head]] = weights[at_head]
+        dense[example[at_head] // BLOCK, column[terms_[at_head]], example[at_head] % BLOCK] = weights[at_head]
         tail = np.flatnonzero(~at_head)
         tail = tail[np.argsort(terms_[tail], kind="stable")]
         return Index(idf, np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64),
                      np.concatenate(([0], np.cumsum(sizes))), terms_,
-                     np.concatenate([np.asarray(r[3], np.int32) for r in rows]), weights, dense, column,
-                     np.searchsorted(terms_[tail], np.arange(len(idf) + 1)), example[tail], weights[tail].astype(np.float32))
+                     np.concatenate([np.asarray(r[3], np.int32) for r in rows]), dense,
+                     np.ascontiguousarray(dense.max(axis=2).T), column,
+                     np.searchsorted(terms_[tail], np.arange(len(idf) + 1)), example[tail].astype(np.int64), weights[tail])
 
     def __getstate__(self) -> tuple:
         """What the index is built from, packed: a worker builds the rest again."""
-        return (self.weights, self.labels, self.ids, self.rows, len(self.dense),
+        return (self.weights, self.labels, self.ids, self.rows, len(self.tops),
                 zlib.compress(self.row_terms.tobytes(), 1), zlib.compress(self.row_counts.tobytes(), 1))
 
     def __setstate__(self, state: tuple) -> None:
@@ -229,35 +289,44 @@ class Index:
                      but: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each query; none without terms."""
         units = [(np.asarray(ids, np.int64), _unit(ids, tfs, self.weights)) for ids, tfs in queries]
-        heads = np.zeros((len(units), len(self.dense)), np.float32)
+        heads = np.zeros((len(units), len(self.tops)))
+        n, blocks = len(self.ids), len(self.dense)
+        rough = np.zeros((len(units), blocks * BLOCK))
         for j, (ids, q) in enumerate(units):
             c = self.column[ids]
             heads[j, c[c >= 0]] = q[c >= 0]
-        n = len(self.ids)
-        rough, whole, found = heads @ self.dense, np.zeros(len(self.weights)), []
-        for j, (ids, q) in enumerate(units):
-            s = rough[j]
-            tail = self.column[ids] < 0
-            a, b = self.starts[ids[tail]], self.starts[ids[tail] + 1]
-            size = b - a
-            if size.sum():
+            a, b = self.starts[ids[c < 0]], self.starts[ids[c < 0] + 1]
+            if len(a):
+                size = b - a
                 at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-                s = s + np.bincount(self.post[at], self.post_weights[at] * np.repeat(q[tail], size), n)
+                rough[j, :n] = np.bincount(self.post[at], self.post_weights[at] * np.repeat(q[c < 0], size), n)
             if but[j] >= 0:
-                s[but[j]] = -1
-            least = np.partition(s, n - k)[n - k] - MARGIN if n > k else -0.5
-            e = np.flatnonzero(s >= least) if least > 0 else np.flatnonzero(s > -0.5)
-            whole[ids] = q
-            size = self.rows[e + 1] - self.rows[e]
-            ends = np.cumsum(size)
-            at = np.repeat(self.rows[e] - ends + size, size) + np.arange(size.sum())
-            product = whole[self.row_terms[at]] * self.row_weights[at]
-            exact = np.round(np.add.reduceat(product, ends - size), 9) if len(e) else np.zeros(0)
-            whole[ids] = 0
-            e, exact = e[exact > 0], exact[exact > 0]
-            if len(e) > k:
-                keep = exact >= np.partition(exact, len(e) - k)[len(e) - k]
-                e, exact = e[keep], exact[keep]
+                rough[j, but[j]] = -9
+        rough[:, n:] = -9
+        by_block = rough.reshape(len(units), blocks, BLOCK)
+        bound = heads @ self.tops + by_block.max(axis=2)
+        scored = np.zeros(bound.shape, bool)
+
+        def add_heads(wanted: np.ndarray) -> None:
+            for i in np.flatnonzero(wanted.any(axis=0)).tolist():
+                j = np.flatnonzero(wanted[:, i])
+                by_block[j, i] += heads[j] @ self.dense[i]
+            scored[wanted] = True
+
+        some = min(blocks, -(-k // BLOCK) + 5)               # enough for a k-th best
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
+        add_heads(first)
+        if some < blocks:
+            seen = by_block[first].reshape(len(units), -1)
+            least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+            add_heads((bound >= np.where(least > MARGIN, least - MARGIN, -10)[:, None]) & ~first)
+        found = []
+        for j in range(len(units)):
+            at = np.flatnonzero(scored[j])
+            s = np.round(by_block[j, at].ravel(), 9)
+            e = np.flatnonzero(s >= max(np.partition(s, len(s) - k)[len(s) - k], 1e-9)) if len(s) > k else np.flatnonzero(s > 0)
+            e, exact = at[e // BLOCK] * BLOCK + e % BLOCK, s[e]
             order = np.lexsort((self.ids[e], -exact))
             found.append((e[order], exact[order]))
         return found
@@ -299,7 +368,7 @@ class Model:
     def score(self, found: list[tuple[list[int], list[int]]]) -> list[tuple[float, list[int]]]:
         """(score, nearest examples) of each text's terms and counts."""
         done = [(self.without, [])] * len(found)
-        asked = [j for j, (ids, _) in enumerate(found) if ids] if self.index else []
+        asked = [j for j, (ids, _) in enumerate(found) if len(ids)] if self.index else []
         x, v = self.steps
         for i in range(0, len(asked), GROUP):
             group = asked[i:i + GROUP]
@@ -311,8 +380,8 @@ class Model:
         return done
 
 
-def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> Model:
-    """The model; ``labelled``: (doc_id, y) training rows."""
+def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> tuple[Model, DataFrame]:
+    """The model, and the ``term_vectors`` of all rows; ``labelled``: (doc_id, y) training rows."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = cut(bounded_sample(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "y"),
@@ -321,7 +390,8 @@ def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> Model:
     wanted = F.broadcast(sample.withColumnRenamed("doc_id", "example"))
     examples = cut(docs.join(wanted, F.col("doc_id") == F.col("example")).select("doc_id", "text", "y"))
     vocabulary, told = select_terms(examples, p)
-    n, df = frequencies(docs, vocabulary)
+    found = term_vectors(docs, vocabulary)
+    n, df = frequencies(found, len(vocabulary))
     idf = np.log((1 + n) / (1 + df)) + 1
     place = {t: i for i, t in enumerate(vocabulary)}
     more = [place[t] for t in told]
@@ -331,7 +401,8 @@ def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> Model:
     base = sum(r[1] for r in rows) / len(rows) if rows else 0.0
     without = sum(r[1] for r in none) / len(none) if none else base
     if not some:
-        return Model(vocabulary, set(more), None, (np.zeros(1), np.zeros(1)), without, p.neighbours)
+        return Model(vocabulary, set(more), None, (np.zeros(1), np.zeros(1)), without, p.neighbours), found
+    some = clustered(some, idf, p.head)
     ix = Index.build(some, idf, p.head)
     votes, ys = [], []
     for i in range(0, len(some), GROUP):
@@ -342,25 +413,26 @@ def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> Model:
                 votes.append(ix.vote(e, s))
                 ys.append(r[1])
     steps = isotonic(np.array(votes), np.array(ys, float)) if votes else (np.zeros(1), np.array([base]))
-    return Model(vocabulary, set(more), ix, steps, without, p.neighbours)
+    return Model(vocabulary, set(more), ix, steps, without, p.neighbours), found
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, evidence, terms) for every row; ``terms``: its label-dependent ones."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(vectors_: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, evidence, terms) for every row of ``term_vectors``; ``terms``: its label-dependent ones."""
+    held = vectors_.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())),
                         ("terms", pa.list_(pa.string()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        place = {t: i for i, t in enumerate(m.vocabulary)}
+        told = np.zeros(len(m.vocabulary), bool)
+        told[list(m.told)] = True
         for b in batches(it):
-            found = [found_terms(text, place) for text in texts(b.column(1))]
+            found = [_unpacked(x) for x in b.column(1).to_pylist()]
             done = m.score(found)
             yield out(schema, b.column(0), [x for x, _ in done], [near for _, near in done],
-                      [[m.vocabulary[i] for i in ids if i in m.told] for ids, _ in found])
+                      [[m.vocabulary[i] for i in ids[told[ids]]] for ids, _ in found])
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return (vectors_.select("doc_id", "found")
             .mapInArrow(run, "doc_id long, score double, evidence array<long>, terms array<string>"))
 
 
@@ -372,15 +444,15 @@ def training_rows(labels: DataFrame, column: str, held_out: Column) -> DataFrame
 
 def keep(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Params(), most: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``most``, all columns unchanged."""
-    model = fit(docs, training_rows(labels, "toxic", held_out), p)
+    model, _ = fit(docs, training_rows(labels, "toxic", held_out), p)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        place = {t: i for i, t in enumerate(m.vocabulary)}
+        places = Places(m.vocabulary)
         for b in batches(it):
-            low = [x < most for x, _ in m.score([found_terms(text, place) for text in texts(b.column(at))])]
+            low = [x < most for x, _ in m.score([found_terms(text, places) for text in texts(b.column(at))])]
             yield b.filter(pa.array(low, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -388,4 +460,5 @@ def keep(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Param
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
     """Score every row of ``docs``; learn from ``labels.toxic`` where not ``held_out``."""
-    return score(docs, fit(docs, training_rows(labels, "toxic", held_out), p))
+    model, vectors_ = fit(docs, training_rows(labels, "toxic", held_out), p)
+    return score(vectors_, model)

@@ -1,5 +1,6 @@
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -60,6 +61,73 @@ def test_texts_without_label_terms_are_searched_by_all_their_terms(spark):
     assert all(got[200 + i].evidence[0] == i for i in range(40)) and got[100].evidence == []
 
 
+def slow_toxicity(docs, labels, p):
+    """Scores and nearest examples by dense vectors, without an index."""
+    text = {i: t or "" for i, t in docs}
+    found = {i: toxicity.terms(t) for i, t in text.items()}
+    every = sorted({t for i in labels for t in found[i]})
+    n, n1 = len(labels), sum(labels.values())
+    counts = {t: (sum(y for i, y in labels.items() if t in found[i]), sum(1 - y for i, y in labels.items() if t in found[i]))
+              for t in every}
+    tested = sum(a + b > 2 for a, b in counts.values())
+    least = NormalDist().inv_cdf(1 - p.alpha / (2 * tested)) ** 2
+    weight = {}
+    for t, (a, b) in counts.items():
+        weight[t] = math.log((1 + len(docs)) / (1 + sum(t in f for f in found.values()))) + 1
+        c, d = n1 - a, n - n1 - b
+        if 2 < a + b < n and n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * (n - n1)) >= least:
+            weight[t] *= p.told
+
+    def unit(i):
+        v = np.array([(1 + math.log(found[i][t])) * weight[t] if t in found[i] else 0.0 for t in every])
+        return v / (math.sqrt(v @ v) or 1.0)
+
+    units = {i: unit(i) for i in text}
+
+    def vote(i, but=None):
+        cosines = sorted(((round(float(units[i] @ units[j]), 9), -j) for j in labels if j != but), reverse=True)
+        cosines = [x for x in cosines if x[0] > 0]
+        near = [x for x in cosines if x[0] >= cosines[min(p.neighbours, len(cosines)) - 1][0]]
+        w = [1 / (1.05 - min(s, 1.0)) for s, _ in near]
+        return (sum(x * labels[-j] for x, (_, j) in zip(w, near)) / sum(w) if near else None), [-j for _, j in near]
+
+    left_out = sorted((v, labels[i]) for i in labels if (v := vote(i, i)[0]) is not None)
+    xs = sorted({v for v, _ in left_out})
+    pools = [[y for v, y in left_out if v == x] for x in xs]
+
+    def fitted(k):                                       # the least-squares monotone fit by its max-min formula
+        return max(min(np.mean(sum(pools[a:b], [])) for b in range(k + 1, len(pools) + 1)) for a in range(k + 1))
+
+    scores = {}
+    for i in text:
+        v, near = vote(i)
+        if v is not None:
+            scores[i] = fitted(max(int(np.searchsorted(xs, v + 1e-12, side="right")) - 1, 0)), near
+    return scores
+
+
+def test_toxicity_matches_dense_vectors(spark):
+    rng = random.Random(21)
+    common, bad = [f"{c}ommon" for c in "abcdefgh"], ["vile", "rotten", "foulest"]
+    docs, labels = [], {}
+    for i in range(230):
+        toxic = i % 5 == 0
+        words = rng.choices(common, k=6) + ["".join(rng.choices("abcdef", k=4)) for _ in range(rng.randint(0, 8))]
+        words += rng.choices(bad, k=2) if toxic and i % 3 else []
+        docs.append((i, " ".join(words)))
+        if i < 180:
+            labels[i] = int(toxic)
+    docs += [(300 + i, docs[i][1]) for i in range(5)] + [(400, "zzzz"), (401, None)]
+    p = toxicity.Params(neighbours=7, head=6)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"),
+                                                  NEVER(False), p).collect()}
+    want = slow_toxicity(docs, labels, p)
+    assert len(got) == len(docs) and set(want) == set(got) - {400, 401}
+    for i, (score, near) in want.items():
+        assert abs(got[i].score - score) < 1e-6 and got[i].evidence == near[:5], i
+
+
 def test_models_on_odd_rows(odd, none, labels):
     for docs, n in ((odd, odd.count()), (none, 0)):
         for lab in (labels, labels.filter("false")):
