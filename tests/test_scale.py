@@ -63,3 +63,20 @@ def test_submissions_are_written_compressed(spark, tables):
     base = ensure_checkpoint_dir(spark).removeprefix("file:")
     assert glob.glob(f"{base}/run-submissions-*/*.json.gz") and not glob.glob(f"{base}/run-submissions-*/*.json")
     assert sorted(map(str, lines.collect())) == sorted(map(str, registry.q_run_nested_lines(spark, tables).collect()))
+
+
+def test_epochs_share_one_evaluation_of_the_replies(spark, tmp_path):
+    from tagbill.schemas import NOTIFICATION
+    from tagbill.streaming import labor_replies as lr
+    base = str(tmp_path)
+    weeks = [f"2024-01-{d:02d}" for d in (7, 14, 21, 28)]
+    notes = [(str(i), lr.CLIENT_STATE, f"RE: {lr.REPACK_SUBJECT} {weeks[i % 4]}", None, None) for i in range(12)]
+    for i, n in enumerate(notes):                                       # twelve files: three epochs
+        spark.createDataFrame([n], NOTIFICATION).coalesce(1).write.parquet(f"{base}/inbox/{i}")
+    replies, seen = counted(spark, spark.createDataFrame(
+        [(10 + i, "p", None, "2", "1.5", w) for i, w in enumerate(weeks)],
+        "icrunidx long, productdescr string, quantity decimal(38,4), num_laborers string, hours_per_laborer string, week_end string"))
+    dirs = lr.run_labor_reply_stream(spark, f"{base}/inbox/*", replies, base)
+    assert seen.value == 4
+    assert len(glob.glob(f"{base}/state/messages/epoch=*")) == 3
+    assert sorted(r.icrunidx for r in lr.labor_from_stream(spark, dirs["labor"]).collect()) == [10, 11, 12, 13]
