@@ -65,6 +65,20 @@ def test_submissions_are_written_compressed(spark, tables):
     assert sorted(map(str, lines.collect())) == sorted(map(str, registry.q_run_nested_lines(spark, tables).collect()))
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        store = Store(spark, f"file://{tmp_path}/store")
+        df = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("k"), F.xxhash64("id").alias("v"))
+        store.replace_all({"t": (df, ["k"])}, buckets=1)
+    finally:
+        spark.conf.set(size, before)
+    assert len(glob.glob(f"{tmp_path}/store/data/t/_folder=*/_bucket=0/*.parquet")) > 1
+    assert store.count("t") == 200_000 and store.read("t").agg(F.count_distinct("k")).first()[0] == 200_000
+
+
 def test_epochs_share_one_evaluation_of_the_replies(spark, tmp_path):
     from tagbill.schemas import NOTIFICATION
     from tagbill.streaming import labor_replies as lr
