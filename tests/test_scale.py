@@ -65,6 +65,31 @@ def test_submissions_are_written_compressed(spark, tables):
     assert sorted(map(str, lines.collect())) == sorted(map(str, registry.q_run_nested_lines(spark, tables).collect()))
 
 
+def test_an_update_works_its_rows_out_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.replace_all({"t": (spark.range(50).selectExpr("id AS k", "0 AS v"), ["k"])}, buckets=4)
+    fresh, seen = counted(spark, spark.range(40, 60).selectExpr("id AS k", "1 AS v"))
+    store.update({"t": Update(fresh)})
+    assert seen.value == 20
+    assert sorted(map(tuple, store.read("t").collect())) == [(k, int(k >= 40)) for k in range(60)]
+
+
+def test_saving_runs_works_the_documents_out_once(spark, tables, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    b = Billing(spark, tables)
+    prepared, seen = counted(spark, b.runs_prepared)
+    rundetail.save_runs(store, prepared, "2024-01-01")
+    assert seen.value == 69
+    again, seen = counted(spark, b.run_resave())
+    rundetail.save_runs(store, again, "2024-01-02", ["run_no", "status", "note"])
+    assert seen.value == 2
+    runs = {r.run_no: r for r in store.read("run").collect()}
+    assert len(runs) == 69 and {k for k, r in runs.items() if r.note == "REVISED" and r.updated_at.day == 2} == {30, 60}
+    assert all(r.updated_at.day == 1 and r.note == "CTN TO BAG" for k, r in runs.items() if k % 30)
+    assert runs[30].varieties == "VALENCIA" and runs[30].total == 0 and runs[31].total > 0
+    assert store.read("run_io").filter("run_no = 30").isEmpty() and not store.read("run_io").filter("run_no = 31").isEmpty()
+
+
 def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(size)
