@@ -119,3 +119,19 @@ def test_epochs_share_one_evaluation_of_the_replies(spark, tmp_path):
     assert seen.value == 4
     assert len(glob.glob(f"{base}/state/messages/epoch=*")) == 3
     assert sorted(r.icrunidx for r in lr.labor_from_stream(spark, dirs["labor"]).collect()) == [10, 11, 12, 13]
+
+
+def test_shipping_runs_start_from_one_rollup(spark, tables, monkeypatch):
+    made = []
+    rollup = Billing.ship_rollup.func
+
+    def counting(self):
+        df, seen = counted(self.spark, rollup(self))
+        made.append(seen)
+        return df
+    prop = type(Billing.ship_rollup)(counting)
+    prop.__set_name__(Billing, "ship_rollup")
+    monkeypatch.setattr(Billing, "ship_rollup", prop)
+    from tagbill.plans import stored_queries
+    out = stored_queries.q_shipping_runs_stored(spark, tables).collect()
+    assert len(made) == 1 and made[0].value == len(out) > 0
