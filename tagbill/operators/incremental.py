@@ -43,9 +43,13 @@ def digests(tables: dict[str, DataFrame]) -> DataFrame:
         cols = sorted(c for c in df.columns if c != "_tag")
         one = df.filter(F.col("_tag").isNotNull()).select(
             F.col("_tag").alias("tagid"), F.xxhash64(F.lit(name), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
-            .cast("decimal(20,0)").alias("h"))
+            .alias("h"))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("tagid").agg(F.sum("h").cast("decimal(38,0)").alias("digest"), F.count(F.lit(1)).alias("lines"))
+    # the exact sum of the hashes, by their upper and lower 32 bits: sums of longs are cheaper than of decimals
+    sums = rows.groupBy("tagid").agg(F.sum(F.shiftright("h", 32)).alias("_hi"), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("_lo"),
+                                     F.count(F.lit(1)).alias("lines"))
+    whole = F.col("_hi").cast("decimal(38,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("_lo")
+    return sums.select("tagid", whole.cast("decimal(38,0)").alias("digest"), "lines")
 
 
 def changed_tags(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -56,10 +60,11 @@ def changed_tags(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def tag_views(tables: dict[str, DataFrame], classification: DataFrame, packing_rates: DataFrame,
-              storage_rates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The shipped tags, and (tagid, stream, billing_week, amount) of every unbilled charge."""
+              storage_rates: DataFrame, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
+    """The shipped tags (staged in ``store``, if given), and (tagid, stream, billing_week, amount) of every unbilled charge."""
     t = {n: df.drop("_tag") for n, df in tables.items()}
     sh = shipped.shipped(t["raw"])
+    sh = sh if store is None else store.staged(sh)
     rated = charges.charges(status.status_with_ship(t["outputs"], t["inputs"], sh, t["billing_lines"]),
                             classification, packing_rates)
     cold = storage.storage_charges(sh, classification, storage_rates, t["billing_lines"])
@@ -98,8 +103,8 @@ def _added(current: DataFrame, delta: DataFrame) -> DataFrame:
 def build(store: Store, tables: dict[str, DataFrame], dims: dict[str, DataFrame], labor: DataFrame, materials: DataFrame,
           buckets: int = 32) -> int:
     """Write all stored views from a whole snapshot."""
-    sh, amounts = tag_views(tables, **dims)
-    amounts = cut_lineage(amounts)
+    sh, amounts = tag_views(tables, store=store, **dims)
+    amounts = store.staged(amounts)
     weeks = _weekly(amounts.drop("tagid").unionByName(entered_amounts(labor, materials)))
     return store.replace_all({"tag_digests": (digests(tables), ["tagid"]), "shipped": (sh, ["tagid"]),
                               "tag_amounts": (amounts, ["tagid"]), "week_amounts": (weeks, ["billing_week"])}, buckets)
@@ -112,7 +117,7 @@ def refresh(store: Store, tables: dict[str, DataFrame], dims: dict[str, DataFram
     ``{"tags", "weeks", "version"}``; a snapshot that says the same leaves the store as it is.
     """
     version = store.version()
-    now = cut_lineage(digests(tables))
+    now = store.staged(digests(tables))
     changed = cut_lineage(changed_tags(store.read("tag_digests", version), now))
     stored = store.read("week_amounts", version)
     costs = _weekly(entered_amounts(labor, materials))
@@ -120,8 +125,8 @@ def refresh(store: Store, tables: dict[str, DataFrame], dims: dict[str, DataFram
                            *[(F.lit(0) if s in ("service", "storage") else -F.col(f"{s}_lines")).cast("long").alias(f"{s}_lines")
                              for s in STREAMS])
     mine = {n: df.join(changed.withColumnRenamed("tagid", "_tag"), "_tag", "left_semi") for n, df in tables.items()}
-    sh, amounts = tag_views(mine, **dims)
-    amounts = cut_lineage(amounts)
+    sh, amounts = tag_views(mine, store=store, **dims)
+    amounts = store.staged(amounts)
     old = store.read("tag_amounts", version).join(changed, "tagid", "left_semi")
     cols = ["billing_week", *STREAMS, *[f"{s}_lines" for s in STREAMS]]
     moved = None
@@ -133,7 +138,8 @@ def refresh(store: Store, tables: dict[str, DataFrame], dims: dict[str, DataFram
     updates = {}
     if counts["tags"]:
         updates = {"tag_digests": Update(now.join(changed, "tagid", "left_semi"), keys=changed),
-                   "shipped": Update(sh, keys=changed), "tag_amounts": Update(amounts, keys=changed)}
+                   "shipped": Update(sh, keys=changed, is_staged=True),
+                   "tag_amounts": Update(amounts, keys=changed, is_staged=True)}
     if counts["weeks"]:
         updates["week_amounts"] = Update(delta, _added)
     return counts | {"version": store.update(updates) if updates else version}

@@ -135,3 +135,35 @@ def test_shipping_runs_start_from_one_rollup(spark, tables, monkeypatch):
     from tagbill.plans import stored_queries
     out = stored_queries.q_shipping_runs_stored(spark, tables).collect()
     assert len(made) == 1 and made[0].value == len(out) > 0
+
+
+def test_shipped_tags_are_worked_out_once(spark, tables, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    b = Billing(spark, tables)
+    d = b.d
+    made = []
+    rows = incremental.shipped.shipped
+
+    def counting(raw):
+        df, seen = counted(spark, rows(raw))
+        made.append(seen)
+        return df
+    monkeypatch.setattr(incremental.shipped, "shipped", counting)
+    dims = {"classification": b.classification, "packing_rates": b.packing_rates, "storage_rates": b.storage_rates}
+    of = lambda r: incremental.tag_inputs(r, d.repack_outputs, d.repack_inputs, d.billing_lines)
+    incremental.build(store, of(d.shipping_raw), dims, d.labor_charges, d.repack_materials)
+    want = rows(d.shipping_raw)
+    assert [s.value for s in made] == [want.count()]
+    incremental.refresh(store, of(d.shipping_raw.filter("pallet <> 5")), dims, d.labor_charges, d.repack_materials)
+    assert len(made) == 2 and made[1].value <= 1                      # nothing is left of the one tag that changed
+    want = want.filter("tagid <> 5")
+    assert sorted(map(str, store.read("shipped").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_digest_is_the_exact_sum_of_its_hashes(spark):
+    df = spark.range(64).selectExpr("id % 3 AS _tag", "id AS a")
+    want = {}
+    for r in df.select("_tag", F.xxhash64(F.lit("t"), F.col("a").cast("string")).alias("h")).collect():
+        want[r._tag] = want.get(r._tag, 0) + r.h
+    got = incremental.digests({"t": df})
+    assert {r.tagid: int(r.digest) for r in got.collect()} == want and "sum(cast" not in plan(got)
