@@ -19,6 +19,10 @@ a few rounds, members of crowded keys are verified against one leader each, and
 links found tell which keys hold one component only (they are done: a further link would
 join what is joined). Keys that still hold several are searched by R-trees, in cells of
 bounded size (pairs of blocks of a key's points), skipping boxes of the point's own component.
+A pair of a dense group meets under very many keys. So first come sweeps in which each point of a
+cell tells one candidate at most, the first in an order that all cells share and that changes from
+sweep to sweep; what links becomes one component. Only then every candidate is told that is left
+between different components, but for those already verified.
 
 Defined results. Words are split at ASCII white space after lower-casing A-Z; a text with
 fewer words than a shingle has one token, the whole sequence. Null text, or no word: no
@@ -51,6 +55,8 @@ BLOCK = 2048
 #: Keys of more members than this are crowded; rounds of verifying their members against a leader before trees are built.
 CROWD = BLOCK
 ROUNDS = 3
+#: Sweeps of the cells in which each point tells one candidate, before all that are left are told.
+SWEEPS = 2
 #: Up to so many points are compared each with each; more get a tree.
 FEW = 2 * FAN
 #: Bits of the filter that picks the documents whose sets are needed.
@@ -221,20 +227,29 @@ class Tree:
         return self.order[at]
 
 
-def candidates(points: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places whose bound reaches the threshold and whose components differ, each pair once."""
+def candidates(points: np.ndarray, component: np.ndarray, percent: int, one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose bound reaches the threshold and whose components differ, each pair once.
+
+    With ``one``, of each place only the pair with the first such place before it.
+    """
     if len(points) <= FEW:
         size = points.sum(axis=1, dtype=np.int64)
         both = np.array([np.minimum(q, points).sum(axis=1, dtype=np.int64) for q in points])
         near = (100 + percent) * both >= percent * (size[:, None] + size)
-        return np.nonzero(np.triu(near & (component[:, None] != component), 1))
+        near = np.triu(near & (component[:, None] != component), 1)
+        if one:
+            second = np.flatnonzero(near.any(axis=0))
+            return near[:, second].argmax(axis=0), second
+        return np.nonzero(near)
     tree = Tree(points, component, percent)
     a, b = [], []
     for i, q in enumerate(points):
         near = tree.search(q, int(component[i]))
-        near = near[near > i]
-        a.append(np.full(len(near), i))
-        b.append(near)
+        near = near[near < i]
+        if one and len(near):
+            near = near.min(keepdims=True)
+        a.append(near)
+        b.append(np.full(len(near), i))
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -345,8 +360,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _tested(pairs, sets, "tokens", test)
 
 
-def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): pairs of different components under one key whose bound reaches the threshold; by R-trees."""
+def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int, sweep: int | None = None) -> DataFrame:
+    """(a, b): pairs of different components under one key whose bound reaches the threshold; by R-trees.
+
+    With ``sweep``, a point of a cell tells one pair at most, by an order of the ids that the sweep's number picks.
+    """
     # a key of many points: its rows go to every cell (i, j) of block pairs that holds their block
     sizes = (rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
              .select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
@@ -363,7 +381,11 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
 
         def pairs(cell: pa.Table) -> pa.RecordBatch:
             id_, comp = (cell[c].to_numpy() for c in ("id", "comp"))
-            a, b = candidates(np.stack([unpacked(x.as_buffer()) for x in cell["point"]]), comp, percent)
+            points = np.stack([unpacked(x.as_buffer()) for x in cell["point"]])
+            if sweep is not None:
+                order = np.argsort(mix(id_.astype(np.uint64) + _ODD[sweep % len(_ODD)]))
+                id_, comp, points = id_[order], comp[order], points[order]
+            a, b = candidates(points, comp, percent, one=sweep is not None)
             a, b = id_[a], id_[b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
@@ -386,7 +408,7 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK, rounds: int = ROUNDS,
-         crowd: int = CROWD) -> DataFrame:
+         crowd: int = CROWD, sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; see the module's text."""
     prepare(docs.sparkSession)
     rows = cut(described(docs, width, percent))
@@ -426,14 +448,19 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, block: int = BLOCK,
                  .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
         links, comp = joined(_verified(_bounded(pairs, sets, percent), sets, percent))
         crowded = at.select("key", "id")
-    at = rooted(keys, "id")
-    mixed = (at.groupBy("key").agg(F.min("root_id").alias("low"), F.max("root_id").alias("high"))
-             .filter(F.col("low") < F.col("high")).select("key"))
-    pairs = cut(_searched(at.join(mixed, "key").select("key", "id", F.col("root_id").alias("comp")), sets, percent, block))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links, comp = joined(_verified(first, sets, percent))
-    rest = rooted(pairs.join(first, ["a", "b"], "left_anti"), "a", "b").filter(F.col("root_a") != F.col("root_b")).select("a", "b")
-    links, comp = joined(_verified(rest, sets, percent))
+    tried = None
+    for sweep in [*range(sweeps), None]:
+        at = rooted(keys, "id")
+        mixed = (at.groupBy("key").agg(F.min("root_id").alias("low"), F.max("root_id").alias("high"))
+                 .filter(F.col("low") < F.col("high")).select("key"))
+        at = cut(at.join(mixed, "key").select("key", "id", F.col("root_id").alias("comp")))
+        if at.isEmpty():
+            break
+        pairs = _searched(at, sets, percent, block, sweep)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        links, comp = joined(_verified(pairs, sets, percent))
+        tried = pairs if tried is None else tried.union(pairs)
+        keys = at.select("key", "id")
     named = rooted(classes.select("class", "least", "id"), "id").withColumnRenamed("root_id", "root")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     groups = named.join(least, "root").select("class", "component")

@@ -118,3 +118,41 @@ def test_count_bound_never_falls_below_the_overlap():
         a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 250)))) for _ in "ab")
         both = len(np.intersect1d(a, b))
         assert ngram_join.overlap(a, b) == both <= np.minimum(ngram_join.point(a), ngram_join.point(b)).sum()
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_a_place_tells_one_pair_at_most(few, monkeypatch):
+    """In a dense group, in which all pairs are candidates: the first of the places before it that are."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = np.random.default_rng(5)
+    points = 20 + (rng.random((30, ngram_join.GROUPS)) < 0.02)
+    component = rng.integers(0, 4, 30)
+    a, b = ngram_join.candidates(points, component, 90)
+    first = {}
+    for x, y in zip(a.tolist(), b.tolist()):
+        first[y] = min(x, first.get(y, x))
+    assert len(a) > 200 and len(first) < 30
+    one, other = ngram_join.candidates(points, component, 90, one=True)
+    assert sorted(zip(one.tolist(), other.tolist())) == sorted((x, y) for y, x in first.items())
+
+
+@pytest.mark.parametrize("sweeps", [0, 1, 3])
+def test_sweeps_lose_no_link(spark, monkeypatch, sweeps):
+    """A dense group meets under many keys; a sweep tells no more pairs than it has rows, whatever is left is told at the end."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    rows = list(enumerate(chains(rng, words, 60, 120, 1) + chains(rng, words, 20, 40, 3)))
+    told = []
+    searched = ngram_join._searched
+
+    def counted(found, sets, percent, block, sweep=None):
+        pairs = searched(found, sets, percent, block, sweep)
+        told.append((sweep, found.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_searched", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.join(docs, sweeps=sweeps).collect()), key=str)
+    assert got == slow_join(rows)
+    assert [s for s, _, _ in told] == [*range(sweeps), None][:len(told)]
+    assert all(n <= found for s, found, n in told if s is not None)
