@@ -12,7 +12,8 @@ are encoded as one.
 
 Why agreement is exact: no token, added token or normalisation of this vocabulary
 spans a space, tab, line feed or carriage return, so ids between two such places
-depend on nothing outside.
+depend on nothing outside. Neighbouring chunks that a text has alone are encoded as one
+piece, so that only joins with shared chunks need repair.
 
 Plan. Texts are shuffled once, by doc_id, and that exchange serves both the owners'
 encoding and the assembly. Hash counts are reduced map-side; a chunk that a third of
@@ -190,13 +191,22 @@ class Encoder:
 
     def encode(self, texts: list[bytes], known: list[dict[bytes, list[int]]], rule: Chunking) -> list[list[int]]:
         """Exact ids of whole texts; ``known`` has ids of shared chunks by hash."""
-        split = [chunks(t, rule) for t in texts]
+        split: list[list[bytes]] = []
         ids: list[list[list[int] | None]] = []
         missing: dict[bytes, list[tuple[int, int]]] = {}
-        for d, pieces in enumerate(split):
-            have = known[d]
-            ids.append([have.get(chunk_hash(p)) if have else None for p in pieces])
-            for i, got in enumerate(ids[d]):
+        for d, (text, have) in enumerate(zip(texts, known)):
+            pieces: list[bytes] = []
+            own: list[list[int] | None] = []
+            for p in chunks(text, rule) if have else [text]:
+                got = have.get(chunk_hash(p)) if have else None
+                if got is None and own and own[-1] is None:
+                    pieces[-1] += p                     # neighbours to be encoded here need no join
+                else:
+                    pieces.append(p)
+                    own.append(got)
+            split.append(pieces)
+            ids.append(own)
+            for i, got in enumerate(own):
                 if got is None:
                     missing.setdefault(pieces[i], []).append((d, i))
         for places, got in zip(missing.values(), self.plain(list(missing))):
@@ -209,7 +219,7 @@ class Encoder:
         if self.tok.decoder is not None:
             return self.tok.decode(ids, skip_special_tokens=False)
         s = self.string
-        return " ".join([s[i] for i in ids])
+        return " ".join(map(s.__getitem__, ids))
 
 
 def _starts(x: list[int], y: list[int]) -> bool:
@@ -322,9 +332,9 @@ def encode(docs: DataFrame, vocabulary: str, rule: Chunking = Chunking(), keep_t
             doc_ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).to_pylist()]
             have = [{x["h"]: _unpack(x["ids"]) for x in k or []} for k in b.column(2).to_pylist()]
             ids = enc.encode(texts, have, rule)
-            number = enc.number
+            number = enc.number.__getitem__
             decoded = [enc.decode(x) for x in ids]
-            columns = [doc_ids, [len(x) for x in ids], [sha(" ".join([number[i] for i in x])) for x in ids],
+            columns = [doc_ids, [len(x) for x in ids], [sha(" ".join(map(number, x))) for x in ids],
                        [sha(d) for d in decoded]]
             yield out(schema, *columns, *((ids, decoded) if keep_text else ()))
 

@@ -78,3 +78,20 @@ def test_chunks_follow_content():
     assert b"".join(a) == body and len(set(a) & set(b)) >= len(a) - 2
     assert all(bpe._has_words(c, rule.words) for c in a)
     assert bpe._unpack(bpe._pack([1, 70000, 3])) == [1, 70000, 3] and bpe._unpack(bpe._pack([])) == []
+
+
+def test_only_joins_with_shared_chunks_are_repaired(tok, monkeypatch):
+    """A text without a shared chunk is one piece; around a shared one the chunks of its own are one piece on each side."""
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400)).encode()
+    rule = bpe.Chunking(least=64, mask_bits=6)
+    enc, split = bpe.Encoder.of(PATH), bpe.chunks(text, rule)
+    assert len(split) >= 7
+    whole = tok.encode(text.decode(), add_special_tokens=False).ids
+    seen = []
+    joined = enc.joined
+    monkeypatch.setattr(enc, "joined", lambda docs: seen.extend(p for p, _ in docs) or joined(docs))
+    shared = split[3]
+    known = {bpe.chunk_hash(shared): enc.plain([shared])[0]}
+    assert enc.encode([text, b"", text], [{}, {}, known], rule) == [whole, [], whole]
+    assert seen == [[text], [b""], [b"".join(split[:3]), shared, b"".join(split[4:])]]
