@@ -19,10 +19,10 @@ a few rounds, members of crowded keys are verified against one leader each, and
 links found tell which keys hold one component only (they are done: a further link would
 join what is joined). Keys that still hold several are searched by R-trees, in cells of
 bounded size (pairs of blocks of a key's points), skipping boxes of the point's own component.
-A pair of a dense group meets under very many keys. So first come sweeps in which each point of a
-cell tells one candidate at most, the first in an order that all cells share and that changes from
-sweep to sweep; what links becomes one component. Only then every candidate is told that is left
-between different components, but for those already verified.
+A pair of a dense group meets under very many keys. So first come sweeps in which a cell tells
+a spanning forest of its candidates only, the first ones in an order that all cells share; what links
+becomes one component. Only then every candidate is told that is left between different
+components, but for those already verified.
 
 Defined results. Words are split at ASCII white space after lower-casing A-Z; a text with
 fewer words than a shingle has one token, the whole sequence. Null text, or no word: no
@@ -55,8 +55,8 @@ BLOCK = 2048
 #: Keys of more members than this are crowded; rounds of verifying their members against a leader before trees are built.
 CROWD = BLOCK
 ROUNDS = 3
-#: Sweeps of the cells in which each point tells one candidate, before all that are left are told.
-SWEEPS = 2
+#: Sweeps of the cells that tell a forest of their candidates, before all that are left are told.
+SWEEPS = 1
 #: Up to so many points are compared each with each; more get a tree.
 FEW = 2 * FAN
 #: Bits of the filter that picks the documents whose sets are needed.
@@ -227,30 +227,38 @@ class Tree:
         return self.order[at]
 
 
-def candidates(points: np.ndarray, component: np.ndarray, percent: int, one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def candidates(points: np.ndarray, component: np.ndarray, percent: int, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places whose bound reaches the threshold and whose components differ, each pair once.
 
-    With ``one``, of each place only the pair with the first such place before it.
+    With ``forest``, only the first pair that leads from one tree of components to another: fewer than components.
     """
+    tree_of = component.copy()
+    a, b = [], []
+
+    def told(i: int, near: np.ndarray) -> None:
+        if forest and len(near):
+            trees, first = np.unique(tree_of[near], return_index=True)
+            near = near[np.sort(first[trees != tree_of[i]])]
+            tree_of[np.isin(tree_of, tree_of[near])] = tree_of[i]
+        a.append(near)
+        b.append(np.full(len(near), i))
+
     if len(points) <= FEW:
         size = points.sum(axis=1, dtype=np.int64)
         both = np.array([np.minimum(q, points).sum(axis=1, dtype=np.int64) for q in points])
         near = (100 + percent) * both >= percent * (size[:, None] + size)
         near = np.triu(near & (component[:, None] != component), 1)
-        if one:
-            second = np.flatnonzero(near.any(axis=0))
-            return near[:, second].argmax(axis=0), second
-        return np.nonzero(near)
-    tree = Tree(points, component, percent)
-    a, b = [], []
-    for i, q in enumerate(points):
-        near = tree.search(q, int(component[i]))
-        near = near[near < i]
-        if one and len(near):
-            near = near.min(keepdims=True)
-        a.append(near)
-        b.append(np.full(len(near), i))
-    return np.concatenate(a), np.concatenate(b)
+        if not forest:
+            return np.nonzero(near)
+        for i in np.flatnonzero(near.any(axis=0)).tolist():
+            told(i, np.flatnonzero(near[:, i]))
+    else:
+        tree = Tree(points, component, percent)
+        for i, q in enumerate(points):
+            near = tree.search(q, int(component[i]))
+            told(i, np.sort(near[near < i]))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
 
 
 # ---- the join -------------------------------------------------------------
@@ -363,7 +371,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int, sweep: int | None = None) -> DataFrame:
     """(a, b): pairs of different components under one key whose bound reaches the threshold; by R-trees.
 
-    With ``sweep``, a point of a cell tells one pair at most, by an order of the ids that the sweep's number picks.
+    With ``sweep``, a cell tells a forest of its components only, by an order of the ids that the sweep's number picks.
     """
     # a key of many points: its rows go to every cell (i, j) of block pairs that holds their block
     sizes = (rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
@@ -385,7 +393,7 @@ def _searched(rows: DataFrame, sets: DataFrame, percent: int, block: int, sweep:
             if sweep is not None:
                 order = np.argsort(mix(id_.astype(np.uint64) + _ODD[sweep % len(_ODD)]))
                 id_, comp, points = id_[order], comp[order], points[order]
-            a, b = candidates(points, comp, percent, one=sweep is not None)
+            a, b = candidates(points, comp, percent, forest=sweep is not None)
             a, b = id_[a], id_[b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
