@@ -113,6 +113,8 @@ def chunk_hash(chunk: bytes) -> bytes:
 # ---- encoding -------------------------------------------------------------
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Bytes of a slice handed to the library; its time for longer texts grows faster than they do.
+SLICE = 1024
 
 
 class Encoder:
@@ -137,19 +139,22 @@ class Encoder:
         return _ENCODERS[path]
 
     def plain(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece by itself; a megabyte of text at a time."""
+        """Ids of each piece by itself; a megabyte of text at a time, in slices that end before white space."""
+        sliced = [_slices(p) for p in pieces]
+        flat = [x for some in sliced for x in some]
         ids: list[list[int]] = []
         at = 0
-        while at < len(pieces):
+        while at < len(flat):
             end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end]) <= 1 << 20):
-                size += len(pieces[end])
+            while end < len(flat) and (end == at or size + len(flat[end]) <= 1 << 20):
+                size += len(flat[end])
                 end += 1
-            got = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces[at:end]],
+            got = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in flat[at:end]],
                                              add_special_tokens=False)
             ids += [e.ids for e in got]
             at = end
-        return ids
+        parts = iter(ids)
+        return [next(parts) if len(some) == 1 else [i for _ in some for i in next(parts)] for some in sliced]
 
     def joined(self, docs: list[tuple[list[bytes], list[list[int]]]]) -> list[list[int]]:
         """Exact ids of each text, from its chunks and their ids."""
@@ -222,6 +227,15 @@ class Encoder:
         return " ".join(map(s.__getitem__, ids))
 
 
+def _slices(piece: bytes, size: int = SLICE) -> list[bytes]:
+    """The piece cut before the first white space after every ``size`` bytes; no token spans such a place."""
+    found, at = [], 0
+    while len(piece) - at > size and (gap := _GAP.search(piece, at + size)):
+        found.append(piece[at:gap.start()])
+        at = gap.start()
+    return [*found, piece[at:]]
+
+
 def _starts(x: list[int], y: list[int]) -> bool:
     return x[:len(y)] == y
 

@@ -95,3 +95,13 @@ def test_only_joins_with_shared_chunks_are_repaired(tok, monkeypatch):
     known = {bpe.chunk_hash(shared): enc.plain([shared])[0]}
     assert enc.encode([text, b"", text], [{}, {}, known], rule) == [whole, [], whole]
     assert seen == [[text], [b""], [b"".join(split[:3]), shared, b"".join(split[4:])]]
+
+
+def test_slices_end_before_white_space(tok):
+    rng = random.Random(8)
+    alphabet = ["don't", "Übergröße", "123", "***", "<|endoftext|>", "\u0301x", "İ", "\x0b", "\U0001F600" * 300]
+    for _ in range(20):
+        text = "".join(rng.choice(alphabet) + rng.choice([" ", "\n", "\r\n", "\t ", "-"]) for _ in range(300))
+        parts = bpe._slices(text.encode(), 100)
+        assert b"".join(parts) == text.encode() and len(parts) > 10 and all(p[:1] in (b" ", b"\n", b"\r", b"\t") for p in parts[1:])
+        assert bpe.Encoder.of(PATH).plain([text.encode(), b""]) == [tok.encode(text, add_special_tokens=False).ids, []]
