@@ -12,7 +12,8 @@ are encoded as one.
 
 Why agreement is exact: no token, added token or normalisation of this vocabulary
 spans a space, tab, line feed or carriage return, so ids between two such places
-depend on nothing outside. Neighbouring chunks that a text has alone are encoded as one
+depend on nothing outside. The same lets each different word of a chunk be encoded once
+and its ids be taken wherever it stands. Neighbouring chunks that a text has alone are encoded as one
 piece, so that only joins with shared chunks need repair.
 
 Plan. Texts are shuffled once, by doc_id, and that exchange serves both the owners'
@@ -115,6 +116,18 @@ def chunk_hash(chunk: bytes) -> bytes:
 _ENCODERS: dict[str, Encoder] = {}
 #: Bytes of a slice handed to the library; its time for longer texts grows faster than they do.
 SLICE = 1024
+#: Words that a worker remembers, and the bytes of the longest of them.
+MOST_WORDS = 400_000
+KNOWN_BYTES = 64
+#: Stands between the words of a slice.
+MARK = b"\x01"
+_PARTED = b" " + MARK + b" "
+#: Kinds of bytes: 0 white space, 2 letters, 3 marks that no contraction or added token has, 1 all others.
+#: Words also end between letters and such marks, where the vocabulary's own pattern always parts a text.
+_KIND = np.ones(256, np.uint8)
+_KIND[list(b" \t\n\r")] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 2
+_KIND[list(b'!"#$%&()*,.:;?')] = 3
 
 
 class Encoder:
@@ -128,6 +141,8 @@ class Encoder:
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.number = [str(i) for i in range(size)]
         self.string = [self.tok.id_to_token(i) or "" for i in range(size)]
+        self.known: dict[bytes, bytes] = {}
+        self.mark, = self._library([MARK])[0]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -139,22 +154,66 @@ class Encoder:
         return _ENCODERS[path]
 
     def plain(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece by itself; a megabyte of text at a time, in slices that end before white space."""
-        sliced = [_slices(p) for p in pieces]
-        flat = [x for some in sliced for x in some]
-        ids: list[list[int]] = []
+        """Ids of each piece by itself, some megabytes of text at a time; no token spans white space."""
+        result: list[list[int]] = []
         at = 0
-        while at < len(flat):
+        while at < len(pieces):
             end, size = at, 0
-            while end < len(flat) and (end == at or size + len(flat[end]) <= 1 << 20):
-                size += len(flat[end])
+            while end < len(pieces) and (end == at or size + len(pieces[end]) <= 1 << 22):
+                size += len(pieces[end])
                 end += 1
-            got = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in flat[at:end]],
-                                             add_special_tokens=False)
-            ids += [e.ids for e in got]
+            result += self._by_words(pieces[at:end])
             at = end
-        parts = iter(ids)
-        return [next(parts) if len(some) == 1 else [i for _ in some for i in next(parts)] for some in sliced]
+        return result
+
+    def _by_words(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece from those of its words, of which each different one is encoded once."""
+        data = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+        kind = _KIND[data]
+        both = kind[1:] * kind[:-1]
+        edge = np.flatnonzero((both == 6) | (both == 0) & (kind[1:] != kind[:-1])) + 1
+        edge = np.concatenate(([0], edge, [len(data)]))
+        word = kind[edge[:-1]] != 0
+        starts, ends = edge[:-1][word], edge[1:][word]
+        if not len(starts):
+            return [[] for _ in pieces]
+        offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(offsets), pa.py_buffer(data[kind != 0])]).dictionary_encode()
+        parts = self._word_ids(coded.dictionary.to_pylist())
+        word = np.asarray(coded.indices)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        first, n = (np.cumsum(sizes) - sizes)[word], sizes[word]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first - total[:-1], n) + np.arange(total[-1])].tolist()
+        borders = np.cumsum([0] + [len(p) + 1 for p in pieces])
+        cuts = total[np.searchsorted(starts, borders)].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each of some different words; short ones are remembered."""
+        if len(self.known) > MOST_WORDS:
+            self.known.clear()
+        known = self.known
+        found = list(map(known.get, words))
+        # new words share slices, parted by a mark whose id no word without it has
+        new = [i for i, x in enumerate(found) if x is None]
+        apart = [i for i in new if MARK in words[i]]
+        new = [i for i in new if MARK not in words[i]]
+        for i, ids in zip(apart, self._library([words[i] for i in apart])):
+            found[i] = np.array(ids, "<u4").tobytes()
+        every = [x for ids in self._library(_slices(_PARTED.join([words[i] for i in new]))) for x in ids]
+        ids = np.array(every, "<u4")
+        ends = np.flatnonzero(ids == self.mark).tolist()
+        for i, a, b in zip(new, [0, *(x + 1 for x in ends)], [*ends, len(ids)]):
+            found[i] = ids[a:b].tobytes()
+            if len(words[i]) <= KNOWN_BYTES:
+                known[words[i]] = found[i]
+        return found
+
+    def _library(self, slices: list[bytes]) -> list[list[int]]:
+        got = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in slices], add_special_tokens=False)
+        return [e.ids for e in got]
 
     def joined(self, docs: list[tuple[list[bytes], list[list[int]]]]) -> list[list[int]]:
         """Exact ids of each text, from its chunks and their ids."""

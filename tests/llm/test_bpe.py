@@ -105,3 +105,20 @@ def test_slices_end_before_white_space(tok):
         parts = bpe._slices(text.encode(), 100)
         assert b"".join(parts) == text.encode() and len(parts) > 10 and all(p[:1] in (b" ", b"\n", b"\r", b"\t") for p in parts[1:])
         assert bpe.Encoder.of(PATH).plain([text.encode(), b""]) == [tok.encode(text, add_special_tokens=False).ids, []]
+
+
+def test_the_library_gets_each_different_word_once():
+    """And ids are the library's, wherever marks, contractions, added tokens or the parting mark itself stand."""
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.chars = tok, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.chars += sum(map(len, texts))
+            return self.tok.encode_batch_fast(texts, **options)
+
+    enc = bpe.Encoder(PATH)
+    library, enc.tok = enc.tok, Counting(enc.tok)
+    text = "it's (one) \"two\", three's... $7.50 <|endoftext|>x|y \x01 a\x01b ≠ ,́e é! ́a\n" * 2000
+    assert enc.plain([text.encode(), b"", b" \n"]) == [library.encode(text, add_special_tokens=False).ids, [], []]
+    assert enc.tok.chars < 1000
