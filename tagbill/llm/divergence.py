@@ -59,20 +59,31 @@ _TERM[0x41:0x5B] = np.arange(0x61, 0x7B)
 # ---- terms of a stretch of documents --------------------------------------
 
 class Stretch:
-    """The terms of some documents: for each token its document and its place in ``terms``."""
+    """The terms of some documents: for each token its document and its place in ``terms``.
 
-    def __init__(self, texts: list[bytes]) -> None:
+    Terms that have ``last`` bytes or fewer, the zero byte included, are left out before anything is built from them.
+    """
+
+    def __init__(self, texts: list[bytes], last: int = 0) -> None:
         data = _TERM[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         inside = data != 0
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edge = np.concatenate(([0], edge))
         starts, ends = edge[::2], edge[1::2]         # the last byte is never inside
+        sizes = ends - starts + 1                    # the zero byte behind each term goes along
+        if last:
+            longer = sizes > last
+            starts, sizes = starts[longer], sizes[longer]
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-        self.doc = np.searchsorted(begins, starts, "right") - 1
-        inside[ends] = True                          # the zero byte behind each term goes along
-        values = data[inside]
-        offsets = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        # documents have many terms each: their borders are looked up, not the terms
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, begins)))
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        if last:
+            values = data[np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        else:
+            inside[ends] = True
+            values = data[inside]
         kind, width = (pa.binary(), np.int32) if len(values) < 2**31 - 1 else (pa.large_binary(), np.int64)
         tokens = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(values)])
         coded = tokens.dictionary_encode()
@@ -176,14 +187,12 @@ def prefix_counts(docs: DataFrame, size: int, last: int, filled: np.ndarray | No
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for texts, (names,) in stretches(it):
-            s = Stretch(texts)
+            s = Stretch(texts, last)
             if not len(s.terms):
                 continue
             lang, langs = _numbered(names)
             doc, term = s.doc, s.term
             if last:
-                longer = np.asarray(pc.greater(pc.binary_length(s.terms), last))[term]
-                doc, term = doc[longer], term[longer]
                 of, prefixes = _prefixes(s.terms, last)
                 alive = _passes(shared.value, langs, lang[doc], prefixes, of[term])
                 doc, term = doc[alive], term[alive]

@@ -97,3 +97,13 @@ def test_scaled_is_exact():
     for total in (1, 7, 10**9 + 7, 10**14, 10**16):
         for n in (0, 1, total // 3, total - 1, total):
             assert int(divergence.scaled(divergence.np.array([n]), total)[0]) == 10**9 * n // total
+
+
+@pytest.mark.parametrize("last", [0, 1, 3, 6, 40])
+def test_terms_decided_before_are_not_built_again(last):
+    texts = [b"", b"Ab abcde abcdef, abcdefg", b"..", "Stra\u00dfe \u00e4\u00f6\u00fc x abcdef".encode(), b"abcdefgh", b""]
+    found = divergence.Stretch(texts, last)
+    terms = found.terms.to_pylist()
+    want = [(i, x.lower().encode() + b"\0") for i, t in enumerate(texts) for x in TERM.findall(t.decode())]
+    assert [(int(d), terms[t]) for d, t in zip(found.doc, found.term)] == [x for x in want if len(x[1]) > last]
+    assert all(len(t) > last for t in terms)
