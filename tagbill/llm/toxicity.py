@@ -33,14 +33,16 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagbill.llm.common import batches, bounded_sample, cut, out, prepare, texts, written
@@ -118,8 +120,8 @@ def select_terms(examples: DataFrame, p: Params) -> tuple[list[str], list[str]]:
 
 class Places(dict):
     """Of each word seen: its place and that of its beginning in a vocabulary, each plus one (0: none), as one number."""
-    #: Words remembered beside the vocabulary.
-    MOST = 1_000_000
+    #: Words remembered.
+    MOST = 400_000
 
     def __init__(self, vocabulary: list[str]) -> None:
         super().__init__()
@@ -133,17 +135,46 @@ class Places(dict):
         return both
 
 
-def found_terms(text: str, places: Places) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the vocabulary's terms in a text, in order, and their counts."""
-    words = Counter(_WORD.findall(text.lower()))
-    both = np.array([places[w] for w in words], np.int64)
-    n = np.fromiter(words.values(), np.int64, len(words))
-    ids, n = np.concatenate((both >> 32, both & 0xFFFFFFFF)) - 1, np.concatenate((n, n))
-    order = np.argsort(ids, kind="stable")
-    order = order[np.searchsorted(ids[order], 0):]
-    ids, n = ids[order], n[order]
-    first = np.flatnonzero(np.diff(ids, prepend=-1))
-    return ids[first].astype(np.int32), np.add.reduceat(n, first).astype(np.int32) if len(n) else n.astype(np.int32)
+_LAST: list = [None, None]
+
+
+def places_of(vocabulary: list[str] | None) -> Places:
+    """The places of a worker, kept from task to task while the vocabulary is the same object; None drops them."""
+    if _LAST[0] is not vocabulary:
+        _LAST[:] = vocabulary, Places(vocabulary or [])
+    return _LAST[1]
+
+
+#: Characters of texts whose words are looked up at once.
+STRETCH = 1 << 20
+
+
+def found_terms(texts_: list[str], places: Places) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the places of the vocabulary's terms in it, in order, and their counts."""
+    words, sizes, held = [], [], 0
+    for text in texts_:
+        some = _WORD.findall(text.lower())
+        words += some
+        sizes.append(len(some))
+        held += len(text)
+        if held >= STRETCH:
+            yield from _counted(words, sizes, places)
+            words, sizes, held = [], [], 0
+    yield from _counted(words, sizes, places)
+
+
+def _counted(words: list[str], sizes: list[int], places: Places) -> list[tuple[np.ndarray, np.ndarray]]:
+    both = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+    ids = np.concatenate((both >> 32, both & 0xFFFFFFFF)) - 1
+    size = max(1, len(places.place))
+    key = np.tile(np.repeat(np.arange(len(sizes)), sizes), 2) * size + ids
+    key = np.sort(key[ids >= 0])
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(first, append=len(key)).astype(np.int32)
+    text, ids = np.divmod(key[first], size)
+    ids = ids.astype(np.int32)
+    ends = np.searchsorted(text, np.arange(len(sizes) + 1)).tolist()
+    return [(ids[a:b], n[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _packed(ids: np.ndarray, tfs: np.ndarray) -> bytes:
@@ -162,9 +193,9 @@ def term_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = Places(held.value)
+        at = places_of(held.value)
         for b in batches(it):
-            yield out(schema, b.column(0), [_packed(*found_terms(t, at)) for t in texts(b.column(1))])
+            yield out(schema, b.column(0), [_packed(*x) for x in found_terms(texts(b.column(1)), at)])
 
     return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found binary"))
 
@@ -195,9 +226,9 @@ def vectors(examples: DataFrame, vocabulary: list[str]) -> list[tuple[int, int,
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.binary()), ("tfs", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = Places(held.value)
+        at = places_of(held.value)
         for b in batches(it):
-            found = [found_terms(text, at) for text in texts(b.column(2))]
+            found = list(found_terms(texts(b.column(2)), at))
             yield out(schema, b.column(0), b.column(1), *([np.array(x, np.int32).tobytes() for x in c] for c in zip(*found)))
 
     rows = (examples.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids binary, tfs binary")
@@ -266,18 +297,6 @@ class Index:
                      np.ascontiguousarray(dense.max(axis=2).T), column,
                      np.searchsorted(terms_[tail], np.arange(len(idf) + 1)), example[tail].astype(np.int64), weights[tail])
 
-    def __getstate__(self) -> tuple:
-        """What the index is built from, packed: a worker builds the rest again."""
-        return (self.weights, self.labels, self.ids, self.rows, len(self.tops),
-                zlib.compress(self.row_terms.tobytes(), 1), zlib.compress(self.row_counts.tobytes(), 1))
-
-    def __setstate__(self, state: tuple) -> None:
-        weights, labels, ids, rows, head, terms_, counts = state
-        terms_, counts = (np.frombuffer(zlib.decompress(x), np.int32) for x in (terms_, counts))
-        cut_ = list(zip(rows[:-1], rows[1:]))
-        made = Index.build([(i, y, terms_[a:b], counts[a:b]) for i, y, (a, b) in zip(ids, labels, cut_)], weights, head)
-        self.__dict__.update(made.__dict__)
-
     def nearest(self, ids: list[int], tfs: list[int], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with the k largest cosines above 0, all ties of the k-th, and their cosines.
 
@@ -336,6 +355,28 @@ class Index:
         return float((w * self.labels[e]).sum() / w.sum())
 
 
+class Examples:
+    """What an ``Index`` is built from, packed: each worker builds it for itself, the driver never does."""
+
+    def __init__(self, rows: list[tuple], weights: np.ndarray, head: int) -> None:
+        self.weights, self.head = weights, head
+        self.ids, self.labels = [r[0] for r in rows], [r[1] for r in rows]
+        self.starts = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows])))
+        self.terms, self.counts = (zlib.compress(np.concatenate([r[i] for r in rows]).astype(np.int32).tobytes(), 1) for i in (2, 3))
+
+    def rows(self) -> list[tuple]:
+        terms_, counts = (np.frombuffer(zlib.decompress(x), np.int32) for x in (self.terms, self.counts))
+        return [(i, y, terms_[a:b], counts[a:b])
+                for i, y, a, b in zip(self.ids, self.labels, self.starts[:-1], self.starts[1:])]
+
+    @cached_property
+    def index(self) -> Index:
+        return Index.build(self.rows(), self.weights, self.head)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+
 def _unit(ids: list[int], tfs: list[int], weights: np.ndarray) -> np.ndarray:
     w = (1 + np.log(np.asarray(tfs, float))) * weights[np.asarray(ids, np.int64)]
     return w / math.sqrt(float(w @ w))
@@ -360,7 +401,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     vocabulary: list[str]
     told: set[int]                                       # places of the label-dependent terms
-    index: Index | None
+    examples: Examples | None
     steps: tuple[np.ndarray, np.ndarray]
     without: float                                       # score of a text without any term
     neighbours: int
@@ -368,18 +409,40 @@ class Model:
     def score(self, found: list[tuple[list[int], list[int]]]) -> list[tuple[float, list[int]]]:
         """(score, nearest examples) of each text's terms and counts."""
         done = [(self.without, [])] * len(found)
-        asked = [j for j, (ids, _) in enumerate(found) if len(ids)] if self.index else []
+        asked = [j for j, (ids, _) in enumerate(found) if len(ids)] if self.examples else []
         x, v = self.steps
         for i in range(0, len(asked), GROUP):
             group = asked[i:i + GROUP]
-            near = self.index.nearest_many([found[j] for j in group], self.neighbours, [-1] * len(group))
+            index = self.examples.index
+            near = index.nearest_many([found[j] for j in group], self.neighbours, [-1] * len(group))
             for j, (e, s) in zip(group, near):
                 if len(e):
-                    at = max(int(np.searchsorted(x, self.index.vote(e, s), side="right")) - 1, 0)
-                    done[j] = float(v[at]), self.index.ids[e[:5]].tolist()
+                    at = max(int(np.searchsorted(x, index.vote(e, s), side="right")) - 1, 0)
+                    done[j] = float(v[at]), index.ids[e[:5]].tolist()
         return done
 
 
+def votes(spark: SparkSession, examples: Examples, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leave-one-out votes on the bounded examples, and their labels, in order; none of those without a neighbour."""
+    held = spark.sparkContext.broadcast(examples)
+    schema = pa.schema([("place", pa.int64()), ("vote", pa.float64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places_of(None)
+        ix, rows = held.value.index, held.value.rows()
+        for b in batches(it, GROUP):
+            at = b.column(0).to_pylist()
+            near = ix.nearest_many([rows[i][2:] for i in at], neighbours, at)
+            done = [(i, ix.vote(e, s)) for i, (e, s) in zip(at, near) if len(e)]
+            yield out(schema, *zip(*done)) if done else out(schema, [], [])
+
+    n = len(examples.ids)
+    # one row an example; sorted here, for a sort in Spark would work the votes out twice
+    found = (spark.range(0, n, 1, -(-n // (4 * GROUP))).mapInArrow(run, "place long, vote double")
+             .toArrow().sort_by("place"))
+    return found.column(1).to_numpy(), np.array(examples.labels, float)[found.column(0).to_numpy()]
+
+
 def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> tuple[Model, DataFrame]:
     """The model, and the ``term_vectors`` of all rows; ``labelled``: (doc_id, y) training rows."""
     prepare(docs.sparkSession)
@@ -393,8 +456,7 @@ def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> tuple[Mod
     found = term_vectors(docs, vocabulary)
     n, df = frequencies(found, len(vocabulary))
     idf = np.log((1 + n) / (1 + df)) + 1
-    place = {t: i for i, t in enumerate(vocabulary)}
-    more = [place[t] for t in told]
+    more = [bisect_left(vocabulary, t) for t in told]
     idf[more] *= p.told
     rows = sorted(vectors(examples, vocabulary), key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
     some, none = [r for r in rows if len(r[2])], [r for r in rows if not len(r[2])]
@@ -402,18 +464,12 @@ def fit(docs: DataFrame, labelled: DataFrame, p: Params = Params()) -> tuple[Mod
     without = sum(r[1] for r in none) / len(none) if none else base
     if not some:
         return Model(vocabulary, set(more), None, (np.zeros(1), np.zeros(1)), without, p.neighbours), found
-    some = clustered(some, idf, p.head)
-    ix = Index.build(some, idf, p.head)
-    votes, ys = [], []
-    for i in range(0, len(some), GROUP):
-        group = some[i:i + GROUP]
-        near = ix.nearest_many([r[2:] for r in group], p.neighbours, list(range(i, i + len(group))))
-        for r, (e, s) in zip(group, near):
-            if len(e):
-                votes.append(ix.vote(e, s))
-                ys.append(r[1])
-    steps = isotonic(np.array(votes), np.array(ys, float)) if votes else (np.zeros(1), np.array([base]))
-    return Model(vocabulary, set(more), ix, steps, without, p.neighbours), found
+    kept = Examples(clustered(some, idf, p.head), idf, p.head)
+    del rows, some, none
+    x, y = votes(docs.sparkSession, kept, p.neighbours)
+    steps = isotonic(x, y) if len(x) else (np.zeros(1), np.array([base]))
+    pa.default_memory_pool().release_unused()
+    return Model(vocabulary, set(more), kept, steps, without, p.neighbours), found
 
 
 def score(vectors_: DataFrame, model: Model) -> DataFrame:
@@ -423,6 +479,7 @@ def score(vectors_: DataFrame, model: Model) -> DataFrame:
                         ("terms", pa.list_(pa.string()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places_of(None)
         m = held.value
         told = np.zeros(len(m.vocabulary), bool)
         told[list(m.told)] = True
@@ -450,9 +507,9 @@ def keep(docs: DataFrame, labels: DataFrame, held_out: Column, p: Params = Param
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        places = Places(m.vocabulary)
+        places = places_of(m.vocabulary)
         for b in batches(it):
-            low = [x < most for x, _ in m.score([found_terms(text, places) for text in texts(b.column(at))])]
+            low = [x < most for x, _ in m.score(list(found_terms(texts(b.column(at)), places)))]
             yield b.filter(pa.array(low, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -365,3 +365,26 @@ def test_held_out_split(spark):
     df = spark.createDataFrame([(i,) for i in [*range(50), -3]], "doc_id long")
     got = {r.doc_id: r.h for r in df.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+
+
+def test_the_driver_builds_no_index(spark, monkeypatch):
+    def build(*_):
+        raise AssertionError("the index belongs in the tasks")
+    monkeypatch.setattr(toxicity.Index, "build", build)
+    df = spark.createDataFrame([(i, f"word{'abc'[i % 3]} and other things {'x' * (i % 5)}") for i in range(60)],
+                               "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(df, labels, NEVER(False)).collect()
+    assert len(rows) == 60 and {r.score > 0.5 for r in rows} == {True, False}
+
+
+def test_terms_of_many_texts_at_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "STRETCH", 40)
+    texts = ["", "Longer longest LONGER words", "1 2 _a_b", "none", "ΑΣ İİ longest", "words " * 30, "longestlongest words", ""]
+    vocabulary = sorted({t for x in texts[:3] + texts[4:] for t in toxicity.terms(x)})
+    got = list(toxicity.found_terms(texts, toxicity.places_of(vocabulary)))
+    assert len(got) == len(texts)
+    for text, (ids, n) in zip(texts, got):
+        want = {t: c for t, c in toxicity.terms(text).items() if t in vocabulary}
+        assert {vocabulary[i]: c for i, c in zip(ids.tolist(), n.tolist())} == want and ids.tolist() == sorted(ids.tolist())
+    assert toxicity.places_of(vocabulary) is toxicity.places_of(vocabulary)
