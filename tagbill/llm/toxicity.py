@@ -121,7 +121,7 @@ def select_terms(examples: DataFrame, p: Params) -> tuple[list[str], list[str]]:
 class Places(dict):
     """Of each word seen: its place and that of its beginning in a vocabulary, each plus one (0: none), as one number."""
     #: Words remembered.
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, vocabulary: list[str]) -> None:
         super().__init__()
@@ -429,7 +429,9 @@ def votes(spark: SparkSession, examples: Examples, neighbours: int) -> tuple[np.
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places_of(None)
-        ix, rows = held.value.index, held.value.rows()
+        # not kept for other tasks, so that a worker never holds this index and that of the scores
+        rows = held.value.rows()
+        ix = Index.build(rows, held.value.weights, held.value.head)
         for b in batches(it, GROUP):
             at = b.column(0).to_pylist()
             near = ix.nearest_many([rows[i][2:] for i in at], neighbours, at)
@@ -438,7 +440,7 @@ def votes(spark: SparkSession, examples: Examples, neighbours: int) -> tuple[np.
 
     n = len(examples.ids)
     # one row an example; sorted here, for a sort in Spark would work the votes out twice
-    found = (spark.range(0, n, 1, -(-n // (4 * GROUP))).mapInArrow(run, "place long, vote double")
+    found = (spark.range(0, n, 1, -(-n // (8 * GROUP))).mapInArrow(run, "place long, vote double")
              .toArrow().sort_by("place"))
     return found.column(1).to_numpy(), np.array(examples.labels, float)[found.column(0).to_numpy()]
 
